@@ -1,5 +1,54 @@
-"""stub"""
-STAGES = []
+"""From raw documents to token ids: each stage works on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from utterlake.llm import bpe, exact_dedup, mixing, quality, simhash
+from utterlake.runtime import materialize, prepare, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. It is fitted on the labelled rows among docs."""
+    prepare(spark)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts."""
+    prepare(spark)
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    prepare(spark)
+    return simhash.drop_near_copies(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that the tokens of sources, languages and topics follow their targets."""
+    prepare(spark)
+    return mixing.sample_mix(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and token digests of every document that is left."""
+    prepare(spark)
+    return bpe.encode_decode(docs, outputs=bpe.DIGESTS)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("bpe", token_stage)]
+
+#: SQL cannot state the trees and the 64-bit hashes; tests hold the stages against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written and read again for the next one."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name)
+    return docs

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterlake.llm.frames import free_name
 from utterlake.runtime import materialize, table
 
 PREFIX_CHARS = 32
@@ -95,9 +96,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows with one doc_id and text, one."""
-    stays = exact_groups(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("_row"))
-    keyed = docs.withColumn("_row", _row_key(F.col("doc_id"), F.sha2(normalised("text"), 256)))
-    return keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = free_name(docs, "_row")
+    stays = exact_groups(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias(row))
+    keyed = docs.withColumn(row, _row_key(F.col("doc_id"), F.sha2(normalised("text"), 256)))
+    return keyed.join(stays, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def _row_key(doc_id: Column, digest: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm.components import components
+from utterlake.llm.frames import free_name
 from utterlake.runtime import materialize, table
 
 SHINGLE_WORDS, SEED, RADIUS, PARTS = 4, 42, 4, 3
@@ -216,9 +217,10 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all their columns: one document of each group stays."""
-    stays = near_groups(docs).where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = free_name(docs, "_row")
+    stays = near_groups(docs).where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(row)).distinct()
+    keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return keyed.join(stays, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 QUERIES = {"op3_simhash_near_dedup": lambda spark, sf_dir: near_groups(table(spark, sf_dir, "documents"))}
