@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that states the same results, where SQL can."""
 
-from utterlake.llm import bpe, exact_dedup, licences, mixing, quality, simhash, syncmers, token_files, toxicity
+from utterlake.llm import bpe, exact_dedup, licences, mixing, quality, simhash, surrogates, syncmers, token_files, toxicity
 
-_MODULES = (bpe, quality, simhash, syncmers, exact_dedup, mixing, toxicity, token_files, licences)
+_MODULES = (bpe, quality, simhash, syncmers, exact_dedup, mixing, surrogates, toxicity, token_files, licences)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
