@@ -29,9 +29,10 @@ from utterlake.runtime import scratch_path, table
 MAGIC, LEVEL, END_ID = b"UTLKIDS1", 3, 2
 #: The dictionary is trained on about this many documents, picked by a hash over all rows.
 DICTIONARY_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
-KEPT = 400_000
+KEPT = 350_000
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("null", "?")])
 _TAIL = np.dtype([("offset", "<u8"), ("rows", "<u8"), ("crc", "<u4")])
+_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 _TWO_BLANKS = re.compile(r"[\s\x85\x1c-\x1f]{2}")
 
 
@@ -55,17 +56,38 @@ class ByteBpe:
         self.units: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         if (got := self.pieces.get(piece)) is None:
-            got = self.pieces[piece] = np.array([t.id for t in self.tok.model.tokenize(piece)], "<u4").tobytes()
+            if (got := self.old_pieces.get(piece)) is None:
+                got = np.array([t.id for t in self.tok.model.tokenize(piece)], "<u4").tobytes()
+            self.pieces[piece] = got
         return got
 
+    def _shown(self, text: str) -> str:
+        return text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+
     def _unit(self, unit: str) -> bytes:
-        if unit.isalpha():
-            return self._piece(self.letters[32] + (unit if unit.isascii() else "".join([self.letters[b] for b in unit.encode()])))
+        if (got := self.old_units.get(unit)) is not None:
+            return got
+        lead, body = (self.letters[10], unit[1:]) if unit[:1] == "\n" else (self.letters[32], unit)
+        if (m := _SIMPLE.fullmatch(body)) and m[1].isalpha():  # letters, then perhaps marks: each a piece; a line's end is one too
+            word, marks = m.groups()
+            got = self._piece(lead) + self._piece(self._shown(word)) if unit[0] == "\n" else self._piece(lead + self._shown(word))
+            return got + self._piece(self._shown(marks)) if marks else got
         return self._plain(unit if unit[:1] == "\n" else " " + unit)
 
+    def _age(self) -> None:
+        """Full tables become the old ones: what is still in use moves over, the rest goes."""
+        if len(self.units) > KEPT:
+            self.units, self.old_units = {}, self.units
+        if len(self.pieces) > KEPT:
+            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.firsts) > KEPT:
+            self.firsts = {}
+
     def _plain(self, text: str) -> bytes:
         return b"".join([self._piece(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)])
 
@@ -74,11 +96,9 @@ class ByteBpe:
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        units = self.units
         for text in texts:
-            for kept in (units, self.firsts, self.pieces):
-                if len(kept) > KEPT:
-                    kept.clear()
+            self._age()
+            units = self.units
             if _TWO_BLANKS.search(text) or any(s in text for s in self.special):
                 yield self._whole(text)
                 continue
