@@ -2,5 +2,442 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from utterlake.functions import text as T
+from utterlake.functions import waves as W
+from utterlake.operators import corpus as C
+from utterlake.runtime import table
+from utterlake.streaming import incremental
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Python's white space, for DuckDB.
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _clean(text: str) -> str:
+    return f"trim(regexp_replace({text}, '{_WS}', ' ', 'g'))"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    return C.utterances(_docs(spark, d))
+
+
+_U = """u AS (SELECT doc_id, concat('datasets/', lang, '/corpus/', source, '/wav/', doc_id, '.wav') AS audio_path, text, source AS speaker, lang, n_chars / CAST(150 AS double) AS duration FROM documents)"""
+_STATUS = f"""{_U}, m AS (SELECT u.*, CASE WHEN l.doc_id IS NULL THEN 'no_transcript' WHEN coalesce({_clean('u.text')}, '') = '' THEN 'empty_text'
+ WHEN u.duration IS NULL OR u.duration < 0.05 OR u.duration > 30 THEN 'duration_filtered' ELSE 'ok' END AS status FROM u LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))"""
+_HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_SENT = r"list_filter(list_transform(regexp_extract_all({}, '[^।॥?!.]*[।॥?!.]+|[^।॥?!.]+'), lambda s: trim(s)), lambda s: s <> '')"
+_CHUNKS = f"""s AS (SELECT doc_id, {_SENT.format(_clean('text'))} AS ss FROM documents),
+r AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS open, 0 AS n FROM s
+ UNION ALL
+ SELECT r.doc_id, i + 1, CASE WHEN r.n > 0 AND r.n + length(ss[i + 1]) > 360 THEN list_append(done, open) ELSE done END,
+  CASE WHEN r.n = 0 OR r.n + length(ss[i + 1]) > 360 THEN ss[i + 1] ELSE open || ' ' || ss[i + 1] END,
+  CASE WHEN r.n > 0 AND r.n + length(ss[i + 1]) > 360 THEN length(ss[i + 1]) ELSE r.n + length(ss[i + 1]) END
+ FROM r JOIN s ON r.doc_id = s.doc_id WHERE i < len(ss)),
+k AS (SELECT r.doc_id, CASE WHEN r.n > 0 THEN list_append(done, open) ELSE done END AS cs FROM r JOIN s ON r.doc_id = s.doc_id WHERE i = len(ss))"""
+_SCRIPT_CASE = """CASE WHEN length(regexp_replace(text, '[^\\x{00}-\\x{7F}]', '', 'g')) >= 1 AND length(regexp_replace(text, '[^\\x{00}-\\x{7F}]', '', 'g')) >= length(regexp_replace(text, '[^\\x{0900}-\\x{097F}]', '', 'g')) THEN 'en'
+ WHEN length(regexp_replace(text, '[^\\x{0900}-\\x{097F}]', '', 'g')) > 0 THEN 'hi' ELSE 'en' END"""
+
+
+@query(f"SELECT DISTINCT {_clean('text')} AS text FROM documents WHERE length({_clean('text')}) > 5")
+def clean_corpus(spark, d):
+    return _docs(spark, d).select(T.clean(F.col("text")).alias("text")).where(F.length("text") > 5).distinct()
+
+
+@query(f"SELECT doc_id, {_SCRIPT_CASE} AS script FROM documents")
+def detect_script(spark, d):
+    return _docs(spark, d).select("doc_id", T.script(F.col("text")).alias("script"))
+
+
+@query(f"SELECT script, count(*) AS n FROM (SELECT {_SCRIPT_CASE} AS script FROM conversations) GROUP BY 1")
+def script_counts(spark, d):
+    return table(spark, d, "conversations").groupBy(T.script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, CASE lang WHEN 'bn' THEN 'bengali' WHEN 'gu' THEN 'gujarati' WHEN 'te' THEN 'telugu' WHEN 'kn' THEN 'kannada' ELSE 'devanagari' END AS scheme, count(*) AS n FROM documents GROUP BY 1, 2")
+def script_scheme(spark, d):
+    return _docs(spark, d).groupBy("lang", T.scheme(F.col("lang")).alias("scheme")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(g - 1 AS INTEGER) AS no, ss[g] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS g FROM (SELECT doc_id, {_SENT.format(_clean('text'))} AS ss FROM documents))")
+def split_sentences(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(T.sentences(T.clean(F.col("text")))).alias("no", "sentence"))
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, CAST(g - 1 AS INTEGER) AS chunk_no, cs[g] AS chunk FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS g FROM k)")
+def text_chunks(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(T.chunked(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT lang, CAST(sum(len(cs)) AS BIGINT) AS n_chunks, CAST(max(len(cs)) AS BIGINT) AS most FROM k JOIN documents USING (doc_id) GROUP BY 1")
+def chunk_stats(spark, d):
+    n = _docs(spark, d).select("lang", F.size(T.chunked(F.col("text"))).cast("bigint").alias("n"))
+    return n.groupBy("lang").agg(F.sum("n").alias("n_chunks"), F.max("n").alias("most"))
+
+
+def _normal_sql(source: str, key: str, lang: str) -> str:
+    acr = r"array_to_string(list_transform(regexp_extract_all(t, '[\p{L}\p{N}_&]+|[^\p{L}\p{N}_&]+'), lambda w: CASE WHEN regexp_full_match(w, '[A-Z][A-Z0-9&]*[A-Z0-9]') THEN trim(regexp_replace(w, '(.)', '\1 ', 'g')) ELSE w END), '')"
+    pat = r"[$£€₹]\s?\p{Nd}+(?:\.\p{Nd}+)?"
+    plural = " || CASE WHEN CAST(regexp_extract(m, '[0-9]+(\\.[0-9]+)?') AS DOUBLE) > 1 THEN 's' ELSE '' END" if lang != "hi" else ""
+    names = T.CURRENCIES
+    name = "CASE m[1] " + " ".join(f"WHEN '{s}' THEN '{v['hi' if lang == 'hi' else 'en']}'" for s, v in names.items()) + " END"
+    cur = rf"array_to_string(list_transform(list_zip(regexp_split_to_array(t, '{pat}'), list_transform(regexp_extract_all(t, '{pat}'), lambda m: regexp_extract(m, '[0-9]+(\.[0-9]+)?') || ' ' || {name}{plural})), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '')"
+    sym = "t"
+    for sign, word in T.SYMBOLS.get(lang, T.SYMBOLS["en"]).items():
+        sym = f"replace({sym}, '{sign}', ' {word} ')"
+    return f"WITH a AS (SELECT {key}, {acr} AS t FROM ({source})), b AS (SELECT {key}, {cur} AS t FROM a), c AS (SELECT {key}, {sym} AS t FROM b) SELECT {key}, {_clean('t')} AS normal FROM c"
+
+
+@query(_normal_sql("SELECT doc_id, text AS t FROM documents", "doc_id", "en"))
+def normalize_text_en(spark, d):
+    return _docs(spark, d).select("doc_id", T.normalise(F.col("text"), "en").alias("normal"))
+
+
+@query(_normal_sql("SELECT doc_id, text AS t FROM documents", "doc_id", "hi"))
+def normalize_text_hi(spark, d):
+    return _docs(spark, d).select("doc_id", T.normalise(F.col("text"), "hi").alias("normal"))
+
+
+@query(_normal_sql("SELECT o_orderkey, concat('Total ₹', CAST(o_totalprice AS DECIMAL(18,2)), ' @ 5% R&D for US') AS t FROM orders", "o_orderkey", "en"))
+def normalize_prices(spark, d):
+    price = F.concat(F.lit("Total ₹"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" @ 5% R&D for US"))
+    return table(spark, d, "orders").select("o_orderkey", T.normalise(price, "en").alias("normal"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN 'chunked' ELSE 'direct' END AS route FROM documents")
+def route_long_text(spark, d):
+    return _docs(spark, d).select("doc_id", F.when(F.length("text") > T.LONG_TEXT, "chunked").otherwise("direct").alias("route"))
+
+
+@query(f"WITH {_STATUS} SELECT doc_id, status FROM m")
+def manifest_status(spark, d):
+    return C.classified(_manifest(spark, d), table(spark, d, "labels")).select("doc_id", "status")
+
+
+@query(f"WITH {_STATUS} SELECT status, count(*) AS n FROM m GROUP BY 1")
+def status_counts(spark, d):
+    return C.classified(_manifest(spark, d), table(spark, d, "labels")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_STATUS} SELECT audio_path, text, speaker, lang, duration FROM m WHERE status = 'ok'")
+def manifest(spark, d):
+    return C.classified(_manifest(spark, d), table(spark, d, "labels")).where("status = 'ok'").select("audio_path", "text", "speaker", "lang", "duration")
+
+
+@query(f"WITH {_STATUS} SELECT count(*) AS raw, count(*) FILTER (status = 'ok') AS final, round(CASE WHEN count(*) = 0 THEN 0 ELSE 100.0 * count(*) FILTER (status = 'ok') / count(*) END, 6) AS percent FROM m")
+def retention(spark, d):
+    s = C.classified(_manifest(spark, d), table(spark, d, "labels"))
+    return s.agg(F.count("*").alias("raw"), F.count_if(F.col("status") == "ok").alias("final")).withColumn("percent", F.round(F.when(F.col("raw") == 0, 0.0).otherwise(F.lit(100.0).cast("double") * F.col("final") / F.col("raw")), 6))
+
+
+@query(f"WITH {_U} SELECT audio_path, split_part(audio_path, '/', 2) AS lang, regexp_extract(audio_path, '([^/]+)\\.wav$', 1) AS stem, split_part(audio_path, '/', 4) AS parent FROM u")
+def infer_lang_path(spark, d):
+    p = F.col("audio_path")
+    return _manifest(spark, d).select(p, T.lang_of_path(p, "datasets").alias("lang"), F.regexp_extract(p, r"([^/]+)\.wav$", 1).alias("stem"), F.element_at(F.split(p, "/"), -3).alias("parent"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
+def lang_filter(spark, d):
+    return _docs(spark, d).where(F.col("lang").isin("de", "fr")).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 50")
+def lang_cap(spark, d):
+    return C.capped(_docs(spark, d).select("doc_id", "lang"), "lang", 50)
+
+
+@query("""WITH o AS (SELECT count(*) AS n FROM documents WHERE lang NOT IN ('en', 'de')), b AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents WHERE lang IN ('en', 'de'))
+SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'de') UNION ALL SELECT doc_id, lang FROM b, o WHERE r <= floor(0.25 / (1 - 0.25) * n)""")
+def balanced_cap(spark, d):
+    return C.balanced(_docs(spark, d).select("doc_id", "lang"), ["en", "de"], 0.25)
+
+
+@query(f"WITH {_STATUS} SELECT doc_id, duration FROM m WHERE status = 'ok' ORDER BY doc_id LIMIT 100")
+def sample_limit(spark, d):
+    return C.classified(_manifest(spark, d), table(spark, d, "labels")).where("status = 'ok'").select("doc_id", "duration").orderBy("doc_id").limit(100)
+
+
+@query(f"WITH {_U} SELECT doc_id, duration FROM u ORDER BY duration, doc_id")
+def duration_sort(spark, d):
+    return _manifest(spark, d).select("doc_id", "duration").orderBy("duration", "doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) <= greatest(1, least(count(*) OVER () - 1, round_even(count(*) OVER () * 0.02, 0))) AS is_val FROM documents")
+def val_split(spark, d):
+    return C.split_validation(_docs(spark, d).select("doc_id"), 0.02)
+
+
+@query("SELECT source AS speaker, count(*) AS n FROM documents WHERE source <> '' GROUP BY 1 HAVING count(*) >= 2")
+def speaker_groups(spark, d):
+    return _docs(spark, d).where("source <> ''").groupBy(F.col("source").alias("speaker")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 32")
+def speaker_pool(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return _docs(spark, d).select("doc_id", "source", F.row_number().over(w).alias("n")).where("n <= 32").drop("n")
+
+
+@query(f"""WITH {_U}, p AS (SELECT audio_path, speaker, row_number() OVER (PARTITION BY speaker ORDER BY audio_path) - 1 AS own, count(*) OVER (PARTITION BY speaker) AS n FROM u),
+q AS (SELECT *, {_HASH.format("'refidx:' || audio_path")} % n AS f, {_HASH.format("'refsel:' || audio_path")} / CAST(4294967295 AS DOUBLE) AS x FROM p),
+a AS (SELECT *, CASE WHEN x < 0.8 AND n > 1 THEN CASE WHEN f = own THEN (f + 1) % n ELSE f END ELSE own END AS pick FROM q)
+SELECT a.audio_path, a.speaker, p.audio_path AS ref FROM a JOIN p ON a.speaker = p.speaker AND a.pick = p.own""")
+def ref_select(spark, d):
+    return C.references(_manifest(spark, d).select("audio_path", "speaker"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
+s AS (SELECT source, max(n) AS n FROM p GROUP BY 1 HAVING max(n) >= 2), k AS (SELECT source, n, unnest(range(0, least(10, n * (n - 1) // 2))) AS draw FROM s),
+h AS (SELECT source, draw, n, {_HASH.format("'a:' || source || ':' || draw")} % n AS a, {_HASH.format("'b:' || source || ':' || draw")} % (n - 1) AS b0 FROM k)
+SELECT h.source AS speaker, h.draw, x.doc_id AS ref, y.doc_id AS target FROM h JOIN p x ON x.source = h.source AND x.i = a JOIN p y ON y.source = h.source AND y.i = CASE WHEN b0 >= a THEN b0 + 1 ELSE b0 END""")
+def clone_pairs(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    p = _docs(spark, d).select("doc_id", "source", (F.row_number().over(w) - 1).cast("bigint").alias("i"))
+    s = p.groupBy("source").agg(F.count("*").alias("n")).where("n >= 2")
+    k = s.select("source", "n", F.explode(F.expr("sequence(0L, least(10L, n * (n - 1) div 2) - 1)")).alias("draw"))
+    a, b = (T.hash32(F.concat_ws(":", F.lit(x), "source", "draw")) for x in "ab")
+    h = k.withColumn("a", a % F.col("n")).withColumn("b0", b % (F.col("n") - 1)).withColumn("b", F.when(F.col("b0") >= F.col("a"), F.col("b0") + 1).otherwise(F.col("b0")))
+    x, y = p.select("source", F.col("i").alias("a"), F.col("doc_id").alias("ref")), p.select("source", F.col("i").alias("b"), F.col("doc_id").alias("target"))
+    return h.join(x, ["source", "a"]).join(y, ["source", "b"]).select(F.col("source").alias("speaker"), "draw", "ref", "target")
+
+
+@query("SELECT doc_id, '<|task_tts|><|start_content|>' || text || '<|end_content|><|start_global_token|>' AS prompt FROM documents")
+def prompt_build(spark, d):
+    return _docs(spark, d).select("doc_id", T.train_prompt(F.col("text")).alias("prompt"))
+
+
+@query("SELECT u.conv_id, u.turn, '<|task_tts|><|start_content|>' || u.text || '<|end_content|><|start_global_token|>' AS prompt, a.text AS completion FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
+def chat_prompts(spark, d):
+    c = table(spark, d, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
+    return c.where("role = 'user'").join(a, ["conv_id", "turn"]).select("conv_id", "turn", T.train_prompt(F.col("text")).alias("prompt"), "completion")
+
+
+def _tokens(spark, d) -> DataFrame:
+    x = F.col("embedding")
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.col("label").alias("speaker"), F.transform(F.slice(x, 1, 32), lambda v: F.floor((v.cast("double") + 1) * 2048).cast("int")).alias("global_ids"),
+        F.transform(x, lambda v: F.floor((v.cast("double") + 1) * 4096).cast("int")).alias("semantic_ids"))
+
+
+_TOK = """t AS (SELECT vec_id, label AS speaker, list_transform(embedding[1:32], lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 2048) AS INTEGER)) AS g,
+ list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 4096) AS INTEGER)) AS s FROM embeddings)"""
+
+
+@query(f"WITH {_TOK} SELECT vec_id, array_to_string(list_transform(s, lambda i: '<|bicodec_semantic_' || i || '|>'), '') AS tokens FROM t")
+def token_render(spark, d):
+    return _tokens(spark, d).select("vec_id", T.render_tokens(F.col("semantic_ids"), "semantic").alias("tokens"))
+
+
+@query(f"WITH {_TOK} SELECT vec_id, array_to_string(g, ',') AS ids FROM t")
+def token_parse(spark, d):
+    text = _tokens(spark, d).select("vec_id", F.concat(T.render_tokens(F.col("semantic_ids"), "semantic"), T.render_tokens(F.col("global_ids"), "global")).alias("t"))
+    return text.select("vec_id", F.array_join(T.parse_tokens(F.col("t"), "global").cast("array<string>"), ",").alias("ids"))
+
+
+_PROMPT = "list_transform(range(0, vec_id % 40), lambda i: CAST(i AS INTEGER))"
+
+
+def _prompt():
+    return F.when(F.col("vec_id") % 40 > 0, F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 40 - 1).cast("int")), lambda i: i)).otherwise(F.array().cast("array<int>"))
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    text = {c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "labels", "attention_mask")}
+    return df.select("vec_id", *text.values())
+
+
+@query(f"""WITH {_TOK}, c AS (SELECT vec_id, s, {_PROMPT} || [900001] || g || [900002, 900003] AS ctx FROM t WHERE len(g) > 0 AND len(s) > 0),
+k AS (SELECT vec_id, ctx, s[1:90 - len(ctx) - 2] || [900004, 900005] AS tail FROM c WHERE 90 - len(ctx) > 2)
+SELECT vec_id, array_to_string(ctx || tail, ',') AS input_ids, array_to_string(list_transform(ctx, lambda x: -100) || tail, ',') AS labels, array_to_string(list_transform(ctx || tail, lambda x: 1), ',') AS attention_mask FROM k""")
+def train_rows_clone(spark, d):
+    return _rows(C.training_rows(_tokens(spark, d), _prompt(), 90))
+
+
+@query(f"""WITH {_TOK}, c AS (SELECT vec_id, {_PROMPT} AS p, ({_PROMPT} || s)[1:60] AS w FROM t)
+SELECT vec_id, array_to_string(w, ',') AS input_ids, array_to_string(list_transform(w[1:len(p)], lambda x: -100) || w[len(p) + 1:], ',') AS labels, array_to_string(list_transform(w, lambda x: 1), ',') AS attention_mask FROM c""")
+def train_rows_legacy(spark, d):
+    return _rows(C.legacy_training_rows(_tokens(spark, d), _prompt(), 60))
+
+
+@query(f"WITH {_TOK} SELECT vec_id, len({_PROMPT} || s) AS n FROM t WHERE len({_PROMPT} || s) <= 80")
+def len_filter(spark, d):
+    return _tokens(spark, d).select("vec_id", F.size(F.concat(_prompt(), "semantic_ids")).cast("bigint").alias("n")).where("n <= 80")
+
+
+_WAVE = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings"
+
+
+def _waves(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("w"))
+
+
+@query(f"""WITH a AS ({_WAVE}), e AS (SELECT *, greatest(1e-4, 1e-3 * list_max(list_transform(w, lambda x: abs(x)))) AS eps FROM a),
+l AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: abs(w[i]) > eps) AS loud FROM e),
+t AS (SELECT vec_id, CASE WHEN len(loud) > 0 THEN w[greatest(loud[1] - 5, 1):least(loud[-1] + 5, len(w))] ELSE w END AS w FROM l),
+r AS (SELECT *, sqrt(list_sum(list_transform(w, lambda x: x * x)) / len(w)) AS r FROM t), g AS (SELECT vec_id, list_transform(w, lambda x: x * CASE WHEN r > 0 AND r < 0.05 THEN least(0.05 / r, 30) ELSE 1 END) AS w FROM r),
+p AS (SELECT *, list_max(list_transform(w, lambda x: abs(x))) AS p FROM g), c AS (SELECT vec_id, list_transform(w, lambda x: greatest(-1.0, least(1.0, x * CASE WHEN p > 0 AND p < 0.5 THEN 0.95 / p ELSE 1 END))) AS w FROM p)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(w[i], 6) AS sample FROM (SELECT vec_id, w, unnest(range(1, len(w) + 1)) AS i FROM c)""")
+def wav_prepare(spark, d):
+    return _waves(spark, d).select("vec_id", F.posexplode(W.prepare(F.col("w"), 100)).alias("pos", "sample")).withColumn("sample", F.round("sample", 6))
+
+
+@query(f"SELECT vec_id, round(list_max(list_transform(w, lambda x: abs(x))), 6) AS peak, round(sqrt(list_sum(list_transform(w, lambda x: x * x)) / len(w)), 6) AS rms, round(list_sum(list_transform(w, lambda x: abs(x))) / len(w), 6) AS mean_abs FROM ({_WAVE})")
+def wav_stats(spark, d):
+    w = F.col("w")
+    return _waves(spark, d).select("vec_id", F.round(W.peak(w), 6).alias("peak"), F.round(W.rms(w), 6).alias("rms"), F.round(W.mean_abs(w), 6).alias("mean_abs"))
+
+
+@query(f"SELECT vec_id, list_sum(list_transform(w, lambda x: abs(x))) / len(w) < 1e-4 AS silent FROM ({_WAVE})")
+def wav_silent(spark, d):
+    return _waves(spark, d).select("vec_id", W.silent(F.col("w")).alias("silent"))
+
+
+@query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2, 6) AS first, round((embedding[32]::DOUBLE + embedding[64]::DOUBLE) / 2, 6) AS last FROM embeddings")
+def mono_downmix(spark, d):
+    m = _waves(spark, d).select("vec_id", W.mono(F.array(F.slice("w", 1, 32), F.slice("w", 33, 32))).alias("m"))
+    return m.select("vec_id", F.round(F.get("m", F.lit(0)), 6).alias("first"), F.round(F.element_at("m", -1), 6).alias("last"))
+
+
+@query("WITH a AS (SELECT vec_id, vec_id // 8 AS batch, 40 + vec_id % 25 AS n FROM embeddings), b AS (SELECT *, max(n) OVER (PARTITION BY batch) AS size FROM a) SELECT vec_id, batch, size, size - n AS zeros FROM b")
+def pad_batch(spark, d):
+    a = _waves(spark, d).select("vec_id", F.expr("vec_id div 8").alias("batch"), F.slice("w", F.lit(1), (40 + F.col("vec_id") % 25).cast("int")).alias("w"))
+    b = a.withColumn("size", F.max(F.size("w")).over(Window.partitionBy("batch")))
+    out = b.select("vec_id", "batch", F.size("w").alias("n"), W.padded(F.col("w"), F.col("size")).alias("w"))
+    return out.select("vec_id", "batch", F.size("w").cast("bigint").alias("size"), F.size(F.filter(F.slice("w", F.col("n") + 1, F.size("w") - F.col("n")), lambda x: x == 0.0)).cast("bigint").alias("zeros"))
+
+
+@query(f"""WITH a AS (SELECT vec_id, label, w, len(w) AS n, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS no, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) IS NULL AS last FROM ({_WAVE})),
+p AS (SELECT *, coalesce(sum(n - CASE WHEN last THEN 0 ELSE 8 END) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM a),
+x AS (SELECT label, start, no, last, n, w, unnest(range(0, n)) AS i FROM p)
+SELECT label, CAST(start + i AS BIGINT) AS pos, round(sum(w[i + 1] * CASE WHEN no > 1 AND i < 8 THEN i / 7.0 ELSE 1 END * CASE WHEN NOT last AND i >= n - 8 THEN (n - 1 - i) / 7.0 ELSE 1 END), 6) AS sample FROM x GROUP BY 1, 2""")
+def crossfade(spark, d):
+    return C.crossfaded(_waves(spark, d), "label", "vec_id", "w", 8).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("sample", 6).alias("sample"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'shards' WHEN doc_id % 5 = 0 THEN 'flat' ELSE 'legacy' END AS origin FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0")
+def cache_merge(spark, d):
+    x = _docs(spark, d).select("doc_id")
+    return C.first_wins([x.where(F.col("doc_id") % k == 0).withColumn("origin", F.lit(name)) for k, name in ((3, "shards"), (5, "flat"), (7, "legacy"))], "doc_id")
+
+
+@query(f"WITH {_U} SELECT doc_id, audio_path FROM u WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_missing(spark, d):
+    return _manifest(spark, d).select("doc_id", "audio_path").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(f"WITH {_U} SELECT doc_id, audio_path FROM u WHERE doc_id IN (SELECT doc_id FROM labels)")
+def cache_subset(spark, d):
+    return _manifest(spark, d).select("doc_id", "audio_path").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT source, arg_max('checkpoint-' || doc_id, doc_id) AS latest FROM documents GROUP BY 1")
+def latest_checkpoint(spark, d):
+    c = _docs(spark, d).select("source", F.concat(F.lit("checkpoint-"), "doc_id").alias("name"))
+    return c.groupBy("source").agg(F.max_by("name", F.regexp_extract("name", r"-(\d+)$", 1).cast("bigint")).alias("latest"))
+
+
+@query("SELECT doc_id, substr(md5(doc_id || ':' || lang || ':' || source), 1, 12) AS fingerprint FROM documents")
+def fingerprint(spark, d):
+    return _docs(spark, d).select("doc_id", T.fingerprint(F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents")
+def incremental_tokenize(spark, d):
+    return incremental.run_available(spark, f"{d}/documents.parquet", lambda df: df.select("doc_id", F.length("text").cast("bigint").alias("n")), "doc_id")
+
+
+def _pieces(spark, d, name: str, key: str) -> DataFrame:
+    words = table(spark, d, name).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z<>]+"))).alias("piece"), F.col(key).alias("k"))
+    return words.where("piece <> ''").groupBy("piece").agg(F.min("k").alias("k"))
+
+
+_WORDS = "SELECT piece, min(k) AS k FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z<>]+')) AS piece, {} AS k FROM {}) WHERE piece <> '' GROUP BY 1"
+_VOCAB = f"b AS (SELECT piece, row_number() OVER (ORDER BY k, piece) - 1 AS id FROM ({_WORDS.format('item_id', 'benchmark')})), n AS (SELECT piece, k FROM ({_WORDS.format('conv_id', 'conversations')}))"
+
+
+@query(f"WITH {_VOCAB} SELECT piece FROM n WHERE NOT (piece LIKE '<%' AND piece LIKE '%>') AND piece NOT IN (SELECT piece FROM b)")
+def vocab_new(spark, d):
+    n = _pieces(spark, d, "conversations", "conv_id").where(~(F.startswith("piece", F.lit("<")) & F.endswith("piece", F.lit(">"))))
+    return n.join(_pieces(spark, d, "benchmark", "item_id"), "piece", "left_anti").select("piece")
+
+
+@query(f"WITH {_VOCAB}, p AS (SELECT piece, row_number() OVER (ORDER BY k, piece) - 1 AS id FROM n) SELECT piece, id, row_number() OVER (ORDER BY id) - 1 + (SELECT max(id) + 1 FROM b) AS new_id FROM p WHERE NOT (piece LIKE '<%' AND piece LIKE '%>') AND piece NOT IN (SELECT piece FROM b)")
+def vocab_ids(spark, d):
+    w = Window.orderBy("k", "piece")
+    base, n = (_pieces(spark, d, t, k).select("piece", (F.row_number().over(w) - 1).cast("bigint").alias("id")) for t, k in (("benchmark", "item_id"), ("conversations", "conv_id")))
+    return C.new_vocabulary(base, n)
+
+
+@query("SELECT CAST(i - 1 AS INTEGER) AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1")
+def mean_embedding(spark, d):
+    return table(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query()
+def embed_init(spark, d):
+    mean = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    new = spark.range(16).withColumnRenamed("id", "new_id")
+    return new.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(F.broadcast(mean), "pos").select("new_id", "pos", (F.col("mean") + 0.01 * F.randn(11)).alias("value"))
+
+
+@query("SELECT count(*) AS lines, CAST(sum(len(regexp_extract_all(text, '[^ \\t\\n\\x{0B}\\f\\r]+'))) AS BIGINT) AS words, round(avg(length(text)), 6) AS mean_chars FROM documents")
+def corpus_counts(spark, d):
+    return _docs(spark, d).agg(F.count("*").alias("lines"), F.sum(F.expr(r"cast(regexp_count(text, r'[^ \t\n\x0B\f\r]+') as bigint)")).alias("words"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+
+
+@query("""WITH j AS (SELECT source, d.doc_id, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))
+SELECT source, count(*) AS files, count(*) FILTER (missing) AS missing, array_to_string(list_sort(list(doc_id) FILTER (missing))[1:3], ',') AS examples FROM j GROUP BY 1""")
+def layout_validate(spark, d):
+    known = table(spark, d, "labels").select("doc_id").distinct().withColumn("has", F.lit(True))
+    j = _docs(spark, d).select("source", "doc_id").join(known, "doc_id", "left").withColumn("missing", F.col("has").isNull())
+    w = Window.partitionBy("source").orderBy("doc_id")
+    few = j.where("missing").withColumn("n", F.row_number().over(w)).where("n <= 3").groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("examples"))
+    return j.groupBy("source").agg(F.count("*").alias("files"), F.count_if("missing").alias("missing")).join(few, "source", "left")
+
+
+@query("SELECT DISTINCT 'SPICORProject_' || source AS src, 'SYSPINProject_SPICOR_' || source AS dst, lang FROM documents WHERE length(lang) BETWEEN 2 AND 4 AND lang = lower(lang) AND lang <> upper(lang)")
+def layout_plan(spark, d):
+    x = _docs(spark, d).where("length(lang) BETWEEN 2 AND 4 AND lang = lower(lang) AND lang <> upper(lang)").select(F.concat(F.lit("SPICORProject_"), "source").alias("src"), "lang").distinct()
+    return x.select("src", F.regexp_replace("src", "^SPICORProject_", "SYSPINProject_SPICOR_").alias("dst"), "lang")
+
+
+@query("SELECT e.name, d.source IS NOT NULL AS found FROM (SELECT unnest(['src0', 'src1', 'src19', 'src20', 'none']) AS name) e LEFT JOIN (SELECT DISTINCT source FROM documents) d ON d.source = e.name")
+def artifact_check(spark, d):
+    names = spark.createDataFrame([(x,) for x in ("src0", "src1", "src19", "src20", "none")], "name string")
+    return names.join(_docs(spark, d).select(F.col("source").alias("name")).distinct().withColumn("has", F.lit(True)), "name", "left").select("name", F.col("has").isNotNull().alias("found"))
+
+
+@query("SELECT doc_id, audio_path IS NOT NULL AS cached FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 'x' AS audio_path FROM labels) USING (doc_id)")
+def cache_lookup(spark, d):
+    hit = table(spark, d, "labels").select("doc_id").distinct().withColumn("hit", F.lit(True))
+    return _docs(spark, d).select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.col("hit").isNotNull().alias("cached"))
+
+
+@query("SELECT doc_id, 'a' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' AS origin FROM documents WHERE doc_id % 3 = 0")
+def shard_union(spark, d):
+    x = _docs(spark, d).select("doc_id")
+    return x.where("doc_id % 2 = 0").withColumn("origin", F.lit("a")).unionByName(x.where("doc_id % 3 = 0").withColumn("origin", F.lit("b")))
+
+
+@query(f"WITH {_TOK} SELECT vec_id, CAST(len(list_filter(s, lambda x: x % 2 = 0)) AS BIGINT) AS allowed FROM t")
+def token_mask(spark, d):
+    masked = _tokens(spark, d).select("vec_id", F.transform("semantic_ids", lambda x: F.when(x % 2 == 0, x.cast("double")).otherwise(F.lit(float("-inf")))).alias("m"))
+    return masked.select("vec_id", F.size(F.filter("m", lambda x: x > float("-inf"))).cast("bigint").alias("allowed"))
