@@ -20,7 +20,7 @@ def run_available(spark: SparkSession, source: str, work: Callable[[DataFrame],
     Keys already in out are skipped, so a batch that is repeated after a failure adds nothing.
     """
     out, state = out or scratch_path(spark, "stream"), state or scratch_path(spark, "stream-state")
-    schema = spark.read.parquet(source).schema
+    schema = spark.read.option("recursiveFileLookup", True).parquet(source).schema
     folder, name = source.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{name}*")
 
