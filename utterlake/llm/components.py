@@ -1,4 +1,4 @@
-"""Connected components of a graph held as an edge table."""
+"""Connected components of a graph held as an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -9,18 +9,32 @@ from utterlake.runtime import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node reachable.
+    """(node, component) for every node of edges(a, b) that has a neighbour; component is the smallest node reachable.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of that label, so a label
-    travels along doubled paths. Labels and edges stay distributed; only the number of changed labels reaches the driver.
+    Each round every node points to the smallest of itself and its neighbours, pointers are doubled until all point to
+    roots, and the edges between roots, distinct, are the next round's: at most half as many nodes are left, and a dense
+    group is one node after one round. Tables stay distributed; the driver only learns whether one is empty.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    left, labels = materialize(_ordered(edges, "a", "b"), "edges"), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("target"))
-        far = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
-        labels = materialize(step.join(far, F.col("target") == F.col("at"), "left").select("node", "old", F.least("target", F.coalesce("jump", "target")).alias("component")), "labels")
-        if labels.where("component <> old").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
+        root = materialize(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "roots")
+        while True:
+            above = root.select(F.col("node").alias("at"), F.col("root").alias("top"))
+            step = materialize(root.join(above, F.col("root") == F.col("at")).select("node", F.col("root").alias("old"), F.col("top").alias("root")), "roots")
+            root = step.select("node", "root")
+            if step.where("root <> old").isEmpty():
+                break
+        if labels is None:
+            labels = root.select("node", F.col("root").alias("component"))
+        else:
+            newer = root.select(F.col("node").alias("at"), "root")
+            labels = materialize(labels.join(newer, F.col("component") == F.col("at"), "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        a, b = (root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
+        left = materialize(_ordered(left.join(a, "a").join(b, "b"), "root_a", "root_b"), "edges")
+        if left.isEmpty():
+            return labels
+
+
+def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
+    return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
