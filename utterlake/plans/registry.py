@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from utterlake.functions import spoken
 from utterlake.functions import text as T
 from utterlake.functions import waves as W
 from utterlake.operators import corpus as C
+from utterlake.operators import scoring
 from utterlake.runtime import table
+from utterlake.sources import transcripts, wav
 from utterlake.streaming import incremental
 
 QUERIES: dict = {}
@@ -441,3 +444,61 @@ def shard_union(spark, d):
 def token_mask(spark, d):
     masked = _tokens(spark, d).select("vec_id", F.transform("semantic_ids", lambda x: F.when(x % 2 == 0, x.cast("double")).otherwise(F.lit(float("-inf")))).alias("m"))
     return masked.select("vec_id", F.size(F.filter("m", lambda x: x > float("-inf"))).cast("bigint").alias("allowed"))
+
+
+def _number_sql() -> str:
+    words = "[" + ", ".join(f"'{w}'" for w in spoken.below_hundred()) + "]"
+    two = lambda n: f"CASE WHEN {n} > 0 THEN {words}[{n} + 1] END"
+    parts = []
+    for i, scale in enumerate(spoken.SCALES):
+        n = f"CAST(substr(lpad(regexp_extract(m, '[0-9]+'), 15, '0'), {1 + 3 * i}, 3) AS INTEGER)"
+        own = f"concat_ws(' ', {two(f'({n} // 100)')} || ' hundred', {two(f'({n} % 100)')})"
+        parts.append(f"nullif(concat_ws(' ', nullif({own}, ''), '{scale}'), '{scale}')" if scale else f"nullif({own}, '')")
+    point = f"'point ' || array_to_string(list_transform(regexp_extract_all(regexp_extract(m, '[.]([0-9]+)', 1), '[0-9]'), lambda x: {words}[CAST(x AS INTEGER) + 1]), ' ')"
+    whole = f"concat_ws(' ', CASE WHEN m[1] = '-' THEN 'minus' END, coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), 'zero'), CASE WHEN contains(m, '.') THEN {point} END)"
+    pattern = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
+    spoken_list = f"list_transform(regexp_extract_all(text, '{pattern}'), lambda m: CASE WHEN regexp_full_match(m, '-?[0-9]{{1,15}}([.][0-9]+)?') THEN {whole} ELSE m END)"
+    return f"SELECT doc_id, array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{pattern}'), {spoken_list}), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') AS words FROM documents"
+
+
+@query(_number_sql())
+def verbalize_numbers(spark, d):
+    return _docs(spark, d).select("doc_id", spoken.verbalised(F.col("text")).alias("words"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding as the bytes of a WAV file."""
+    return wav.encoded(table(spark, d, "embeddings"), "vec_id", "embedding", 16000)
+
+
+_PCM = "CAST(round_even(greatest(-1, least(1, CAST(x AS DOUBLE))) * 32767, 0) AS BIGINT)"
+
+
+@query(f"SELECT vec_id, true AS valid, CAST(44 + 2 * len(embedding) AS BIGINT) AS n_bytes, len(embedding) / 16000 AS seconds, array_to_string(list_transform(embedding, lambda x: {_PCM}), ' ') AS pcm FROM embeddings")
+def wav_round_trip(spark, d):
+    files = _files(spark, d)
+    back = wav.decoded(files.withColumn("_key", F.struct("vec_id", wav.valid(F.col("content")).alias("valid"), F.length("content").cast("bigint").alias("n_bytes"))), "_key")
+    pcm = F.transform("wave", lambda x: F.round(x.cast("double") * 32768).cast("bigint").cast("string"))
+    return back.select("_key.*", "seconds", F.array_join(pcm, " ").alias("pcm"))
+
+
+@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text, lang AS domain FROM documents")
+def transcript_parse(spark, d):
+    entry = F.struct(F.col("text").alias("Transcript"), F.col("lang").alias("Domain"))
+    files = _docs(spark, d).select("doc_id", F.to_json(F.struct(F.create_map(F.col("doc_id").cast("string"), entry).alias("Transcripts"))).alias("json"))
+    return transcripts.parsed(files, "json", "doc_id")
+
+
+@query("""SELECT vec_id, array_to_string(list_transform(embedding[1:32], lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 2048) AS INTEGER)), ' ') AS global_ids,
+ array_to_string(list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 4096) AS INTEGER)), ' ') AS semantic_ids FROM embeddings""")
+def codec_score(spark, d):
+    got = scoring.scored(table(spark, d, "embeddings"), "vec_id", "embedding").where("error IS NULL")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return got.select("vec_id", text("global_ids"), text("semantic_ids"))
+
+
+@query()
+def synthesize(spark, d):
+    """Speech of every benchmark text by the stand-in voice."""
+    files = scoring.synthesised(table(spark, d, "benchmark"), "item_id", "text")
+    return files.select("item_id", wav.valid(F.col("content")).alias("valid"), F.sha2("content", 256).alias("sha256"))
