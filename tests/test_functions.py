@@ -1,9 +1,12 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from utterlake.functions import text as T
 from utterlake.functions import waves as W
 from utterlake.operators import corpus as C
+from utterlake.runtime import numbered
 
 
 def one(spark, value, f, type_="string"):
@@ -76,3 +79,21 @@ def test_crossfade(spark):
     rows = spark.createDataFrame([(0, 0, [1.0] * 4), (0, 1, []), (0, 2, [1.0] * 4), (1, 0, [0.5])], "g int, o int, w array<double>")
     got = {(r.g, r.pos): r["sample"] for r in C.crossfaded(rows, "g", "o", "w", 2).collect()}
     assert got == {**{(0, p): pytest.approx(1.0) for p in range(6)}, (1, 0): 0.5}
+
+
+def test_places_in_groups_over_many_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.concat(F.lit("g"), F.col("id") % 50)).alias("g")).repartition(5)
+        got = numbered(rows, ["g"], [F.md5(F.col("id").cast("string"))], "at").collect()
+        whole = numbered(rows, [], [-F.col("id")], "at").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.g, []).append((hashlib.md5(str(r.id).encode()).hexdigest(), r.id))
+    assert {(r.g, r.at, r.id) for r in got} == {(g, i, x) for g, v in groups.items() for i, (_, x) in enumerate(sorted(v))}
+    assert len(got) == len(whole) == 3000 and all(r.at == 2999 - r.id for r in whole)
+    assert numbered(rows.limit(0), ["g"], ["id"], "at").collect() == []

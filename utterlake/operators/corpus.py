@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterlake.functions import text as T
+from utterlake.runtime import materialize, numbered
 
 LEAST_SECONDS, MOST_SECONDS = 0.05, 30.0
 START_GLOBAL, END_GLOBAL, START_SEMANTIC, END_SEMANTIC, IM_END = 900001, 900002, 900003, 900004, 900005
@@ -49,32 +50,34 @@ def balanced(rows: DataFrame, base: list[str], share: float, key: str = "doc_id"
     if not others:
         return rows
     most = int(share / (1 - share) * others)
-    return rows.where(~is_base).unionByName(rows.where(is_base).orderBy(shuffle_key(F.col(key), seed), key).limit(most))
+    return rows.where(~is_base).unionByName(numbered(rows.where(is_base), [], [shuffle_key(F.col(key), seed), key], "_at").where(F.col("_at") < most).drop("_at"))
 
 
 def split_validation(rows: DataFrame, share: float, key: str = "doc_id", seed: str = "7") -> DataFrame:
-    """rows with is_val for exactly clamp(round(n * share), 1, n - 1) of them; none where n < 2 or share <= 0."""
+    """rows with is_val for exactly clamp(round(n * share), 1, n - 1) of them, repeated keys too; none where n < 2 or share <= 0."""
     n = rows.count()
     take = 0 if n < 2 or share <= 0 else max(1, min(n - 1, round(n * share)))
-    chosen = rows.select(key).orderBy(shuffle_key(F.col(key), seed), key).limit(take).withColumn("is_val", F.lit(True))
-    return rows.join(chosen, key, "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
+    if not take:
+        return rows.withColumn("is_val", F.lit(False))
+    return numbered(rows, [], [shuffle_key(F.col(key), seed), key], "_at").withColumn("is_val", F.col("_at") < take).drop("_at")
 
 
 def references(rows: DataFrame, chance: str = "0.8", key: str = "audio_path", pool_limit: int | None = None) -> DataFrame:
     """(key, speaker, ref): a reference of the same speaker, by hashes of the key; itself with probability 1 - chance, or alone.
 
-    A count per speaker and a numbered pool joined on (speaker, number): no pairs within a speaker are made.
+    A count per speaker and a numbered pool joined on (speaker, number): no pairs within a speaker are made, and a speaker
+    of any size spreads over many tasks.
     """
-    w = Window.partitionBy("speaker").orderBy(key)
-    pool = rows.where(F.coalesce("speaker", F.lit("")) != "").select("speaker", F.col(key).alias("ref"), (F.row_number().over(w) - 1).alias("at"))
+    named = rows.where(F.coalesce("speaker", F.lit("")) != "").select("speaker", F.col(key).alias("ref"))
+    pool = materialize(numbered(named, ["speaker"], ["ref"], "at"), "pool")
     if pool_limit:
         pool = pool.where(F.col("at") < pool_limit)
     sizes = pool.groupBy("speaker").agg(F.count("*").alias("n"))
     u = T.hash32(F.concat(F.lit("refsel:"), key)) / F.lit(4294967295.0).cast("double")
-    numbered = rows.select(key, "speaker").join(pool.select("speaker", F.col("ref").alias(key), F.col("at").alias("own")), ["speaker", key], "left").join(sizes, "speaker", "left")
+    placed = rows.select(key, "speaker").join(pool.select("speaker", F.col("ref").alias(key), F.col("at").alias("own")), ["speaker", key], "left").join(sizes, "speaker", "left")
     first = T.hash32(F.concat(F.lit("refidx:"), key)) % F.col("n")
     at = F.when((u < float(chance)) & (F.col("n") > 1), F.when(first == F.col("own"), (first + 1) % F.col("n")).otherwise(first))
-    wanted = numbered.withColumn("at", at)
+    wanted = placed.withColumn("at", at)
     return wanted.join(pool, ["speaker", "at"], "left").select(key, "speaker", F.coalesce("ref", key).alias("ref"))
 
 
@@ -125,4 +128,5 @@ def new_vocabulary(base: DataFrame, pieces: DataFrame) -> DataFrame:
     """pieces(piece, id) that are neither special (<...>) nor in base(piece, id), with new ids behind base's in order of id."""
     special = F.startswith("piece", F.lit("<")) & F.endswith("piece", F.lit(">"))
     size = base.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("n")).first().n
-    return pieces.where(~special).join(base, "piece", "left_anti").select("piece", "id", (F.row_number().over(Window.orderBy("id")) + (size - 1)).cast("bigint").alias("new_id"))
+    new = numbered(pieces.where(~special).join(base, "piece", "left_anti").select("piece", "id"), [], ["id"], "_at")
+    return new.select("piece", "id", (F.col("_at") + size).cast("bigint").alias("new_id"))

@@ -10,7 +10,7 @@ from utterlake.functions import text as T
 from utterlake.functions import waves as W
 from utterlake.operators import corpus as C
 from utterlake.operators import scoring
-from utterlake.runtime import table
+from utterlake.runtime import materialize, numbered, table
 from utterlake.sources import transcripts, wav
 from utterlake.streaming import incremental
 
@@ -211,8 +211,7 @@ s AS (SELECT source, max(n) AS n FROM p GROUP BY 1 HAVING max(n) >= 2), k AS (SE
 h AS (SELECT source, draw, n, {_HASH.format("'a:' || source || ':' || draw")} % n AS a, {_HASH.format("'b:' || source || ':' || draw")} % (n - 1) AS b0 FROM k)
 SELECT h.source AS speaker, h.draw, x.doc_id AS ref, y.doc_id AS target FROM h JOIN p x ON x.source = h.source AND x.i = a JOIN p y ON y.source = h.source AND y.i = CASE WHEN b0 >= a THEN b0 + 1 ELSE b0 END""")
 def clone_pairs(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    p = _docs(spark, d).select("doc_id", "source", (F.row_number().over(w) - 1).cast("bigint").alias("i"))
+    p = materialize(numbered(_docs(spark, d).select("doc_id", "source"), ["source"], ["doc_id"], "i"), "pool")
     s = p.groupBy("source").agg(F.count("*").alias("n")).where("n >= 2")
     k = s.select("source", "n", F.explode(F.expr("sequence(0L, least(10L, n * (n - 1) div 2) - 1)")).alias("draw"))
     a, b = (T.hash32(F.concat_ws(":", F.lit(x), "source", "draw")) for x in "ab")
@@ -384,8 +383,7 @@ def vocab_new(spark, d):
 
 @query(f"WITH {_VOCAB}, p AS (SELECT piece, row_number() OVER (ORDER BY k, piece) - 1 AS id FROM n) SELECT piece, id, row_number() OVER (ORDER BY id) - 1 + (SELECT max(id) + 1 FROM b) AS new_id FROM p WHERE NOT (piece LIKE '<%' AND piece LIKE '%>') AND piece NOT IN (SELECT piece FROM b)")
 def vocab_ids(spark, d):
-    w = Window.orderBy("k", "piece")
-    base, n = (_pieces(spark, d, t, k).select("piece", (F.row_number().over(w) - 1).cast("bigint").alias("id")) for t, k in (("benchmark", "item_id"), ("conversations", "conv_id")))
+    base, n = (numbered(_pieces(spark, d, t, k), [], ["k", "piece"], "id").select("piece", "id") for t, k in (("benchmark", "item_id"), ("conversations", "conv_id")))
     return C.new_vocabulary(base, n)
 
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parent.parent)
@@ -80,6 +80,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """df with each row's 0-based place within its group, by ascending values of order; nulls form a group.
+
+    A group may span as many tasks as its rows need: rows are range-partitioned and sorted by (groups, order), a row's
+    place is its place in its partition plus what its group has in the partitions before. The starts that are joined are
+    one row for each pair of group and partition that occurs, at most groups plus partitions.
+    """
+    keys = {f"_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    by = [*groups, *keys] or [F.lit(0)]
+    dealt = df.withColumns(keys).repartitionByRange(*by).sortWithinPartitions(*by).drop(*keys)
+    rows = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
+    own = rows.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = own.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_part").alias("_of"), (before - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_of")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_shift")).alias(name))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row even where the optimizer would repeat it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
