@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked to the three marginals in turn; then each document is
-kept with its cell's calibrated probability, by a hash of its id. The cells are as many as the combinations that occur, so
-they are raked in one task without a shuffle; documents are aggregated to cells before any shuffle, whatever the source's size.
+kept with its cell's calibrated probability, by a hash of its id. Cells are as many as the combinations that occur: up to
+BROADCAST_CELLS are raked in one task without a shuffle, more by sums that are shuffled and joined. Documents are
+aggregated to cells before any shuffle, whatever the source's size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from utterlake.runtime import materialize, table
 
 TEMPER, KEEP, SWEEPS, SEED = 0.7, 0.8, 12, "mix"
 BY = ("source", "lang", "topic")
-#: Up to so many cells are broadcast to the documents; more are joined by a shuffle.
+#: Up to so many cells are raked in one task and broadcast to the documents; more are raked and joined by shuffles.
 BROADCAST_CELLS = 50_000
 _WORD = r"[^\t\n\x0B\f\r ]+"
 _TOPIC = """CASE WHEN contains({text}, ' | ') THEN 'table' WHEN contains({text}, 'icense') OR contains({text}, 'ights reserved') THEN 'notice'
@@ -36,18 +37,29 @@ def _targets(cells: DataFrame, by: str) -> DataFrame:
     return sums.select(by, F.when(F.sum(power).over(every) > 0, power / F.sum(power).over(every) * F.sum("own").over(every)).otherwise(0.0).alias(f"to_{by}"))
 
 
+def _fitted_to(cells: DataFrame, by: str, wide: bool) -> DataFrame:
+    """cells with their weights scaled so that those of each value of by reach its target."""
+    if wide:
+        cells, now = cells.join(cells.groupBy(by).agg(F.sum("weight").alias("_now")), by), F.col("_now")
+    else:
+        now = F.sum("weight").over(Window.partitionBy(by))
+    return cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"to_{by}") / now).otherwise(0.0)).select(*BY, "tokens", *(f"to_{b}" for b in BY), "weight")
+
+
 def rake(cells: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """cells(source, lang, topic, tokens) with weight: tokens raked to the targets of the three marginals."""
-    cells = cells.coalesce(1)
+    """cells(source, lang, topic, tokens) with weight: tokens raked to the targets of the three marginals. cells are read twice or more: a table."""
+    wide = cells.count() > BROADCAST_CELLS
+    together = (lambda df: df) if wide else (lambda df: df.coalesce(1))
+    targeted = together(cells)
     for by in BY:
-        cells = cells.join(F.broadcast(_targets(cells, by)), by)
-    fitted = materialize(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+        own = _targets(cells, by)
+        targeted = targeted.join(own if wide else F.broadcast(own), by)
+    fitted = materialize(targeted.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for done in range(sweeps):
-        fitted = fitted.coalesce(1)
+        fitted = together(fitted)
         for by in BY:
-            now = F.sum("weight").over(Window.partitionBy(by))
-            fitted = fitted.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"to_{by}") / now).otherwise(0.0))
-        if done % 4 == 3:
+            fitted = _fitted_to(fitted, by, wide)
+        if wide or done % 4 == 3:
             fitted = materialize(fitted, "raked")
     return fitted.select(*BY, "tokens", "weight")
 
