@@ -97,3 +97,26 @@ def test_places_in_groups_over_many_tasks(spark):
     assert {(r.g, r.at, r.id) for r in got} == {(g, i, x) for g, v in groups.items() for i, (_, x) in enumerate(sorted(v))}
     assert len(got) == len(whole) == 3000 and all(r.at == 2999 - r.id for r in whole)
     assert numbered(rows.limit(0), ["g"], ["id"], "at").collect() == []
+
+
+def test_token_ids_keep_their_order(spark):
+    vocabulary = spark.createDataFrame([("a", 0), ("b", 1)], "piece string, id long")
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (1, ["b", "a", "b"]), (2, ["a", "z", "z"]), (3, []), (4, None)], "k int, t array<string>")
+    got = sorted((r.k, r.ids, r.unknown) for r in C.token_ids(rows, "t", vocabulary).collect())
+    assert got == [(1, [1, 0, 1], []), (1, [1, 0, 1], []), (2, None, ["z"]), (3, [], []), (4, [], [])]
+
+
+def test_where_to_resume(spark):
+    def at(*paths):
+        return spark.createDataFrame([(p,) for p in paths], "path string")
+
+    one, two = ["o/phase1/checkpoint-5", "o/phase1/checkpoint-40"], ["o/checkpoint-9", "o/checkpoint-10", "o/checkpoint-x", "p/checkpoint-99"]
+    assert C.resume_point(at(*one, *two), "o") == ("o/checkpoint-10", 2)
+    assert C.resume_point(at(*one), "o") == ("o/phase1/checkpoint-40", 1)
+    assert C.resume_point(at("p/checkpoint-1"), "o") == (None, 1)
+    assert C.resume_point(at(*two), "o", "x/phase1/checkpoint-3") == ("x/phase1/checkpoint-3", 1)
+
+
+def test_checks_stop_at_the_first_failure(spark):
+    rows = lambda *passed: C.checked_in_order(spark.createDataFrame(list(enumerate(passed)), "step int, passed boolean")).count()
+    assert (rows(True, False, True, False), rows(True, True), rows(False)) == (2, 2, 1)

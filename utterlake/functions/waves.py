@@ -77,3 +77,8 @@ def prepare(wave: Column, rate: int) -> Column:
 
 def padded(wave: Column, size: Column) -> Column:
     return F.concat(wave, F.array_repeat(F.lit(0.0), (size - F.size(wave)).cast("int")))
+
+
+def layer_mean(*layers: Column) -> Column:
+    """Element-wise mean of arrays of equal length, as features of several hidden layers are mixed."""
+    return mono(F.array(*layers))

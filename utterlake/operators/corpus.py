@@ -130,3 +130,41 @@ def new_vocabulary(base: DataFrame, pieces: DataFrame) -> DataFrame:
     size = base.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("n")).first().n
     new = numbered(pieces.where(~special).join(base, "piece", "left_anti").select("piece", "id"), [], ["id"], "_at")
     return new.select("piece", "id", (F.col("_at") + size).cast("bigint").alias("new_id"))
+
+
+def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
+    """rows with ids, those of its array of tokens in their order by vocabulary(piece, id), and unknown, the tokens without one.
+
+    A row with an unknown token has null ids, so a caller can count and skip it. Rows are numbered, so equal rows stay apart.
+    """
+    given = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
+    each = given.select("_row", F.posexplode(tokens).alias("_at", "piece")).join(vocabulary.select("piece", "id"), "piece", "left")
+    found = each.groupBy("_row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("_ids"),
+        F.array_sort(F.collect_set(F.when(F.col("id").isNull(), F.col("piece")))).alias("_unknown"),
+    )
+    none = F.array().cast("array<string>")
+    joined = given.join(found, "_row", "left").withColumn("unknown", F.coalesce("_unknown", none))
+    ids = F.when(F.size("unknown") == 0, F.coalesce("_ids", F.array().cast(found.schema["_ids"].dataType)))
+    return joined.withColumn("ids", ids).drop("_row", "_ids", "_unknown")
+
+
+def latest_checkpoints(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(folder, step, path) of the highest numbered checkpoint-<step> in each folder; other paths go."""
+    step = F.regexp_extract(path, r"/checkpoint-(\d+)$", 1)
+    rows = paths.where(step != "").select(F.regexp_replace(path, r"/checkpoint-\d+$", "").alias("folder"), step.cast("long").alias("step"), F.col(path).alias("path"))
+    return rows.groupBy("folder").agg(F.max("step").alias("step"), F.max_by("path", "step").alias("path"))
+
+
+def resume_point(checkpoints: DataFrame, out: str, explicit: str | None = None) -> tuple[str | None, int]:
+    """(path, phase) to go on from: the explicit path (phase 1 if it names phase1), else the latest of phase 2 in out, else of out/phase1, else none."""
+    if explicit:
+        return explicit, 1 if "phase1" in explicit else 2
+    last = {r.folder: r.path for r in latest_checkpoints(checkpoints).where(F.col("folder").isin(out, f"{out}/phase1")).collect()}
+    return (last[out], 2) if out in last else (last.get(f"{out}/phase1"), 1)
+
+
+def checked_in_order(checks: DataFrame) -> DataFrame:
+    """checks(step, name, passed) up to and with the first that failed."""
+    first = checks.where("NOT passed").agg(F.min("step").alias("_first"))
+    return checks.join(F.broadcast(first), F.col("_first").isNull() | (F.col("step") <= F.col("_first"))).drop("_first")

@@ -500,3 +500,38 @@ def synthesize(spark, d):
     """Speech of every benchmark text by the stand-in voice."""
     files = scoring.synthesised(table(spark, d, "benchmark"), "item_id", "text")
     return files.select("item_id", wav.valid(F.col("content")).alias("valid"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT vec_id, pos - 1 AS pos, round((x[pos] + x[pos + 16] + x[pos + 32]) / 3, 6) AS mean FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, unnest(range(1, 17)) AS pos FROM embeddings)")
+def layer_mix(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    mixed = W.layer_mean(*(F.slice(x, at, 16) for at in (1, 17, 33)))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(mixed).alias("pos", "mean")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+_SPLIT = "list_filter(regexp_split_to_array(lower(text), '[^a-z<>]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH {_VOCAB.split(", n AS")[0]}, e AS (SELECT conv_id, turn, w, i FROM (SELECT conv_id, turn, unnest({_SPLIT}) AS w, unnest(range(len({_SPLIT}))) AS i FROM conversations)),
+g AS (SELECT conv_id, turn, count(*) FILTER (b.id IS NULL) AS missing, string_agg(CAST(b.id AS VARCHAR), ' ' ORDER BY i) AS ids, len(list(DISTINCT w) FILTER (b.id IS NULL)) AS unknown FROM e LEFT JOIN b ON e.w = b.piece GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, CASE WHEN g.missing > 0 THEN NULL ELSE coalesce(g.ids, '') END AS ids, CAST(coalesce(g.unknown, 0) AS BIGINT) AS unknown FROM conversations c LEFT JOIN g USING (conv_id, turn)""")
+def token_lookup(spark, d):
+    base = numbered(_pieces(spark, d, "benchmark", "item_id"), [], ["k", "piece"], "id").select("piece", "id")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), "[^a-z<>]+"), lambda w: w != "").alias("words"))
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")
+    return C.token_ids(rows, "words", base).select("conv_id", "turn", ids, F.size("unknown").cast("bigint").alias("unknown"))
+
+
+@query("SELECT id, speaker, lang FROM (SELECT CAST(doc_id AS VARCHAR) AS id, 'P_' || source AS speaker, lang FROM documents) WHERE contains(speaker, 'src1')")
+def speaker_dirs(spark, d):
+    path = F.concat(F.lit("root/"), "lang", F.lit("/DATA/P_"), "source", F.lit("/wav/"), F.col("doc_id").cast("string"), F.lit(".wav"))
+    return wav.located(_docs(spark, d).select(path.alias("path")), "P_", "DATA", "src1").select("id", "speaker", "lang")
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS name, row_number() OVER (ORDER BY o_orderpriority) AS step, count(*) < 2990 AS passed FROM orders GROUP BY 1)
+SELECT step, name, passed FROM c WHERE step <= coalesce((SELECT min(step) FROM c WHERE NOT passed), 1000)""")
+def step_checks(spark, d):
+    """Ordered checks (here of the size of each priority's orders), up to the first that fails."""
+    sizes = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg((F.count("*") < 2990).alias("passed"))
+    checks = numbered(sizes, [], ["name"], "at").select((F.col("at") + 1).alias("step"), "name", "passed")
+    return C.checked_in_order(checks)
