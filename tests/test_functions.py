@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,21 @@ def test_where_to_resume(spark):
 def test_checks_stop_at_the_first_failure(spark):
     rows = lambda *passed: C.checked_in_order(spark.createDataFrame(list(enumerate(passed)), "step int, passed boolean")).count()
     assert (rows(True, False, True, False), rows(True, True), rows(False)) == (2, 2, 1)
+
+
+def test_script_and_blanks_match_plain_versions(spark):
+    blocks = {"en": (0, 0x7F), "hi": (0x900, 0x97F), "bn": (0x980, 0x9FF), "gu": (0xA80, 0xAFF), "te": (0xC00, 0xC7F), "kn": (0xC80, 0xCFF)}
+
+    def plain(text):
+        counts = {}
+        for c in text:
+            for lang, (lo, hi) in blocks.items():
+                if lo <= ord(c) <= hi:
+                    counts[lang] = counts.get(lang, 0) + 1
+        return max(counts, key=counts.get) if counts else "en"
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("a b.अबবাગુకిಕé日", k=rng.randint(0, 6))) for _ in range(600)]
+    texts += ["".join(rng.choices("a  b\t\n\x0b\x1c\x1f\x85\xa0      　​᠎", k=rng.randint(0, 8))) for _ in range(600)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.script(F.col("x")).alias("lang"), T.clean(F.col("x")).alias("clean")).collect()
+    assert [(r.lang, r.clean) for r in got] == [(plain(r.x), " ".join(r.x.split())) for r in got]

@@ -18,19 +18,33 @@ SCHEMES = {"hi": "devanagari", "mr": "devanagari", "sa": "devanagari", "bn": "be
 SENTENCE_ENDS = "।॥?!."
 CHUNK_CHARS, CHUNK_SLACK, LONG_TEXT = 300, 1.2, 300
 
+#: White space, \\x1c to \\x1f counted in; and runs of it that are not one plain blank, so ordinary gaps are not rewritten.
+_BLANK = r"\t-\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_RUN = f" [ {_BLANK}]+|[{_BLANK}][ {_BLANK}]*"
 _INDIC_DIGITS = "".join(chr(start + d) for start in (0x0966, 0x09E6, 0x0AE6, 0x0C66, 0x0CE6) for d in range(10))
 _ACRONYM, _CURRENCY = r"(?U)\b[A-Z][A-Z0-9&]+\b", r"(?U)[$£€₹]\s?\d+(?:\.\d+)?"
 
 
 def clean(text: Column) -> Column:
     """White space runs become one blank, the ends are stripped; \\x1c to \\x1f count as white space."""
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(text, _RUN, " "))
 
 
 def script(text: Column) -> Column:
     """The language whose block holds most characters; the block seen first wins a tie; none: en."""
-    votes = [F.struct((F.length(text) - F.length(F.regexp_replace(text, f"[{block}]", ""))).alias("n"), (-F.regexp_instr(text, F.lit(f"[{block}]"))).alias("first"), F.lit(lang).alias("lang")) for lang, block in SCRIPTS.items()]
-    best = F.greatest(*votes)
+    # ASCII is cut out in long runs, and only what is left is searched for the other blocks. A block's place there, r, lies
+    # before the first ASCII sign, at e in the text, where r < e: 2 r and 2 e - 1 compare as the places in the text do.
+    ascii_block, *others = SCRIPTS.values()
+    langs = list(SCRIPTS)
+
+    def best_of(rest: Column) -> Column:
+        votes = [F.struct((F.length(text) - F.length(rest)).alias("n"), (1 - 2 * F.regexp_instr(text, F.lit(f"[{ascii_block}]"))).alias("first"), F.lit(langs[0]).alias("lang"))]
+        for lang, block in zip(langs[1:], others, strict=True):
+            n = F.length(rest) - F.length(F.regexp_replace(rest, f"[{block}]+", ""))
+            votes.append(F.struct(n.alias("n"), (-2 * F.regexp_instr(rest, F.lit(f"[{block}]"))).alias("first"), F.lit(lang).alias("lang")))
+        return F.greatest(*votes)
+
+    best = let(F.regexp_replace(text, f"[{ascii_block}]+", ""), best_of)
     return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit("en"))
 
 
@@ -77,7 +91,7 @@ def normalise(text: Column, lang: str = "en") -> Column:
 def sentences(text: Column) -> Column:
     """Cut after each run of sentence ends; ends stay, pieces are stripped, blank ones go."""
     found = F.regexp_extract_all(text, F.lit(f"[^{SENTENCE_ENDS}]*[{SENTENCE_ENDS}]+|[^{SENTENCE_ENDS}]+"), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, f"^[ {_BLANK}]+|[ {_BLANK}]+$", "")), lambda s: s != "")
 
 
 def chunks(parts: Column, target: int = CHUNK_CHARS) -> Column:
