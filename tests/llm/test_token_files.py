@@ -14,6 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     "Hello,\nworld's   two  blanks\t\tand \n lines \n", " lead", "trail ", "a\n b", "a \nb", "é»x 日本 naïve, ½² x2 don't we'LL", "a\x1cb c\u0085d", "<|endoftext|> in a text", "", "\n", " ", "\n\n", "x_y_z a_b",
     "Abc*** (def) ghi!? ́x áb 12345 3.14", "\ta b", "a \x00b", "Él, ñu\nÜber",
+    "a b\x00", "\nab\x7f c", " word\x01. \x02", "é \x1bx\x1b",
 ]
 
 

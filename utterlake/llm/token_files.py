@@ -67,7 +67,7 @@ class ByteBpe:
         return got
 
     def _shown(self, text: str) -> str:
-        return text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+        return text if text.isascii() and text.isprintable() else "".join([self.letters[b] for b in text.encode()])
 
     def _unit(self, unit: str) -> bytes:
         if (got := self.old_units.get(unit)) is not None:
