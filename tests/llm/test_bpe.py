@@ -13,6 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "Hello<|endoftext|>World <|startoftext|>x", "\x1c a\x1db", "ΟΔΥΣΣΕΥΣ Σ", "İstanbul ẞ", "á école ́", "it's we'll I'D don't 's's'", "日本語 テスト ½ ² x²",
     "😀👍🏽 test😀", "a b c​d\u0085e", "x" * 500 + " " + "ab" * 300, "ﬁ ﬀ १२३", "\x00\x01", "<|", "1234 a1b2", "", " ",
+    "a\U000190b5\u23cd b", "\u1c89x \ua7cb\u0301", "x\u088f \U00010ee6", "H\u0331 \u200dE\u0301", "\U00012550 1\U00011de0",
 ]
 
 
@@ -35,6 +36,13 @@ def test_ids_and_decoded_text_match_the_library(library):
         assert own.decode(ids).decode() == library.decode(want, skip_special_tokens=False), text
 
 
+def test_any_signs_match_the_library(library):
+    own, rng = bpe.WordBpe(PATH), random.Random(11)
+    texts = ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(0x300, 0xD7FF), rng.randint(0xE000, 0x1FFFF)])) for _ in range(30)) for _ in range(3000)]
+    for text, ids, want in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, ascii(text)
+
+
 def test_both_trees_agree(library):
     own, rng = bpe.WordBpe(PATH), random.Random(2)
     words = ["".join(rng.choices("theandrsing", k=rng.randint(1, 64))) for _ in range(500)] + ["a" * 64, "e" * 63]

@@ -5,6 +5,7 @@ A merge changes three leaves and the paths above them, and the word is done when
 words are merged many at a time, one tree a row of an array; a word of more than LANES bytes has its own tree.
 
 Texts split at white space, which no merge crosses, so a worker keeps the ids of units it has seen, in bounded tables.
+The library only splits the few units with signs that are new in Unicode, so that both agree on what is a letter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from utterlake.runtime import table
 
@@ -151,7 +153,9 @@ class WordBpe:
         self.tokens = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in (vocab | self.special).items():
             self.tokens[i] = token.encode()
-        self.seen: dict[str, bytes] = {}  # ids of units; a word is the unit of itself
+        self.library = Tokenizer.from_file(path)
+        self.units: dict[str, bytes] = {}  # ids of units as they stand in texts
+        self.seen: dict[str, bytes] = {}  # ids of words
 
     def _merge_words(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
@@ -175,32 +179,35 @@ class WordBpe:
             ids[-1] = int(self.end_ids[raw[i][-1]])
             self.seen[words[i]] = np.array(self.merges.one(ids), "<u4").tobytes()
 
+    def _split(self, unit: str) -> list[str]:
+        """The words of a unit. No rule looks across white space, so a unit is normalised alone."""
+        if unit.isascii():
+            unit = unit.lower()
+        elif unit.isprintable():  # each letter alone is lowered, so a final sigma is no special case
+            unit = unicodedata.normalize("NFC", unit).replace("\u03a3", "\u03c3").lower()
+        else:  # signs whose class depends on the Unicode version: the library's own
+            unit = self.library.normalizer.normalize_str(unit)
+            return [unit[start:end] for _, (start, end) in self.library.pre_tokenizer.pre_tokenize_str(unit)]
+        return [unit] if unit.isalpha() else _WORDS.findall(unit)
+
     def _learn(self, units: Iterable[str]) -> None:
-        """units: normalised, without white space, not yet seen."""
-        words, mixed = [], {}
-        for unit in units:
-            if unit.isalpha():
-                words.append(unit)
-            else:
-                mixed[unit] = _WORDS.findall(unit)
-        parts = {w for found in mixed.values() for w in found if w not in self.seen}
-        self._merge_words(list(parts.union(words)))
-        self.seen.update((unit, b"".join([self.seen[w] for w in found])) for unit, found in mixed.items())
+        """units: without white space, not yet seen."""
+        split = {unit: self._split(unit) for unit in units}
+        self._merge_words(list({w for words in split.values() for w in words}.difference(self.seen)))
+        self.units.update((unit, b"".join([self.seen[w] for w in words])) for unit, words in split.items())
 
     def _units(self, text: str) -> list[str]:
-        if not text.isascii():  # each letter alone is lowered, so a final sigma is no special case
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-        text = text.lower()
         return [u for u in _SPACE.split(text) if u] if _SEPARATORS.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.seen) > KEPT:
+        if len(self.units) > KEPT:
+            self.units.clear()
             self.seen.clear()
         parts = [[t] if "<|" not in t else self.specials.split(t) for t in texts]
         units = [[p if p in self.special else self._units(p) for p in ps] for ps in parts]
-        self._learn(set().union(*(p for us in units for p in us if type(p) is list)).difference(self.seen))
-        of = self.seen.__getitem__
+        self._learn(set().union(*(p for us in units for p in us if type(p) is list)).difference(self.units))
+        of = self.units.__getitem__
         return [b"".join([b"".join(map(of, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in us]) for us in units]
 
     def decode(self, ids: bytes) -> bytes:
