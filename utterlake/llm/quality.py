@@ -139,6 +139,20 @@ def bounded(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled if share == 1 else labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * rows)
 
 
+def _fitted(stats: DataFrame) -> Trees:
+    """Trees from the rows of stats(stats, quality), in whatever order they come."""
+    sample = stats.select("stats", "quality").limit(2 * TRAIN_ROWS).toArrow()
+    x = np.array(sample["stats"].to_pylist(), np.float64).reshape(-1, len(NAMES))
+    order = np.lexsort(x.T) if len(x) else np.zeros(0, int)
+    return grow(x[order], sample["quality"].to_numpy().astype(np.float64)[order])
+
+
+def _marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labelled rows to learn from: about TRAIN_ROWS, never more than twice as many."""
+    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), 5) != 0)
+    return bounded(marked.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), TRAIN_ROWS)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
@@ -149,11 +163,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     stats = materialize(rows.mapInArrow(_statistics, "doc_id long, stats array<float>"), "statistics")
-    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
-    sample = stats.join(bounded(marked, TRAIN_ROWS), "doc_id").select("stats", "quality").limit(2 * TRAIN_ROWS).toArrow()
-    x = np.array(sample["stats"].to_pylist(), np.float64).reshape(-1, len(NAMES))
-    order = np.lexsort(x.T) if len(x) else np.zeros(0, int)  # whatever order the rows came in
-    trees = grow(x[order], sample["quality"].to_numpy().astype(np.float64)[order])
+    trees = _fitted(stats.join(_marked(labels), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,9 +175,25 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns. Rows of one doc_id share a fate: all must pass."""
-    bad = score_quality(docs, labels).where("predicted = 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_rejected")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == bad["_rejected"], "left_anti")
+    """The rows of docs that the classifier does not reject, with all their columns; each row's own text decides.
+
+    The labelled rows' statistics come first, then one pass over docs scores and filters: no text is shuffled.
+    """
+    labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(_marked(labels)), "doc_id")
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([statistics(x.as_py()) for x in b.column("text")], pa.list_(pa.float32())), b.column("quality")], names=["stats", "quality"])
+
+    trees = _fitted(labelled.select("text", "quality").mapInArrow(described, "stats array<float>, quality int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own = np.array([statistics(x.as_py()) for x in b.column("text")], np.float32).astype(np.float64)
+                yield b.filter(pa.array(trees.score(own) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 QUERIES = {"op2_quality": lambda spark, sf_dir: score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))}
