@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterlake.llm.frames import free_name
+from utterlake.llm.frames import free_name, row_key
 from utterlake.runtime import materialize, table
 
 PREFIX_CHARS = 32
@@ -97,15 +97,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows with one doc_id and text, one."""
     row = free_name(docs, "_row")
-    stays = exact_groups(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias(row))
-    keyed = docs.withColumn(row, _row_key(F.col("doc_id"), F.sha2(normalised("text"), 256)))
+    stays = exact_groups(docs).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias(row))
+    keyed = docs.withColumn(row, row_key(normalised("text"), F.col("doc_id")))
     return keyed.join(stays, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
-def _row_key(doc_id: Column, digest: Column) -> Column:
-    return F.concat_ws(":", digest, doc_id.cast("string"))
-
-
 QUERIES = {"op5_exact_dedup": lambda spark, sf_dir: exact_groups(table(spark, sf_dir, "documents"))}
 
 ORACLES = {

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -11,3 +12,8 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = "_" + base
     return base
+
+
+def row_key(text: Column, doc_id: Column) -> Column:
+    """Names a row by its whole text and its id, so rows that share an id, or have none, keep apart."""
+    return F.concat_ws(":", F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), doc_id.cast("string"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm.components import components
-from utterlake.llm.frames import free_name
+from utterlake.llm.frames import free_name, row_key
 from utterlake.runtime import materialize, table
 
 SHINGLE_WORDS, SEED, RADIUS, PARTS = 4, 42, 4, 3
@@ -51,12 +51,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(x.as_py()) for x in b.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, fp) for every row, and further string columns as they are."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys)
+    return rows.mapInArrow(_fingerprints, ", ".join(["doc_id long, fp long", *(f"{k} string" for k in keys)]))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -201,6 +202,14 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.select(F.col("q").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def _grouped(signed: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of signed(doc_id, fp); root is the component's least fingerprint."""
+    nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    linked = components(near_pairs(nodes, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
+    rooted = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted.select("fp", "root"), "root").select("fp", "root", "component_id"), "components")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id linked to it through any chain.
 
@@ -208,19 +217,22 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     never names a component unless all of it is null. Other columns are ignored; an empty table gives an empty result.
     """
     signed = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(near_pairs(nodes, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
-    rooted = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted.select("fp", "root"), "root").select("fp", "component_id"), "components")
-    return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return signed.join(_grouped(signed, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with all their columns: one document of each group stays."""
+    """One row of docs of each component, with all its columns: that of the smallest doc_id, a null one last.
+
+    Rows are told apart by id and text: different texts that share an id, or have none, each stay. Of several texts with
+    a component's smallest id, and of repeated rows, one stays.
+    """
     row = free_name(docs, "_row")
-    stays = near_groups(docs).where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(row)).distinct()
-    keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return keyed.join(stays, row, "left_semi").dropDuplicates([row]).drop(row)
+    keyed = docs.withColumn(row, row_key(F.col("text"), F.col("doc_id")))
+    signed = materialize(fingerprints(keyed, row), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    by_text = signed.groupBy("fp").agg(least.alias("first"))
+    by_group = by_text.join(_grouped(signed, RADIUS), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return keyed.join(by_group.select(F.col(f"first.{row}").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 QUERIES = {"op3_simhash_near_dedup": lambda spark, sf_dir: near_groups(table(spark, sf_dir, "documents"))}
