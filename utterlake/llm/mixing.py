@@ -99,10 +99,9 @@ def sample_mix(docs: DataFrame) -> DataFrame:
     """The selected rows of docs with all their columns."""
     rows = docs.select("doc_id", "text", "source", "lang")
     facts = materialize(described(rows).select("_source", "_lang", "_topic", "_tokens"), "facts")
-    found = calibrated(facts).select(F.struct("*").alias("_cell"))
-    own = described(docs)
-    same = [own[f"_{b}"] == F.col(f"_cell._{b}") for b in BY]
-    return own.join(found, same[0] & same[1] & same[2]).where(chance(F.col("doc_id")) < F.col("_cell.probability")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source", "lang")
+    cells = calibrated(facts).select(*(f"_{b}" for b in BY), "probability")
+    return described(packed).join(cells, [f"_{b}" for b in BY]).where(chance(F.col("doc_id")) < F.col("probability")).select("row.*")
 
 
 def _oracle() -> str:
