@@ -201,7 +201,7 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.units) > KEPT:
+        if max(len(self.units), len(self.seen)) > KEPT:
             self.units.clear()
             self.seen.clear()
         parts = [[t] if "<|" not in t else self.specials.split(t) for t in texts]
