@@ -5,8 +5,9 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.cases import ODD, SCHEMA, none, odd
-from utterlake.llm import licences, mixing, quality, syncmers, toxicity
+from utterlake.llm import licences, mixing, quality, simhash, syncmers, toxicity
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LABELS = "doc_id long, quality int, toxic int"
@@ -74,3 +75,27 @@ def test_pipeline_keeps_the_columns(spark, labels, tmp_path):
         out.write.parquet(path)
         docs = spark.read.parquet(path)
     assert docs.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_filtering_stages_judge_each_row_by_itself(spark, labels):
+    """Rows that share an id, or have none, do not drop each other; columns named as an operator's own come through."""
+    rows = [(None, f"{w} stands here alone with words of its own kind, {w}{w} {w}s", "en", "a", 1) for w in ("apple", "river", "stone", "cloud")]
+    rows += [(5, "quite another matter of seven plain words here", "en", "b", 1), (5, "and one that shares only the id of the former text", "en", "b", 1)]
+    rows += [(7, rows[0][1], "en", "a", 1), (8, rows[0][1], "en", "a", 1), (8, rows[0][1], "en", "a", 1)]
+    named = ["_tokens", "_source", "_lang", "_topic", "_cell", "probability", "row", "rate", "first", "root", "stats", "_row"]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("text", F.lit(""))) for c in named})
+    as_given = {tuple(r) for r in docs.collect()}
+    near = simhash.drop_near_copies(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in near) == sorted([(7, rows[0][1]), *((0, r[1]) for r in rows[1:4]), *((5, r[1]) for r in rows[4:6])])
+    good, mixed = quality.keep_good(docs, labels).collect(), mixing.sample_mix(docs).collect()
+    assert len(good) == len(rows) and mixed
+    assert all(tuple(r) in as_given and r.asDict().keys() == set(docs.columns) for r in [*near, *good, *mixed])
+
+
+def test_quality_rejects_row_by_row(spark):
+    rows = [(i, "%% ** " * (20 + i % 7) if i % 3 == 0 else f"a plain line of text, number {i}, as people write them.", "en", "a", 1) for i in range(150)]
+    rows += [(None, "%% ** " * 25, "en", "a", 1), (None, "a plain line of text, number 7, as people write them.", "en", "a", 1)]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(150)], LABELS)
+    kept = quality.keep_good(docs, marks).collect()
+    assert sorted(r.text for r in kept) == sorted(r[1] for r in rows if not r[1].startswith("%%"))
+    assert sorted(r.doc_id for r in quality.score_quality(docs, marks).where("predicted = 1 AND doc_id IS NOT NULL").collect()) == sorted(r.doc_id for r in kept if r.doc_id is not None)
