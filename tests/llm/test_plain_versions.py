@@ -51,6 +51,26 @@ def test_mixing_is_the_same_with_many_cells(spark, monkeypatch):
     assert sorted(map(str, mixing.mix(odd(spark)).collect())) == few
 
 
+def test_sampled_tokens_meet_the_raked_targets(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice((20, 20, 60, 150)), *rng.choice([("en", "hot")] * 20 + [("de", "hot"), ("en", "a"), ("de", "a"), ("fr", "b")]), 0) for i in range(12_000)]
+    cells = defaultdict(int)
+    for _, text, lang, source, _ in rows:
+        n = len(text.split())
+        cells[source, lang, "short" if n < 100 else "article"] += n
+    weights = plain_rake(cells)
+    assert max(mixing.KEEP * weights[k] / n for k, n in cells.items()) > 1.25  # some cells must grow
+    got = defaultdict(int)
+    for r in mixing.sample_mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect():
+        n = len(r.text.split())
+        got[r.source, r.lang, "short" if n < 100 else "article"] += n
+    assert sum(got.values()) == pytest.approx(mixing.KEEP * sum(cells.values()), rel=0.02)
+    for i in range(3):
+        for v in {k[i] for k in cells}:
+            target, share = (sum(n for k, n in x.items() if k[i] == v) / sum(x.values()) for x in (weights, got))
+            assert share == pytest.approx(target, rel=0.05), v
+
+
 def test_anchors_match_a_plain_search(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(WORDS[: rng.choice((2, 10, 42))], k=rng.choice((0, 1, 4, 5, 6, 9, 80))))) for i in range(60)]

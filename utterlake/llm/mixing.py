@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked to the three marginals in turn; then each document is
-kept with its cell's calibrated probability, by a hash of its id. Cells are as many as the combinations that occur: up to
+kept with its cell's calibrated probability, by a hash of its id. A cell that must grow to reach its targets (KEEP times its
+rate above 1) cannot be reached by keeping each document once: sample_mix repeats its documents, while mix, whose columns
+the SQL states, caps the probability at 1. Cells are as many as the combinations that occur: up to
 BROADCAST_CELLS are raked in one task without a shuffle, more by sums that are shuffled and joined. Documents are
 aggregated to cells before any shuffle, whatever the source's size.
 """
@@ -96,12 +98,18 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def sample_mix(docs: DataFrame) -> DataFrame:
-    """The selected rows of docs with all their columns."""
+    """The selected rows of docs with all their columns, as often as their cell's rate asks for.
+
+    A row comes KEEP times its cell's rate times: the whole part of it for certain, one time more by its chance. So the
+    tokens of sources, languages and topics follow their targets; the rows that come at all are those that mix selects.
+    """
     rows = docs.select("doc_id", "text", "source", "lang")
     facts = materialize(described(rows).select("_source", "_lang", "_topic", "_tokens"), "facts")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source", "lang")
-    cells = calibrated(facts).select(*(f"_{b}" for b in BY), "probability")
-    return described(packed).join(cells, [f"_{b}" for b in BY]).where(chance(F.col("doc_id")) < F.col("probability")).select("row.*")
+    cells = calibrated(facts).select(*(f"_{b}" for b in BY), (F.lit(KEEP) * F.col("rate")).alias("times"))
+    whole = F.floor("times").cast("int")
+    drawn = described(packed).join(cells, [f"_{b}" for b in BY]).select("row", (whole + (chance(F.col("doc_id")) < F.col("times") - whole).cast("int")).alias("times"))
+    return drawn.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def _oracle() -> str:
