@@ -107,6 +107,27 @@ def test_licence_templates(spark):
     assert {r.labels for r in licences.scan_licences(near).collect()} == {""}
 
 
+def test_altered_licence_words_that_stand_elsewhere_hide_no_passage(spark):
+    passage = licences.TEMPLATES["mit-text"][0].replace("any", "every").replace("associated", "related")
+    rng = random.Random(6)
+    words = [w for wording, _ in licences.TEMPLATES.values() for w in wording.split()]
+    texts = [passage, f"any associated persons obtaining files with any person {'x ' * 40} {passage}"]
+    texts += [" ".join([*rng.choices(words, k=rng.randint(0, 30)), *(w if rng.random() < 0.85 else rng.choice(words) for w in rng.choice([*licences.TEMPLATES.values()])[0].split()), *rng.choices(words, k=9)]) for _ in range(80)]
+    few, got = ({r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()} for t in (texts[:2], texts))
+    assert [(x[i].labels, x[i].score) for x in (few, got) for i in (0, 1)] == [("mit-text", 0.9)] * 4
+    for i, text in enumerate(texts):
+        own, base = text.split(), {label for phrase, label in licences.BASE.items() if f" {phrase} " in f" {' '.join(text.split())} "}
+        want, best = set(base), 1.0 if base else 0.0
+        for label, (wording, phrases) in licences.TEMPLATES.items():
+            for start in range(-len(wording.split()), len(own)):
+                alike = sum(start + k >= 0 and own[start + k : start + k + 1] == [w] for k, w in enumerate(wording.split())) / len(wording.split())
+                window = f" {' '.join(own[max(0, start) : max(0, start + len(wording.split()))])} "
+                if alike >= licences.ALIKE and all(f" {p} " in window for p in phrases):
+                    want.add(label)
+                best = max(best, alike)
+        assert (got[i].labels, got[i].score) == (",".join(sorted(want)), pytest.approx(best)), text
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
 @pytest.mark.parametrize(("score", "label", "parts", "held", "least"), [(quality.score_quality, "quality", 5, 0, 0.95), (toxicity.score_toxicity, "toxic", 4, 2, 0.9)])
 def test_held_out_accuracy(spark, score, label, parts, held, least):

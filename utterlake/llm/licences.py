@@ -1,9 +1,10 @@
 """License scans with a positional index of rare words.
 
-The templates' words are ranked by inverse document frequency, counted over all documents. Each template indexes its
-rarest words with their places. A file's highest-ranked licence words are looked up there; two of them that agree on where
-the template starts, relative to their places in the file, make a candidate, which is compared word by word and must hold
-the template's key phrases. The base phrases go through the same postings: their words' places are intersected.
+The templates' words are ranked by inverse document frequency, counted over all documents. A template's words are looked up
+with their places, rarest first, and each names starts of the template in the file. Once the words left are too few to bring
+a start that none has named to ALIKE or past the score so far, only the named starts are compared further, word by word. So
+the result is that of comparing the template at every place. A match must hold the template's key phrases. The base phrases
+go through the same postings: their words' places are intersected.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ TEMPLATES = {
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ("cc by nc",)),
     "cc-by": ("licensed under a creative commons attribution license", ("creative commons attribution",)),
 }
-INDEXED, LOOKED_UP, ALIKE = 6, 3, 0.8
+ALIKE = 0.8
 
 _TABLE = bytearray(b" " * 128 + bytes(range(128, 256)))
 _TABLE[0x30:0x3A] = bytes(range(0x30, 0x3A))
@@ -68,14 +69,14 @@ def inverse_frequencies(docs: DataFrame) -> dict[bytes, float]:
 
 
 class Index:
-    """Postings of the templates' rarest words: word -> [(label, place in the template)]."""
+    """Postings of the templates' words, rarest first: label -> [(word, places in the template)]."""
 
     def __init__(self, idf: dict[bytes, float]):
-        self.idf, self.postings = idf, defaultdict(list)
+        self.ranked: dict[str, list[tuple[bytes, list[int]]]] = {}
         for label, (wording, _) in _WORDINGS.items():
-            for word in sorted(set(wording), key=lambda w: (-idf.get(w, 0.0), w))[:INDEXED]:
-                self.postings[word] += [(label, i) for i, w in enumerate(wording) if w == word]
-        self.listed = set(self.postings).union(*_PHRASES.values())
+            rarest = sorted(set(wording), key=lambda w: (-idf.get(w, 0.0), w))
+            self.ranked[label] = [(word, [i for i, w in enumerate(wording) if w == word]) for word in rarest]
+        self.listed = {w for ranked in self.ranked.values() for w, _ in ranked}.union(*_PHRASES.values())
 
     def scan(self, text: str | None) -> tuple[int, list[int], set[str], set[str], float]:
         """Number of words, the base phrases' places, base labels, all labels, score."""
@@ -95,20 +96,27 @@ class Index:
                 base.add(label)
                 starts += own
         labels, score = set(base), 1.0 if base else 0.0
-        votes: dict[str, list[bytes]] = defaultdict(list)
-        for word in sorted(places.keys() & self.postings.keys(), key=lambda w: (-self.idf.get(w, 0.0), w)):
-            for label in {label for label, _ in self.postings[word]}:
-                if len(votes[label]) < LOOKED_UP:
-                    votes[label].append(word)
-        for label, rare in votes.items():
+        for label, ranked in self.ranked.items():
             wording, phrases = _WORDINGS[label]
-            agreed = Counter(start for w in rare for start in {p - i for p in places[w] for name, i in self.postings[w] if name == label})
-            for start, n in agreed.items():
-                if n >= min(2, len(rare)) and start > -len(wording):
-                    alike = sum(start + i >= 0 and start + i < len(words) and words[start + i] == w for i, w in enumerate(wording)) / len(wording)
-                    window = words[max(0, start) : start + len(wording)]
-                    if alike >= ALIKE and all(any(window[i : i + len(p)] == p for i in range(len(window))) for p in phrases):
-                        labels.add(label)
+            named, left = Counter(), len(wording)
+            for k, (word, own) in enumerate(ranked):
+                if left < ALIKE * len(wording) and left <= score * len(wording):
+                    rest = ranked[k:]
+                    break
+                left -= len(own)
+                if word in places:
+                    for i in own:
+                        named.update([p - i for p in places[word]])
+            else:
+                rest = []
+            for start, n in named.items():
+                if n + left >= ALIKE * len(wording) or n + left > score * len(wording):
+                    n += sum(0 <= start + i < len(words) and words[start + i] == w for w, own in rest for i in own)
+                    alike = n / len(wording)
+                    if alike >= ALIKE:
+                        window = words[max(0, start) : start + len(wording)]
+                        if all(any(window[i : i + len(p)] == p for i in range(len(window))) for p in phrases):
+                            labels.add(label)
                     score = max(score, alike)
         return len(words), starts, base, labels, score
 
