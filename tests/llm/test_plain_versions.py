@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -96,6 +96,31 @@ def test_likeness_is_the_jaccard_index_of_short_texts(spark):
     assert [r.x for r in rows.select(syncmers.likeness(F.col("a"), F.col("b")).alias("x")).collect()] == [0.5, 1.0, 0.0, 1.0]
 
 
+def test_fingerprints_hold_every_anchor_and_its_place(spark):
+    rng = random.Random(8)
+    long, other, passage = ([f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)] for n in (20_000, 3_000, 60))
+    altered = [*long[:9_000], *rng.choices(WORDS, k=30), *long[9_030:]]
+    texts = [long, altered, long[:12_000] + passage + long[12_000:], other[:500] + passage + other[500:], other, ["word"] * 300, ["word"] * 150, long[10_000:] + long[:10_000], ["a"], []]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string")
+    made = rows.select("doc_id", syncmers.anchors(F.col("text")).alias("anchors"), syncmers.packed(F.col("text")).alias("own")).select("*", syncmers.links(F.col("own")).alias("links"), syncmers.as_string(F.col("own")).alias("string"))
+    links = {}
+    for r in made.collect():
+        got, place = [], 0
+        for i in range(0, len(r.string), 9):
+            place += int(r.string[i + 8], 16)
+            got.append((int(r.string[i : i + 8], 16), place))
+        assert got == [((a.hash & (1 << 64) - 1) >> 32, a.place) for a in r.anchors]
+        after = [*((h, p - q) for (_, q), (h, p) in zip(got, got[1:], strict=False)), None]
+        links[r.doc_id] = Counter((h, n) for (h, _), n in zip(got, after, strict=False))
+    pairs = [(0, 0), (0, 1), (2, 3), (0, 4), (5, 6), (0, 7), (8, 8), (9, 9), (8, 9), (0, 2)]
+    both = made.select(F.col("doc_id").alias("i"), F.col("links").alias("a")).crossJoin(made.select(F.col("doc_id").alias("j"), F.col("links").alias("b")))
+    near = {(r.i, r.j): r.x for r in both.where(" OR ".join(f"i = {i} AND j = {j}" for i, j in pairs)).select("i", "j", syncmers.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    for i, j in pairs:
+        union = (links[i] | links[j]).total()
+        assert near[i, j] == pytest.approx((links[i] & links[j]).total() / union if union else 1.0), (i, j)
+    assert 0.99 < near[0, 1] < 1 and near[2, 3] > 0 == near[0, 4] and near[5, 6] < 0.6 and near[0, 7] > 0.99
+
+
 def test_licence_templates(spark):
     wordings = {label: " ".join(x for x in wording.split()) for label, (wording, _) in licences.TEMPLATES.items()}
     rows = [(i, "Some words first. " * i + text.upper() + ", and then some more.") for i, text in enumerate(wordings.values())]

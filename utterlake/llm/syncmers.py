@@ -2,8 +2,9 @@
 
 A k-mer is WORDS words in a row, its inner substrings the pairs of neighbouring words in it. It is an anchor where its
 least pair (by hash) is its first or its last one: that depends on the k-mer alone, so the same passage gives the same
-anchors in any text. A fingerprint is the SKETCH least anchor hashes, which cover the whole text; two fingerprints' likeness
-is the share of common anchors among the least SKETCH of both, the Jaccard index of the anchors, exact for short texts.
+anchors in any text. A fingerprint is all anchors in order, each with its step from the one before, so every hash and place
+is in it. Anchors of two texts match where their relative positions do: the same anchor, followed by the same next one as
+many words on. Likeness is the Jaccard index of these links, each counted as often as it occurs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from utterlake.runtime import bucket_of, let, splitters, table
 
-WORDS, SKETCH = 5, 256
+WORDS = 5
 
 
 def anchors(text: Column) -> Column:
@@ -39,20 +40,39 @@ def _placed(hashes: Column) -> Column:
     return F.when(n >= WORDS, let(pairs, chosen)).otherwise(whole)
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH least anchor hashes (their upper 32 bits), ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text), lambda a: F.shiftright(a["hash"], 32).cast("int")))), 1, SKETCH)
+def packed(text: Column) -> Column:
+    """array<bigint>: all anchors in order, the upper 32 bits of the hash, then 4 bits for the words since the anchor before.
+
+    The first anchor counts from place 0. Of any WORDS - 2 k-mers in a row one is an anchor, so no step is above WORDS - 2.
+    """
+    steps = lambda own: F.transform(own, lambda a, i: F.shiftleft(F.shiftrightunsigned(a["hash"], 32), 4).bitwiseOR((a["place"] - F.coalesce(F.get(own, i - 1)["place"], F.lit(0))).cast("long")))
+    return let(anchors(text), steps)
+
+
+def links(own: Column) -> Column:
+    """packed anchors -> array<bigint>, ascending: a hash of each anchor, the next one and the words between; the last has no next."""
+    return F.sort_array(F.transform(own, lambda a, i: F.xxhash64(F.shiftrightunsigned(a, 4), F.coalesce(F.get(own, i + 1), F.lit(-1)))))
 
 
 def as_string(own: Column) -> Column:
-    """8 hex digits for each anchor."""
-    return F.lower(F.array_join(F.transform(own, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
+    """9 hex digits for each anchor: 8 of its hash, 1 of the words since the anchor before."""
+    return F.lower(F.array_join(F.transform(own, lambda x: F.lpad(F.hex(x), 9, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; two empty sketches are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return let(both, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
+    """0 to 1, the Jaccard index of two arrays of numbers, each counted as often as it occurs; two empty ones are alike."""
+    tagged = lambda x, side: F.transform(x, lambda v: F.shiftleft(v.cast("long"), 1).bitwiseOR(F.lit(side).cast("long")))
+    start = F.struct(F.lit(None).cast("long").alias("value"), F.lit(0).alias("spare"), F.lit(0).alias("common"))
+
+    def step(s: Column, v: Column) -> Column:
+        value, right = F.shiftright(v, 1), v.bitwiseAND(F.lit(1)) == 1
+        spare = F.when(s["value"].eqNullSafe(value), s["spare"]).otherwise(0)
+        match = right & (spare > 0)
+        return F.struct(value.alias("value"), (spare + F.when(~right, 1).when(match, -1).otherwise(0)).alias("spare"), (s["common"] + match.cast("int")).alias("common"))
+
+    common = F.aggregate(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), start, step, lambda s: s["common"])
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, F.lit(1.0)).otherwise(let(common, lambda c: c / (n - c)))
 
 
 def followed(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Window]:
@@ -90,12 +110,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     dealt, after = followed(docs.sparkSession, rows)
     n = F.length("text")
     paired = dealt.select("*", F.coalesce(F.lead("text").over(after), F.lit("")).alias("following"), n.alias("n"), F.floor(n / 2).cast("int").alias("half"))
-    edited = paired.select("_bucket", "_visit", "doc_id", "text", "n", sketch(F.col("text")).alias("own"), F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), F.substring("following", F.lit(1), F.col("half"))).alias("edited"))
-    both = edited.select("*", F.lead("own").over(after).alias("next_own")).where("_visit = 0")
-    made = both.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("other"), F.coalesce("next_own", F.array().cast("array<int>")).alias("next_own"))
-    return made.select(
+    edited = paired.select("_bucket", "_visit", "doc_id", "text", "n", packed(F.col("text")).alias("own"), F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), F.substring("following", F.lit(1), F.col("half"))).alias("edited"))
+    linked = edited.select("*", links(F.col("own")).alias("links"))
+    both = linked.select("*", F.lead("links").over(after).alias("next_links")).where("_visit = 0")
+    made = both.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "links", packed(F.col("edited")).alias("other"), F.coalesce("next_links", F.array().cast("array<bigint>")).alias("next_links"))
+    return made.select("*", links(F.col("other")).alias("other_links")).select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("links"), F.col("other_links")).alias("near_edited"), likeness(F.col("links"), F.col("next_links")).alias("near_next"),
     )
 
 
