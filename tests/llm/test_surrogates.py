@@ -44,6 +44,39 @@ def test_collisions_are_drawn_anew(spark):
     assert len(set(final)) == len(final) and not set(final) & {e for _, e in [*rows, ("ssn", first)]}
 
 
+def test_names_of_any_script_are_replaced(spark):
+    names = ["王小明", "김철수", "محمد", "משה", "さくら", "สมชาย", "Ōe", "İnci", "Ńśćź", "ΓΙΩΡΓΟΣ", "Գրիգոր", "გიორგი", "𠮷野"]
+    rows = spark.createDataFrame([(i, f"Then Dr. {n} left, and Dr. {n} came") for i, n in enumerate(names)], "doc_id long, text string")
+    for r in s.pseudonymise(rows).collect():
+        old, new = names[r.doc_id], re.fullmatch(r"Then Dr\. (\w+) left, and Dr\. (\w+) came", r.text).groups()
+        assert new[0] == new[1] != old and len(new[0]) == len(old) and old not in r.text and r.n_entities == 2
+        assert [c.isupper() for c in new[0]] == [c.isupper() for c in old]
+        assert old[0].isascii() or s._alphabet(s._lower(old[0])) == s._alphabet(s._lower(new[0][0]))
+
+
+def test_a_format_with_no_free_surrogate_grows(spark):
+    taken = [f"{a}u" for a in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, f"Dr. {n.capitalize()} and Mr. {n.upper()} met") for i, n in enumerate(taken)]
+    got = {r.doc_id: re.findall(r"(?:Dr|Mr)\. (\w+)", r.text) for r in s.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({a.lower() for a, _ in got.values()}) == 26 and not {a.lower() for a, _ in got.values()} & set(taken)
+    assert all(a.istitle() and a.upper() == b and a[-1] == "u" for a, b in got.values())
+    assert s._laid_out("name", "XU", s.surrogate(KEY, "name", "xu", 3 * s.TIGHT)).isupper()
+    for kind, value in {"phone": "+1 (017) 555-7713", "ssn": "123-45-6789", "card": "4539 5787 6362 1486", "iban": "DE44 5001 0517 5407 3249 31", "email": "A.b@x.org"}.items():
+        entity = s.canonical(kind, value)
+        for attempt in range(4 * s.TIGHT):
+            new = s.surrogate(KEY, kind, entity, attempt)
+            assert len(new) == len(entity) + attempt // s.TIGHT and s.canonical(kind, s._laid_out(kind, value, new)) == new
+            assert kind != "card" or s.luhn(new)
+
+
+def test_every_letter_and_digit_has_an_alphabet():
+    import sys
+
+    signs = {s._lower(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum()}
+    assert all(len(s._alphabet(c)) > 1 and c in s._alphabet(c) for c in signs)
+    assert all(s._alphabet(x) == a for a in {s._alphabet(c) for c in signs} for x in a)
+
+
 def test_odd_rows(spark):
     got = s.pseudonymise(odd(spark)).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((d or -1, t or "") for d, t, *_ in ODD)

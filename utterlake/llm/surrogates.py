@@ -1,18 +1,23 @@
 """PII: keyed, type-consistent surrogates.
 
 An entity's letters and digits are permuted by a keyed permutation of all strings of its format: each sign is shifted
-within its own alphabet (digits, Latin, accented Latin, Greek, Cyrillic, Devanagari) by a keyed hash of all the others, so
-one format's entities keep apart by construction. Signs outside the alphabets, case and layout stay; a card number keeps its
-check digit right, an address its four octets, a person's name after a title its last letter, which carries gender. One
-entity has one surrogate in the whole corpus, however it is written. Surrogates that equal an entity of the corpus, or each
-other across formats, are found by a join over all distinct entities and drawn anew until there are none.
+within its own alphabet by a keyed hash of all the others, so one format's entities keep apart by construction. Digits, Latin,
+accented Latin, Greek, Cyrillic and Devanagari have alphabets of their own, all other letters and digits those of their
+script in Unicode. Marks, case and layout stay; a card number keeps its check digit right, an address its four octets, a
+person's name after a title its last letter where that is cased or of a listed alphabet, for it carries gender. One entity
+has one surrogate in the whole corpus, however it is written. Surrogates that equal an entity of the corpus, or each other
+across formats, are found by a join over all distinct entities and drawn anew until there are none; every TIGHT draws the
+format grows by a sign, so there is always a free one.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from utterlake.runtime import materialize, table
 
 ROUNDS = 3
+#: Draws in a format before it grows by a sign.
+TIGHT = 8
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora"
 _ENTITY = re.compile(
     r"(?P<email>[\w+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
@@ -35,12 +42,40 @@ _ENTITY = re.compile(
 )
 #: Every entity but a name holds a digit or an @, every name follows a title: texts with none of these are not searched further.
 _HINTS = (*"@0123456789", *(f"{t}{end}" for t in _TITLES.split("|") for end in (" ", ".")))
-#: Alphabets that a sign is shifted within; a sign of none of them stays.
+#: Alphabets that a sign is shifted within; letters and digits of none of them have those of _others().
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह")
 _HEX = "0123456789abcdef"
 _OF = {c: a for a in _ALPHABETS for c in a}
 
 
+@cache
+def _others() -> dict[str, str]:
+    """Each letter and digit outside _ALPHABETS: all of its script, kind and case, by Unicode's names for them."""
+    groups = defaultdict(list)
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if c.isalnum() and _lower(c) == c and c not in _OF:
+            cased = len(c.upper()) == 1 and c.upper() != c and _lower(c.upper()) == c
+            script = " ".join(unicodedata.name(c, "").split()[:2])
+            groups[unicodedata.category(c), cased, script, c <= "\uffff", unicodedata.normalize("NFKC", c) == c].append(c)
+    pooled = defaultdict(list)  # a sign that is the only one of its kind goes with the others of its category, or of all
+    for (category, cased, *script), own in groups.items():
+        pooled[(category, cased, *script) if len(own) > 1 else (category, cased)] += own
+    alone = [k for k, own in pooled.items() if len(own) == 1]
+    if alone:
+        rest = [c for k in alone for c in pooled.pop(k)]
+        pooled["rest"] = rest if len(rest) > 1 else [*rest, *pooled.pop(next(iter(pooled)))]
+    return {c: a for a in map("".join, pooled.values()) for c in a}
+
+
+def _alphabet(c: str) -> str:
+    return _OF.get(c) or (c if c.isascii() else _others().get(c, c))
+
+
+def _lower(value: str) -> str:
+    """value in lower case, sign by sign, so that its length stays."""
+    return value.lower() if value.isascii() else "".join(c.lower()[0] for c in value)
+
+
 def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
@@ -48,8 +83,13 @@ def luhn(digits: str) -> bool:
 def canonical(kind: str, value: str) -> str:
     """What one entity has in common however it is written."""
     if kind in ("phone", "ssn", "card", "iban"):
-        return "".join(c for c in value.lower() if c.isalnum())
-    return ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else value.lower()
+        return "".join(c for c in _lower(value) if c.isalnum())
+    return ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else _lower(value)
+
+
+def _grows_at(kind: str, entity: str) -> int:
+    """Where further signs go in: before an address's @, else before the last sign."""
+    return entity.index("@") if kind == "email" else len(entity) - 1
 
 
 def _permuted(key: bytes, kind: str, values: list[int], radices: list[int], attempt: int) -> list[int]:
@@ -65,11 +105,11 @@ def _permuted(key: bytes, kind: str, values: list[int], radices: list[int], atte
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """entity: canonical. The result is canonical too."""
+    """entity: canonical. The result is canonical too, and attempt // TIGHT signs longer."""
     if kind == "ip":
         return ".".join(map(str, _permuted(key, kind, [int(x) % 256 for x in entity.split(".")], [256] * 4, attempt)))
     hexadecimal = kind == "secret" and not set(entity) - set(_HEX)
-    alphabets = [_HEX if hexadecimal else _OF.get(c, c) for c in entity]
+    alphabets = [_HEX if hexadecimal else _alphabet(c) for c in entity]
     fixed: set[int] = set()
     checked = kind == "card" and luhn(entity)
     if checked:
@@ -79,22 +119,32 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     elif kind == "iban":
         fixed = {0, 1}
     elif kind == "name":
-        fixed = {len(entity) - 1, *(i - 1 for i, c in enumerate(entity) if c == " ")}
+        last = (len(entity) - 1, *(i - 1 for i, c in enumerate(entity) if c == " "))
+        fixed = {i for i in last if entity[i] in _OF or entity[i].upper() != entity[i]}
     elif kind == "email":  # the top-level domain
         fixed = set(range(entity.rfind("."), len(entity)))
+    own, digits = next((a for a in reversed(alphabets) if len(a) > 1), _ALPHABETS[0]), alphabets[-1]
     alphabets = [c if i in fixed else a for i, (c, a) in enumerate(zip(entity, alphabets, strict=True))]
+    at, more = _grows_at(kind, entity), attempt // TIGHT
+    alphabets[at:at], entity = [own] * more, entity[:at] + own[0] * more + entity[at:]
     got = _permuted(key, kind, [a.index(c) for a, c in zip(alphabets, entity, strict=True)], [len(a) for a in alphabets], attempt)
     out = "".join(a[v] for a, v in zip(alphabets, got, strict=True))
-    return next(out[:-1] + d for d in "0123456789" if luhn(out[:-1] + d)) if checked else out
+    return next(out[:-1] + d for d in digits if luhn(out[:-1] + d)) if checked else out
 
 
 def _laid_out(kind: str, value: str, new: str) -> str:
     """new, canonical, in the layout and case of value."""
     if kind == "ip":
         return new
-    signs = iter(new)
-    out = [next(signs) if kind not in ("phone", "ssn", "card", "iban") or c.isalnum() else c for c in value]
-    return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(value, out, strict=True))
+    cased = lambda c, n: n.upper() if c.isupper() and len(n.upper()) == 1 else n
+    entity = canonical(kind, value)
+    at, more = _grows_at(kind, entity), len(new) - len(entity)
+    added, signs = new[at : at + more], iter(enumerate(new[:at] + new[at + more :]))
+    out = []
+    for c in value:
+        i, n = next(signs) if kind not in ("phone", "ssn", "card", "iban") or c.isalnum() else (-1, c)
+        out += [*(cased(value, x) for x in added if i == at), cased(c, n)]
+    return "".join(out)
 
 
 @lru_cache(100_000)
