@@ -26,13 +26,23 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-def test_units_give_the_library_s_ids(library, monkeypatch):
-    monkeypatch.setattr(tf, "KEPT", 30)  # tables age all the time
+def test_ids_are_the_library_s(library):
     own, rng = tf.ByteBpe(PATH), random.Random(4)
-    texts = TEXTS + ["".join(rng.choices("ab \n.,é'1\t ", k=40)) for _ in range(400)]
-    for _ in range(2):
-        for text, ids in zip(texts, own.encode(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    settled = [chr(c) for c in range(0x482) if tf._SETTLED.fullmatch(chr(c))]
+    texts = TEXTS + ["".join(rng.choices("ab \n.,é'1\t ", k=40)) for _ in range(400)] + [before + c + after for c in settled for before, after in (("a", "b"), (" ", " "), ("1", "."))]
+    texts += ["".join(rng.choices(settled, k=60)) for _ in range(2000)] + [" ".join("".join(rng.choices(settled, k=rng.randint(1, 5))) for _ in range(20)) for _ in range(500)]
+    texts += ["ab" * 3000, "x" * 2500 + " end", "Word " * 30000, "日本" * 1200, " " * 2_000_000 + "a\n", "\n" * 999 + "b " * 5]
+    assert own.plain and own.any
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_dictionary_of_few_documents_and_of_all_of_a_long_one(spark):
+    few = tf.train_dictionary(spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string"), PATH, 2)
+    assert few
+    assert tf._blocks(b"x" * 20000) == [b"x" * 8192, b"x" * 8192, b"x" * 3616]
+    spread = tf._blocks(b"".join(i.to_bytes(4, "little") * 2048 for i in range(50)))
+    assert len(spread) == 8 and spread[0][0] == 0 and spread[-1][0] == 49
 
 
 def test_file_gives_back_single_documents_and_refuses_damage(tmp_path):
