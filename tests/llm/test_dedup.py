@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -59,7 +61,9 @@ def test_simhash_groups_match_all_pairs(spark):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == plain_components(rows)
 
 
-def test_near_pairs_lose_no_link(spark):
+@pytest.mark.parametrize("parts", [simhash.PARTS, (2,), (3,), (4,), (5,)])
+def test_near_pairs_lose_no_link(spark, monkeypatch, parts):
+    monkeypatch.setattr(simhash, "PARTS", parts)
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for f in list(fps):
@@ -126,3 +130,20 @@ def test_text_over_many_partitions_is_one_group(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert [tuple(r) for r in got] == [(5997, 2000, 2000, 1)]
+
+
+def test_wide_groups_are_chosen_where_fingerprints_are_many():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 4096, dtype=np.int64).view(np.uint64)
+    together = simhash._together(fps).reshape(64, 64)
+
+    def cost(parts, n):
+        groups = simhash.bit_groups(together, len(fps), parts)
+        assert sorted(b for g in groups for b in g) == list(range(64))
+        share = [np.bincount(simhash._values(fps, b), minlength=256) for g in groups for b in simhash._blocks(g)]
+        within = simhash._within(groups, [h * (n / len(fps)) for h in share], n, 4)
+        chosen, costs = simhash.thresholds(fps[:200], groups, within, n)
+        assert (chosen.sum(1) == 4 - parts + 1).all()
+        return costs.mean()
+
+    assert [min((2, 3, 4), key=lambda p: cost(p, n)) for n in (1_000, 1_000_000, 10**9)] == [4, 3, 2]

@@ -1,9 +1,10 @@
 """SimHash near-dedup with the generalised pigeonhole principle.
 
-Every distinct 64-bit fingerprint is cut into PARTS groups of correlated bits. With thresholds t_i that sum to
-radius - PARTS + 1, two fingerprints within the radius agree up to t_i bits in some group i (t_i = -1 skips a group). Each
-fingerprint chooses its own thresholds by dynamic programming over (probes + candidates), the candidates estimated from
-histograms of all fingerprints; it probes the index within t_i in each group, and every candidate is verified.
+Every distinct 64-bit fingerprint is cut into m groups of correlated bits. With thresholds t_i that sum to radius - m + 1,
+two fingerprints within the radius agree up to t_i bits in some group i (t_i = -1 skips a group). Each fingerprint chooses
+its own thresholds by dynamic programming over (probes + candidates), the candidates estimated from histograms of all
+fingerprints; it probes the index within t_i in each group, and every candidate is verified. m is the number out of PARTS
+of least estimated cost: few, wide groups where fingerprints are many, as a group's candidates grow with their number.
 
 Fingerprints are distinct before the search, so copies of one text, however many, are one index entry, and links between
 them cost nothing. No bucket is capped: a key that many fingerprints share is one join key, which AQE splits.
@@ -24,7 +25,9 @@ from utterlake.llm.components import components
 from utterlake.llm.frames import free_name, row_key
 from utterlake.runtime import materialize, table
 
-SHINGLE_WORDS, SEED, RADIUS, PARTS = 4, 42, 4, 3
+SHINGLE_WORDS, SEED, RADIUS, PARTS = 4, 42, 4, (2, 3, 4)
+#: Fingerprints that the cost of a number of groups is estimated on; the links found are the same for any number.
+COST_ROWS = 2048
 CANDIDATE_COST = 0.5  # of verifying one candidate, in probes: a probe is shuffled and sorted, a candidate is one comparison
 _BLOCK = 8  # bits of a histogram
 
@@ -85,16 +88,16 @@ def _together(fps: np.ndarray) -> np.ndarray:
     return (bits.T @ bits).astype(np.int64).ravel()
 
 
-def bit_groups(together: np.ndarray, n: int) -> list[list[int]]:
-    """PARTS groups of about equal size: each grows by the free bit most correlated with it."""
+def bit_groups(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
+    """Groups of about equal size: each grows by the free bit most correlated with it."""
     if not n:
-        return [list(range(i, 64, PARTS)) for i in range(PARTS)]
+        return [list(range(i, 64, parts)) for i in range(parts)]
     mean = together.diagonal() / n
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     related = np.abs((together / n - np.outer(mean, mean)) / np.outer(spread, spread))
     free, groups = set(range(64)), []
-    for part in range(PARTS):
-        size = len(free) // (PARTS - part)
+    for part in range(parts):
+        size = len(free) // (parts - part)
         group = [min(free, key=lambda b: (-sum(related[b, o] for o in free if o != b), b))]
         free.discard(group[0])
         while len(group) < size:
@@ -116,7 +119,7 @@ def _values(fps: np.ndarray, block: list[int]) -> np.ndarray:
     return out
 
 
-def _within(groups: list[list[int]], histogram: np.ndarray, n: int, radius: int) -> list[list[np.ndarray]]:
+def _within(groups: list[list[int]], histogram: list[np.ndarray], n: int, radius: int) -> list[list[np.ndarray]]:
     """For each group and block: the share of fingerprints at distance 0..radius from each value of the block."""
     distance = np.bitwise_count(np.arange(1 << _BLOCK)[:, None] ^ np.arange(1 << _BLOCK)[None, :])
     out, at = [], 0
@@ -129,8 +132,8 @@ def _within(groups: list[list[int]], histogram: np.ndarray, n: int, radius: int)
     return out
 
 
-def thresholds(fps: np.ndarray, groups: list[list[int]], within: list[list[np.ndarray]], n: int, radius: int = RADIUS) -> np.ndarray:
-    """(len(fps), PARTS) thresholds from -1 up that sum to radius - PARTS + 1 at the least estimated cost."""
+def thresholds(fps: np.ndarray, groups: list[list[int]], within: list[list[np.ndarray]], n: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(len(fps), len(groups)) thresholds from -1 up that sum to radius - len(groups) + 1 at the least estimated cost, and that cost."""
     rows, wanted = len(fps), radius + 1  # in steps of t + 1
     best = np.full((rows, wanted + 1), np.inf)
     best[:, 0] = 0
@@ -163,39 +166,49 @@ def thresholds(fps: np.ndarray, groups: list[list[int]], within: list[list[np.nd
         step = choices[i][np.arange(rows), left]
         out[:, i] = step - 1
         left -= step
-    return out
+    return out, best[:, wanted]
 
 
-def _prober(groups: list[list[int]], histogram: np.ndarray, n: int, radius: int):
-    within = _within(groups, histogram, n, radius)
+def _prober(groups: list[list[int]], within: list[list[np.ndarray]], n: int, radius: int):
     masks = [np.uint64(sum(1 << b for b in g)) for g in groups]
     flips = [[np.array([sum(1 << b for b in c) for c in combinations(g, d)], np.uint64) for d in range(radius + 1)] for g in groups]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(all_fps), 256):  # a block's probes fit into memory whatever the thresholds
-                fps = all_fps[at : at + 256]
-                chosen = thresholds(fps, groups, within, n, radius)
-                for i in range(len(groups)):
-                    for d in range(radius + 1):
-                        own = fps[chosen[:, i] >= d]
-                        if len(own):
-                            keys = ((own & masks[i])[:, None] ^ flips[i][d][None, :]).ravel()
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(keys), i, np.int8)), pa.array(keys.view(np.int64)), pa.array(np.repeat(own, len(flips[i][d])).view(np.int64))], names=["part", "key", "q"]
-                            )
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            chosen, _ = thresholds(fps, groups, within, n, radius)
+            for i in range(len(groups)):
+                for d in range(radius + 1):
+                    reached = fps[chosen[:, i] >= d]
+                    block = max(1, (1 << 18) // len(flips[i][d]))  # a block's probes fit into memory whatever the thresholds
+                    for at in range(0, len(reached), block):
+                        own = reached[at : at + block]
+                        keys = ((own & masks[i])[:, None] ^ flips[i][d][None, :]).ravel()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(keys), i, np.int8)), pa.array(keys.view(np.int64)), pa.array(np.repeat(own, len(flips[i][d])).view(np.int64))], names=["part", "key", "q"]
+                        )
 
     return probe, [int(m.view(np.int64)) for m in masks]
 
 
+def _plan(nodes: DataFrame, n: int, radius: int) -> tuple[list[list[int]], list[list[np.ndarray]]]:
+    """The groups of least estimated cost out of PARTS, and the shares of all fingerprints near each value of their blocks."""
+    together = _summed(nodes, _together, 64 * 64).reshape(64, 64)
+    plans = [bit_groups(together, n, parts) for parts in PARTS if parts <= radius + 1] or [[list(range(64))]]
+    blocks = [b for groups in plans for g in groups for b in _blocks(g)]
+    counts = _summed(nodes, lambda fps: np.concatenate([np.bincount(_values(fps.view(np.uint64), b), minlength=1 << _BLOCK) for b in blocks]), len(blocks) << _BLOCK)
+    histograms = iter(counts.reshape(len(blocks), -1))
+    within = [_within(groups, [next(histograms) for g in groups for _ in _blocks(g)], n, radius) for groups in plans]
+    some = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(COST_ROWS).collect()], np.int64).view(np.uint64)
+    costs = [thresholds(some, groups, own, n, radius)[1].mean() if len(some) else 0 for groups, own in zip(plans, within, strict=True)]
+    best = int(np.argmin(costs))
+    return plans[best], within[best]
+
+
 def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) for every two fingerprints of nodes(fp), distinct, that differ in 1 to radius bits; a < b, each pair once."""
     n = nodes.count()
-    groups = bit_groups(_summed(nodes, _together, 64 * 64).reshape(64, 64), n)
-    blocks = [b for g in groups for b in _blocks(g)]
-    histogram = _summed(nodes, lambda fps: np.concatenate([np.bincount(_values(fps.view(np.uint64), b), minlength=1 << _BLOCK) for b in blocks]), len(blocks) << _BLOCK)
-    probe, masks = _prober(groups, histogram.reshape(len(blocks), -1), n, radius)
+    probe, masks = _prober(*_plan(nodes, n, radius), n, radius)
     probes = nodes.select("fp").mapInArrow(probe, "part byte, key long, q long")
     index = nodes.select(F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), "fp") for i, m in enumerate(masks)))).alias("e")).select("e.*")
     found = probes.join(index, ["part", "key"]).where((F.col("q") < F.col("fp")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= radius))
@@ -203,11 +216,16 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _grouped(signed: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) for each fingerprint of signed(doc_id, fp); root is the component's least fingerprint."""
+    """(fp, root, component_id) for each fingerprint of signed(doc_id, fp); root is the component's least fingerprint.
+
+    The least ids are summed up before the shuffle and written, so what follows is a plain join, which AQE splits where one
+    component holds most fingerprints.
+    """
     nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(near_pairs(nodes, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
-    rooted = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted.select("fp", "root"), "root").select("fp", "root", "component_id"), "components")
+    rooted = materialize(nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return materialize(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "components")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
