@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from utterlake.llm.quality import bounded, fold
 from utterlake.runtime import materialize, table
 
-#: At most about this many labelled rows of each class are fitted on; the features are the strongest of all that they hold.
-TRAIN_TOXIC, TRAIN_OTHER, FEATURES, LEAST_DOCS = 6_000, 6_000, 3_000, 5
+#: At most about this many labelled rows of each class are fitted on, and fewer where they hold more hits of features than
+#: TRAIN_HITS; the features are the strongest of all that they hold.
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_HITS, FEATURES, LEAST_DOCS = 6_000, 6_000, 8_000_000, 3_000, 5
 STEPS, STEP, RIDGE = 300, 0.05, 2e-3
 THRESHOLD, KEPT = 0.3, 300_000
 _SENTENCE, _WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
@@ -88,32 +89,48 @@ class Model:
         return 1 - float(np.exp(-total)), offending
 
 
-def fit(docs: list[tuple[int, float, int, list[tuple[int, int]]]], chosen: list[str]) -> Model:
-    """docs: (toxic, weight, sentences, [(sentence, feature number)]). Adam on the noisy-or likelihood with a ridge on the weights."""
-    toxic = np.array([d[0] for d in docs], float)
-    weight = np.array([d[1] for d in docs], float)
-    weight /= max(weight.sum(), 1e-9)
-    doc_of, sent_of, feat_of, bare = [], [], [], np.array([d[2] for d in docs], float)
-    for i, (_, _, _, hits) in enumerate(docs):
-        names: dict[int, int] = {}
-        for s, f in hits:
-            if s not in names:
-                names[s] = len(doc_of)
-                doc_of.append(i)
-            sent_of.append(names[s])
-            feat_of.append(f)
-        bare[i] -= len(names)
-    doc_of, sent_of, feat_of = np.array(doc_of, int), np.array(sent_of, int), np.array(feat_of, int)
+class Bags:
+    """Documents as bags of sentences in flat arrays: (toxic, weight, sentences, [(sentence, feature number, times)])."""
+
+    def __init__(self, docs: list[tuple[int, float, int, list[tuple[int, int, int]]]], width: int):
+        self.width, self.size = width, len(docs)
+        self.toxic = np.array([d[0] for d in docs], float)
+        weight = np.array([d[1] for d in docs], float)
+        self.weight = weight / max(weight.sum(), 1e-9)
+        self.bare = np.array([d[2] for d in docs], float)  # sentences without any feature
+        doc_of, sent_of, feat_of, times = [], [], [], []
+        for i, (_, _, _, hits) in enumerate(docs):
+            names: dict[int, int] = {}
+            for s, f, n in hits:
+                if s not in names:
+                    names[s] = len(doc_of)
+                    doc_of.append(i)
+                sent_of.append(names[s])
+                feat_of.append(f)
+                times.append(n)
+            self.bare[i] -= len(names)
+        self.doc_of, self.sent_of, self.feat_of, self.times = np.array(doc_of, int), np.array(sent_of, int), np.array(feat_of, int), np.array(times, float)
+
+    def gradient(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The weighted log-likelihood of the labels under the noisy-or, and its gradient. The bias is w's last value."""
+        z = w[-1] + np.bincount(self.sent_of, w[self.feat_of] * self.times, len(self.doc_of)) if len(self.doc_of) else np.zeros(0)
+        p, base = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[-1]))
+        s = self.bare * np.logaddexp(0, w[-1]) + np.bincount(self.doc_of, np.logaddexp(0, z), self.size)  # -log of not toxic
+        some = np.maximum(-np.expm1(-s), 1e-12)
+        value = float((self.weight * np.where(self.toxic > 0, np.log(some), -s)).sum())
+        pull = self.weight * np.where(self.toxic > 0, 1 / np.maximum(np.expm1(np.minimum(s, 500.0)), 1e-6), -1.0)
+        by_sentence = pull[self.doc_of] * p
+        return value, np.append(np.bincount(self.feat_of, by_sentence[self.sent_of] * self.times, self.width), by_sentence.sum() + (pull * self.bare).sum() * base)
+
+
+def fit(docs: list[tuple[int, float, int, list[tuple[int, int, int]]]], chosen: list[str]) -> Model:
+    """Adam on the noisy-or likelihood of Bags, with a ridge on the weights."""
+    bags = Bags(docs, len(chosen))
     w = np.zeros(len(chosen) + 1)  # the bias is last
     w[-1] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        z = w[-1] + np.bincount(sent_of, w[feat_of], len(doc_of)) if len(doc_of) else np.zeros(0)
-        p, base = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[-1]))
-        s = bare * np.logaddexp(0, w[-1]) + np.bincount(doc_of, np.logaddexp(0, z), len(docs))
-        pull = weight * np.where(toxic > 0, 1 / np.maximum(np.expm1(np.minimum(s, 500.0)), 1e-6), -1.0)  # of the log-likelihood by s
-        by_sentence = pull[doc_of] * p
-        grad = np.append(np.bincount(feat_of, by_sentence[sent_of], len(chosen)), by_sentence.sum() + (pull * bare).sum() * base)
+        _, grad = bags.gradient(w)
         grad[:-1] -= RIDGE * w[:-1] / max(1, len(chosen)) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w += STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
@@ -128,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         share = (sizes[1] + 1e-3) / (sizes[0] + sizes[1] + 1.0)
         return Model({}, float(np.log(share / (1 - share))))
     picked = bounded(marked.where("toxic = 1"), TRAIN_TOXIC).union(bounded(marked.where("toxic = 0"), TRAIN_OTHER))
-    sample = materialize(docs.join(picked, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    sample = materialize(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "labelled")  # ids: 4 * TRAIN rows at most
     chosen = choose_features(sample)
     number = {f: i for i, f in enumerate(chosen)}
 
@@ -138,13 +155,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             for text in b.column("text"):
                 own = sentences((text.as_py() or "").lower())
                 counts.append(len(own))
-                hits.append([x for i, s in enumerate(own) for word in _WORD.findall(s) for f in features(word) if f in number for x in (i, number[f])])
+                summed = Counter((i, number[f]) for i, s in enumerate(own) for word in _WORD.findall(s) for f in features(word) if f in number)
+                hits.append([x for (i, f), n in summed.items() for x in (i, f, n)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(counts, pa.int32()), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "toxic", "sentences", "hits"])
 
-    got = sample.mapInArrow(bags, "doc_id long, toxic int, sentences int, hits array<int>").limit(4 * (TRAIN_TOXIC + TRAIN_OTHER)).toArrow()
+    found = materialize(sample.mapInArrow(bags, "doc_id long, toxic int, sentences int, hits array<int>"), "bags")
+    total = found.agg(F.sum(F.size("hits"))).first()[0] or 0
+    share = min(1.0, 3 * TRAIN_HITS / max(total, 1))
+    if share < 1:
+        found = found.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    got = found.limit(4 * (TRAIN_TOXIC + TRAIN_OTHER)).toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "toxic", "sentences", "hits")), strict=True))
     drawn = Counter(r[1] for r in rows)
-    return fit([(toxic, sizes[toxic] / drawn[toxic], n, list(zip(hits[::2], hits[1::2], strict=True))) for _, toxic, n, hits in rows], chosen)
+    return fit([(toxic, sizes[toxic] / drawn[toxic], n, list(zip(hits[::3], hits[1::3], hits[2::3], strict=True))) for _, toxic, n, hits in rows], chosen)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
