@@ -1,10 +1,12 @@
 """Operators against plain versions of themselves, and classifiers against labels that they did not learn from."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,113 @@ def test_held_out_accuracy(spark, score, label, parts, held, least):
     own = [r for r in got if r.held_out]
     right = sum(r.predicted == truth[r.doc_id] for r in own) / len(own)
     assert len(own) > 30 and right >= least, right
+
+
+def plain_tree_scores(trees, row):
+    """One row through every tree, node by node."""
+    total = trees.start
+    for root in trees.roots:
+        at = root
+        while trees.feature[at] >= 0:
+            at = trees.left[at] + int(row[trees.feature[at]] > trees.threshold[at])
+        total += trees.value[at]
+    return 1 / (1 + math.exp(-total))
+
+
+def plain_first_split(rows, labels, cuts):
+    """The best gain of one split over all features and cuts, by trying each."""
+    p = (sum(labels) + 1) / (len(labels) + 2)
+    grad, hess = [y - p for y in labels], p * (1 - p)
+    score = lambda own: sum(grad[i] for i in own) ** 2 / (hess * len(own) + quality.RIDGE)
+    best = (0.0, None, None)
+    for f in range(len(rows[0])):
+        for cut in cuts[f]:
+            left, right = [i for i, r in enumerate(rows) if r[f] <= cut], [i for i, r in enumerate(rows) if r[f] > cut]
+            if min(len(left), len(right)) >= quality.LEAST_ROWS:
+                best = max(best, (score(left) + score(right) - score(range(len(rows))), -f, -cut))
+    return -best[1], -best[2]
+
+
+def test_trees_split_best_and_are_walked_right():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(300, 5)).round(2)
+    labels = ((rows[:, 2] > 0.3) ^ (rng.random(300) < 0.1)).astype(float)
+    trees = quality.grow(rows, labels)
+    cuts = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(5)]
+    root = trees.roots[0]
+    assert (trees.feature[root], trees.threshold[root]) == plain_first_split(rows.tolist(), labels.tolist(), cuts)
+    own = trees.left[root]
+    sides = [labels[rows[:, 2] <= trees.threshold[root]], labels[rows[:, 2] > trees.threshold[root]]]
+    assert len(trees.roots) == quality.TREES and own == root + 1 and abs(sides[0].mean() - sides[1].mean()) > 0.5
+    assert trees.score(rows) == pytest.approx([plain_tree_scores(trees, r) for r in rows])
+    loss = lambda p: -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+    assert loss(trees.score(rows)) < 0.6 * loss(np.full(300, labels.mean()))
+
+
+def plain_statistics(text):
+    """Some of the statistics, counted sign by sign."""
+    raw = text.encode()
+    words = raw.split()
+    share = lambda test: sum(test(b) for b in raw) / len(raw)
+    counts = Counter(raw)
+    return {
+        "mean_word": sum(map(len, words)) / len(words), "top_word": max(Counter(words).values()) / len(words), "distinct_pairs": len({*zip(words, words[1:])}) / max(1, len(words) - 1),
+        "same_as_last": sum(a == b for a, b in zip(words, words[1:])) / len(words), "upper": share(lambda b: 65 <= b < 91), "digits": share(lambda b: 48 <= b < 58), "blank": share(lambda b: b in b" \t\n\r"),
+        "beyond_ascii": share(lambda b: b > 127), "entropy": -sum(n / len(raw) * math.log2(n / len(raw)) for n in counts.values()), "mark_42": counts[42] / len(raw),
+    }
+
+
+def test_statistics_match_plain_counts():
+    for text in ("One two two three.", "É% *** ** 12 a a a\nb B", "x"):
+        got = dict(zip(quality.NAMES, quality.statistics(text), strict=True))
+        for name, value in plain_statistics(text).items():
+            assert got[name] == pytest.approx(value), (name, text)
+
+
+def test_noisy_or_against_plain_sums_and_its_gradient_against_differences():
+    rng = random.Random(11)
+    docs = [(rng.randint(0, 1), rng.random() + 0.1, n := rng.randint(1, 6), [(rng.randrange(n), f, rng.randint(1, 3)) for f in rng.sample(range(5), rng.randint(0, 4))]) for _ in range(40)]
+    bags, w = toxicity.Bags(docs, 5), np.array([rng.uniform(-2, 2) for _ in range(6)])
+
+    def plain(w):
+        total = 0.0
+        for toxic, weight, n, hits in docs:
+            none = math.prod(1 / (1 + math.exp(w[-1] + sum(w[f] * k for s, f, k in hits if s == i))) for i in range(n))
+            total += weight * math.log(1 - none if toxic else none)
+        return total / sum(d[1] for d in docs)
+
+    value, gradient = bags.gradient(w)
+    assert value == pytest.approx(plain(w))
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-5
+        assert gradient[i] == pytest.approx((plain(w + step) - plain(w - step)) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_documents_score_as_their_sentences_say():
+    model = toxicity.Model({"=scum": 4.0, "vil": 2.0, "=you": -1.0}, -3.0)
+    text = "You scum! Vile, vile things.\nNothing here? And villains, you"
+    each = [1 / (1 + math.exp(-(-3.0 + z))) for z in (3.0, 4.0, 0.0, 1.0)]
+    score, offending = model.score(text)
+    assert score == pytest.approx(1 - math.prod(1 - p for p in each))
+    assert offending == [(i, pytest.approx(p)) for i, p in enumerate(each) if p > 0.3]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+def test_likeness_of_real_documents_matches_a_plain_count(spark):
+    """op4's columns from their own fingerprints, on every document, those of over 256 anchors too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(syncmers.fingerprint_edits(docs).collect(), key=lambda r: -r.doc_id)
+
+    def links(fingerprint):
+        anchors, place = [], 0
+        for i in range(0, len(fingerprint), 9):
+            place += int(fingerprint[i + 8], 16)
+            anchors.append((fingerprint[i : i + 8], place))
+        return Counter((h, *((n[0], n[1] - p) if n else ())) for (h, p), n in zip(anchors, [*anchors[1:], None], strict=False))
+
+    own = [links(r.fingerprint) for r in got]
+    assert sum(x.total() > 256 for x in own) > 50
+    for i, r in enumerate(got):
+        for near, other in ((r.near_edited, links(r.edited_fingerprint)), (r.near_next, own[(i + 1) % len(own)])):
+            union = (own[i] | other).total()
+            assert near == pytest.approx((own[i] & other).total() / union if union else 1.0), r.doc_id
