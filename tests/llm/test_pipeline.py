@@ -27,7 +27,8 @@ def plain_mix(rows):
     kept = {}
     for d, cell in own.items():
         rate = weights[cell] / cells[cell] if cells[cell] else 1.0
-        if int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:8], 16) / 2**32 < min(1.0, mixing.KEEP * rate):
+        times = mixing.KEEP * rate
+        if int(times) + (int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:8], 16) / 2**32 < times - int(times)):
             kept[d] = rows[d]
     return kept
 

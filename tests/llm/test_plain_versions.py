@@ -39,15 +39,19 @@ def plain_rake(cells):
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_raking(spark, monkeypatch, broadcast):
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", broadcast)
+    monkeypatch.setattr(mixing, "CHECKS", 1)
+    monkeypatch.setattr(mixing, "SWEEPS", sweeps := 4 if not broadcast else 12)
     rng = random.Random(1)
     cells = {(f"s{i}", lang, topic): rng.randint(0, 10 ** rng.randint(1, 5)) for i in range(6) for lang in ("en", "de") for topic in ("short", "long") if rng.random() < 0.8}
     cells["s0", "en", "long"] = 10**6
     table = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens long")
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(table).collect()}
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(table, sweeps).collect()}
     assert got == pytest.approx(plain_rake(cells))
 
 
 def test_mixing_is_the_same_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHECKS", 1)
+    monkeypatch.setattr(mixing.rake, "__defaults__", (2, None))
     few = sorted(map(str, mixing.mix(odd(spark)).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
     assert sorted(map(str, mixing.mix(odd(spark)).collect())) == few
@@ -62,17 +66,37 @@ def test_sampled_tokens_meet_the_raked_targets(spark):
         cells[source, lang, "short" if n < 100 else "article"] += n
     weights = plain_rake(cells)
     assert max(mixing.KEEP * weights[k] / n for k, n in cells.items()) > 1.25  # some cells must grow
-    got = defaultdict(int)
-    for r in mixing.sample_mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect():
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), defaultdict(int)
+    for r in mixing.sample_mix(docs).collect():
         n = len(r.text.split())
         got[r.source, r.lang, "short" if n < 100 else "article"] += n
     assert sum(got.values()) == pytest.approx(mixing.KEEP * sum(cells.values()), rel=0.02)
+    told = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        told[r.source, r.lang, r.topic] += r.n_tokens * r.copies
+    assert told == got
     for i in range(3):
         for v in {k[i] for k in cells}:
             target, share = (sum(n for k, n in x.items() if k[i] == v) / sum(x.values()) for x in (weights, got))
             assert share == pytest.approx(target, rel=0.05), v
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+def test_expected_shares_of_real_documents_meet_every_target(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lang = spark.createDataFrame([("en", 5.0), ("de", 3.0), ("fr", 1.0), ("es", 1.0), ("none", 4.0)], "value string, share double")
+    for given in (None, {"lang": lang}):
+        got = mixing.mix(docs, given).collect()
+        for by in mixing.BY:
+            own, expected, target = defaultdict(int), defaultdict(float), {}
+            for r in got:
+                own[r[by]] += r.n_tokens
+                expected[r[by]] += r.n_tokens * r.expected
+            target = {v: n**mixing.TEMPER for v, n in own.items()} if not (given and by in given) else {"en": 5, "de": 3, "fr": 1, "es": 1}
+            for v in own:
+                assert expected[v] / sum(expected.values()) == pytest.approx(target[v] / sum(target.values()), rel=0.01), (by, v)
+
+
 def test_anchors_match_a_plain_search(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(WORDS[: rng.choice((2, 10, 42))], k=rng.choice((0, 1, 4, 5, 6, 9, 80))))) for i in range(60)]

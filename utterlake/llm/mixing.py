@@ -1,11 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Token weights of the cells (source, language, topic) are raked to the three marginals in turn; then each document is
-kept with its cell's calibrated probability, by a hash of its id. A cell that must grow to reach its targets (KEEP times its
-rate above 1) cannot be reached by keeping each document once: sample_mix repeats its documents, while mix, whose columns
-the SQL states, caps the probability at 1. Cells are as many as the combinations that occur: up to
-BROADCAST_CELLS are raked in one task without a shuffle, more by sums that are shuffled and joined. Documents are
-aggregated to cells before any shuffle, whatever the source's size.
+Token weights of the cells (source, language, topic) are raked to the three marginals in turn; then each document comes as
+often as its cell's calibrated rate asks for: KEEP times the rate, the whole part for certain and the rest by a hash of its
+id. So a cell that must grow repeats its documents, and the sample's tokens follow the targets in every marginal. Cells are
+as many as the combinations that occur: up to BROADCAST_CELLS are raked in one task without a shuffle, more by sums that
+are shuffled and joined. Documents are aggregated to cells before any shuffle, whatever the source's size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,9 @@ from pyspark.sql import functions as F
 
 from utterlake.runtime import materialize, table
 
-TEMPER, KEEP, SWEEPS, SEED = 0.7, 0.8, 12, "mix"
+TEMPER, KEEP, SEED = 0.7, 0.8, "mix"
+#: Sweeps between checks of the marginals, checks at most, and the share of all tokens that a value may be off by.
+SWEEPS, CHECKS, TOLERANCE = 12, 4, 1e-6
 BY = ("source", "lang", "topic")
 #: Up to so many cells are raked in one task and broadcast to the documents; more are raked and joined by shuffles.
 BROADCAST_CELLS = 50_000
@@ -31,12 +32,15 @@ def described(docs: DataFrame) -> DataFrame:
     return counted.withColumns({"_source": F.expr("coalesce(source, '')"), "_lang": F.expr("coalesce(lang, '')"), "_topic": F.expr(_TOPIC.format(text=text, n="_tokens"))})
 
 
-def _targets(cells: DataFrame, by: str) -> DataFrame:
-    """Each value's target: its tokens to the power TEMPER, scaled to all tokens."""
-    sums = cells.groupBy(by).agg(F.sum("tokens").alias("own"))
-    every = Window.partitionBy()
-    power = F.pow(F.col("own").cast("double"), F.lit(TEMPER))
-    return sums.select(by, F.when(F.sum(power).over(every) > 0, power / F.sum(power).over(every) * F.sum("own").over(every)).otherwise(0.0).alias(f"to_{by}"))
+def _targets(cells: DataFrame, by: str, given: DataFrame | None) -> DataFrame:
+    """Each value's target, scaled to all tokens: its share in given(value, share), 0 without one; else its tokens to the power TEMPER."""
+    sums = cells.groupBy(by).agg(F.sum("tokens").cast("double").alias("own"))
+    if given is None:
+        sums = sums.withColumn("share", F.pow("own", F.lit(TEMPER)))
+    else:
+        sums = sums.join(given.select(F.col("value").alias(by), F.col("share").cast("double")), by, "left").na.fill(0.0, ["share"])
+    shares, tokens = sums.agg(F.coalesce(F.sum("share"), F.lit(0.0)), F.coalesce(F.sum("own"), F.lit(0.0))).first()
+    return sums.select(by, (F.col("share") / shares * tokens if shares > 0 else F.lit(0.0)).alias(f"to_{by}"))
 
 
 def _fitted_to(cells: DataFrame, by: str, wide: bool) -> DataFrame:
@@ -48,74 +52,91 @@ def _fitted_to(cells: DataFrame, by: str, wide: bool) -> DataFrame:
     return cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"to_{by}") / now).otherwise(0.0)).select(*BY, "tokens", *(f"to_{b}" for b in BY), "weight")
 
 
-def rake(cells: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """cells(source, lang, topic, tokens) with weight: tokens raked to the targets of the three marginals. cells are read twice or more: a table."""
+def gap(fitted: DataFrame) -> float:
+    """The largest share of all tokens by which a value of any marginal misses its target."""
+    off = [fitted.groupBy(by).agg(F.abs(F.sum("weight") - F.max(f"to_{by}")).alias("off"), F.max(f"to_{by}").alias("to")) for by in BY]
+    found = [x.agg(F.max("off"), F.sum("to")).first() for x in off]
+    return max((most / total for most, total in found if total), default=0.0)
+
+
+def rake(cells: DataFrame, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """cells(source, lang, topic, tokens) with weight: tokens raked to the targets of the three marginals. cells are read twice or more: a table.
+
+    targets: by source, lang or topic, a table of (value, share), for marginals other than the tempered ones. Sweeps go on
+    until no value is off by more than TOLERANCE; targets that contradict each other are left after CHECKS * sweeps.
+    """
     wide = cells.count() > BROADCAST_CELLS
     together = (lambda df: df) if wide else (lambda df: df.coalesce(1))
     targeted = together(cells)
     for by in BY:
-        own = _targets(cells, by)
+        own = _targets(cells, by, (targets or {}).get(by))
         targeted = targeted.join(own if wide else F.broadcast(own), by)
     fitted = materialize(targeted.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for done in range(sweeps):
+    for done in range(1, CHECKS * sweeps + 1):
         fitted = together(fitted)
         for by in BY:
             fitted = _fitted_to(fitted, by, wide)
-        if wide or done % 4 == 3:
+        if wide or done % 4 == 0 or done % sweeps == 0:
             fitted = materialize(fitted, "raked")
+        if done % sweeps == 0 and gap(fitted) <= TOLERANCE:
+            break
     return fitted.select(*BY, "tokens", "weight")
 
 
-def calibrated(facts: DataFrame) -> DataFrame:
-    """(_source, _lang, _topic, rate, probability) for each cell of described rows."""
+def calibrated(facts: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(_source, _lang, _topic, rate) for each cell of described rows."""
     cells = facts.groupBy(*(F.col(f"_{b}").alias(b) for b in BY)).agg(F.sum("_tokens").alias("tokens"))
-    fitted = materialize(rake(materialize(cells, "tokens")), "fitted")
+    fitted = materialize(rake(materialize(cells, "tokens"), targets=targets), "fitted")
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    out = fitted.select(*(F.col(b).alias(f"_{b}") for b in BY), rate.alias("rate"), F.least(F.lit(1.0), F.lit(KEEP) * rate).alias("probability"))
+    out = fitted.select(*(F.col(b).alias(f"_{b}") for b in BY), rate.alias("rate"))
     return F.broadcast(out) if out.count() <= BROADCAST_CELLS else out
 
 
-def chance(doc_id: Column) -> Column:
-    """A number in [0, 1) from the id alone; null counts as ''."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def chance() -> Column:
+    """A number in [0, 1) from doc_id alone, from the text where it is null."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), name)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _copies(chance: Column) -> Column:
+    times = F.lit(KEEP) * F.col("rate")
+    return F.floor(times).cast("long") + (chance < times - F.floor(times)).cast("long")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, source, lang, topic, n_tokens, weight, probability, selected.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per input row: doc_id, source, lang, topic, n_tokens, weight, expected, copies, selected.
 
-    weight is the document's calibrated tokens (n_tokens times its cell's rate), probability that of keeping it (KEEP times
-    the rate, 1 at most), selected whether it is kept. Null source and lang count as ''; null and empty texts have no
-    tokens and the topic 'short'; a null doc_id draws as ''; repeated rows share a fate; other columns are ignored; an empty
-    table gives an empty result.
+    weight is the document's calibrated tokens (n_tokens times its cell's rate), expected how often the sample should hold
+    it (KEEP times the rate), copies how often it does, selected whether it does at all. targets are those of rake. Null
+    source and lang count as ''; null and empty texts have no tokens and the topic 'short'; a null doc_id draws by the text;
+    repeated rows share a fate; other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "source", "lang")
-    facts = materialize(described(rows).drop("text", "source", "lang"), "facts")
-    joined = facts.join(calibrated(facts), [f"_{b}" for b in BY])
+    facts = materialize(described(rows).withColumn("_chance", chance()).drop("text", "source", "lang"), "facts")
+    joined = facts.join(calibrated(facts, targets), [f"_{b}" for b in BY]).withColumn("copies", _copies(F.col("_chance")))
     return joined.select(
         "doc_id", *(F.col(f"_{b}").alias(b) for b in BY), F.col("_tokens").alias("n_tokens"), F.round(F.col("_tokens") * F.col("rate"), 4).alias("weight"),
-        F.round("probability", 6).alias("probability"), (chance(F.col("doc_id")) < F.col("probability")).alias("selected"),
+        F.round(F.lit(KEEP) * F.col("rate"), 6).alias("expected"), "copies", (F.col("copies") > 0).alias("selected"),
     )
 
 
-def sample_mix(docs: DataFrame) -> DataFrame:
-    """The selected rows of docs with all their columns, as often as their cell's rate asks for.
+def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of docs with all their columns, each as often as mix's copies say: not at all, once or several times.
 
-    A row comes KEEP times its cell's rate times: the whole part of it for certain, one time more by its chance. So the
-    tokens of sources, languages and topics follow their targets; the rows that come at all are those that mix selects.
+    So the tokens of sources, languages and topics follow their targets. Nulls count as in mix; rows that share id and text
+    share a fate; columns may have any name; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text", "source", "lang")
     facts = materialize(described(rows).select("_source", "_lang", "_topic", "_tokens"), "facts")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source", "lang")
-    cells = calibrated(facts).select(*(f"_{b}" for b in BY), (F.lit(KEEP) * F.col("rate")).alias("times"))
-    whole = F.floor("times").cast("int")
-    drawn = described(packed).join(cells, [f"_{b}" for b in BY]).select("row", (whole + (chance(F.col("doc_id")) < F.col("times") - whole).cast("int")).alias("times"))
+    drawn = described(packed).join(calibrated(facts, targets), [f"_{b}" for b in BY]).select("row", _copies(chance()).cast("int").alias("times"))
     return drawn.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def _oracle() -> str:
     topic = _TOPIC.format(text="coalesce(text, '')", n="n_tokens")
     parts = [
-        f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, n_tokens, {topic} AS topic FROM (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS n_tokens FROM documents))",
+        f"d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name, coalesce(source, '') AS source, coalesce(lang, '') AS lang, n_tokens, {topic} AS topic FROM (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS n_tokens FROM documents))",
         "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3)",
     ]
     for by in BY:
@@ -127,10 +148,10 @@ def _oracle() -> str:
             step += 1
             parts.append(f"w{step} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {by}) > 0 THEN weight * to_{by} / sum(weight) OVER (PARTITION BY {by}) ELSE 0 END AS weight FROM w{step - 1})")
     parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS rate FROM w{step})")
-    return f"""WITH {", ".join(parts)}
-SELECT doc_id, source, lang, topic, n_tokens, round(n_tokens * rate, 4) AS weight, round(least(1.0, {KEEP} * rate), 6) AS probability,
-  CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < least(1.0, {KEEP} * rate) AS selected
-FROM d JOIN r USING (source, lang, topic)"""
+    times = f"{KEEP} * rate"
+    return f"""WITH {", ".join(parts)}, m AS (SELECT d.*, rate, CAST(floor({times}) AS BIGINT)
+  + CASE WHEN CAST(CAST('0x' || substr(md5('{SEED}:' || name), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < {times} - floor({times}) THEN 1 ELSE 0 END AS copies FROM d JOIN r USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, n_tokens, round(n_tokens * rate, 4) AS weight, round({times}, 6) AS expected, copies, copies > 0 AS selected FROM m"""
 
 
 QUERIES = {"op6_mixing": lambda spark, sf_dir: mix(table(spark, sf_dir, "documents"))}
