@@ -1,4 +1,7 @@
-"""Plug-ins of text normalisation: numbers as words, Latin words in another script. Without them texts keep digits and words."""
+"""Plug-ins of text normalisation: numbers as words, Latin words in another script. Without them texts keep digits and words.
+
+itrans is a mapper of its own: the ITRANS spelling of Latin words, in the script of the language.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from utterlake.functions.text import _replace_each, clean, normalise
+from utterlake.functions.text import SCHEMES, _replace_each, clean, normalise, script
 from utterlake.runtime import let
 
 NUMBER = r"(?U)-?\d+(?:\.\d+)?"
@@ -55,27 +58,58 @@ def verbalised(text: Column, words: Callable[[Column], Column] = english_number)
     return _replace_each(text, NUMBER, words)
 
 
-def transliterated(text: Column, lang: str, mapper: Callable[[str, str], str] | None = None) -> Column:
+# The ITRANS scheme, for Devanagari. Other scripts of India lie in blocks of the same order.
+_VOWELS = dict(zip("a aa A i ii I ee u uu U oo e ai o au RRi".split(), "अ आ आ इ ई ई ई उ ऊ ऊ ऊ ए ऐ ओ औ ऋ".split(), strict=True))
+_SIGNS = dict(zip("aa A i ii I ee u uu U oo e ai o au RRi".split(), "ा ा ि ी ी ी ु ू ू ू े ै ो ौ ृ".split(), strict=True)) | {"a": ""}
+_CONSONANTS = dict(zip(
+    "k kh g gh ~N ch Ch chh j jh ~n T Th D Dh N t th d dh n p ph b bh m y r l v w sh Sh s h x q z f L".split(),
+    "क ख ग घ ङ च छ छ ज झ ञ ट ठ ड ढ ण त थ द ध न प फ ब भ म य र ल व व श ष स ह क्ष क़ ज़ फ़ ळ".split(), strict=True,
+)) | {"c": "च"}
+_BLOCKS = {"devanagari": 0x0900, "bengali": 0x0980, "gujarati": 0x0A80, "telugu": 0x0C00, "kannada": 0x0C80}
+_PIECES = re.compile("|".join(sorted({*_VOWELS, *_CONSONANTS}, key=len, reverse=True)))
+
+
+def itrans(word: str, lang: str) -> str:
+    """word as ITRANS in the script of lang; a consonant without a vowel after it has a virama. Letters of no sound stay."""
+    out, open_ = [], False
+    for piece in re.findall(f"{_PIECES.pattern}|.", word):
+        if piece in _CONSONANTS:
+            out += ["्"] * open_ + [_CONSONANTS[piece]]
+            open_ = True
+        else:
+            out.append(_SIGNS[piece] if open_ and piece in _SIGNS else "्" * open_ + _VOWELS.get(piece, piece))
+            open_ = False
+    shift = _BLOCKS[SCHEMES.get(lang, "devanagari")] - 0x0900
+    return "".join(chr(ord(c) + shift) if 0x0900 <= ord(c) < 0x0980 else c for c in "".join(out) + "्" * open_)
+
+
+def transliterated(text: Column, lang: str | Column, mapper: Callable[[str, str], str] | None = None) -> Column:
     """Latin words of two letters or more, lower-cased, as mapper(word, lang) gives them; a word that it fails on stays. No mapper: unchanged."""
     if mapper is None:
         return text
 
-    def one(m: re.Match) -> str:
+    def one(m: re.Match, own: str) -> str:
         try:
-            return mapper(m[0].lower(), lang) if len(m[0]) > 1 else m[0]
+            return mapper(m[0].lower(), own) or m[0] if len(m[0]) > 1 else m[0]
         except Exception:  # a word the plug-in cannot map is kept, as is one without a plug-in
             return m[0]
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else re.sub(r"\b[a-zA-Z]+\b", one, t))
+    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else re.sub(r"\b[a-zA-Z]+\b", lambda m, x=x: one(m, x), t) for t, x in zip(texts, langs, strict=True)], dtype=object)
+
+    return run(text, F.lit(lang) if isinstance(lang, str) else lang)
 
-    return run(text)
 
+def processed(text: Column, lang: str | Column | None = "en", words: dict[str, Callable[[Column], Column]] | Callable[[Column], Column] | None = None, mapper: Callable[[str, str], str] | None = None) -> Column:
+    """Normalised text, then numbers and words by the plug-ins, then cleaning.
 
-def processed(text: Column, lang: str = "en", words: Callable[[Column], Column] | None = None, mapper: Callable[[str, str], str] | None = None) -> Column:
-    """Normalised text, then numbers and words by the plug-ins, then cleaning."""
+    lang: one language, or each row's own; null rows (None: all) are of the language of their script. words: one verbaliser
+    for all, or one for each language; numbers in other languages stay digits.
+    """
+    own = F.lit(lang) if isinstance(lang, str) else script(text) if lang is None else F.coalesce(lang, script(text))
     out = normalise(text, lang)
-    if words:
-        out = let(out, lambda t: verbalised(t, words))
-    return clean(transliterated(out, lang, mapper)) if mapper else clean(out)
+    for x, say in (words if isinstance(words, dict) else {None: words} if words else {}).items():
+        said = lambda t, say=say: verbalised(t, say)
+        out = let(out, said) if x is None else let(out, lambda t, x=x, said=said: F.when(own == x, said(t)).otherwise(t))
+    return clean(transliterated(out, own, mapper)) if mapper else clean(out)

@@ -17,6 +17,7 @@ CURRENCIES = {"$": {"en": "dollar", "hi": "dollar"}, "€": {"en": "euro", "hi":
 SCHEMES = {"hi": "devanagari", "mr": "devanagari", "sa": "devanagari", "bn": "bengali", "gu": "gujarati", "te": "telugu", "kn": "kannada"}
 SENTENCE_ENDS = "।॥?!."
 CHUNK_CHARS, CHUNK_SLACK, LONG_TEXT = 300, 1.2, 300
+CHUNK_BLOCK = 256
 
 _INDIC_DIGITS = "".join(chr(start + d) for start in (0x0966, 0x09E6, 0x0AE6, 0x0C66, 0x0CE6) for d in range(10))
 _ACRONYM, _CURRENCY = r"(?U)\b[A-Z][A-Z0-9&]+\b", r"(?U)[$£€₹]\s?\d+(?:\.\d+)?"
@@ -80,8 +81,27 @@ def replace_symbols(text: Column, lang: str = "en") -> Column:
     return text
 
 
-def normalise(text: Column, lang: str = "en") -> Column:
-    """Acronyms, then currency, then symbols, then cleaning; numbers stay digits where no verbaliser is plugged in."""
+def by_language(text: Column, lang: str | Column | None, of) -> Column:
+    """of(text, language) with each row's own language; where it is null, or None is given, the text's script says which.
+
+    of is called with the languages that have tables of their own; all others are treated as English.
+    """
+    if isinstance(lang, str):
+        return of(text, lang)
+    own = script(text) if lang is None else F.coalesce(lang, script(text))
+    first, *others = SYMBOLS
+    cases = F.when(own == others[0], of(text, others[0]))
+    for x in others[1:]:
+        cases = cases.when(own == x, of(text, x))
+    return cases.otherwise(of(text, first))
+
+
+def normalise(text: Column, lang: str | Column | None = "en") -> Column:
+    """Acronyms, then currency, then symbols, then cleaning, in a language or each row's own (by_language); numbers stay digits where no verbaliser is plugged in."""
+    return by_language(text, lang, _normalised)
+
+
+def _normalised(text: Column, lang: str) -> Column:
     return clean(let(space_acronyms(text), lambda a: let(expand_currency(a, lang), lambda c: replace_symbols(c, lang))))
 
 
@@ -94,7 +114,8 @@ def sentences(text: Column) -> Column:
 def chunks(parts: Column, target: int = CHUNK_CHARS) -> Column:
     """Sentences merged greedily up to target * CHUNK_SLACK characters, blanks between them not counted; none is split."""
     most = F.lit(target * CHUNK_SLACK)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    none = F.array().cast("array<string>")
+    start = lambda open_, n: F.struct(none.alias("done"), open_.alias("open"), n.alias("n"))
 
     def add(acc: Column, s: Column) -> Column:
         full = (acc["n"] > 0) & (acc["n"] + F.length(s) > most)
@@ -104,15 +125,49 @@ def chunks(parts: Column, target: int = CHUNK_CHARS) -> Column:
             F.when(full, F.length(s)).otherwise(acc["n"] + F.length(s)).alias("n"),
         )
 
-    return F.aggregate(parts, empty, add, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    # an append copies what is done, so blocks of sentences are folded by themselves and their chunks joined: n * sqrt(n), not n * n
+    def block(acc: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(parts, i * CHUNK_BLOCK + 1, F.lit(CHUNK_BLOCK)), start(acc["open"], acc["n"]), add)
+        return let(inner, lambda own: F.struct(F.concat(acc["done"], own["done"]).alias("done"), own["open"].alias("open"), own["n"].alias("n")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK_BLOCK).cast("int"))
+    folded = F.aggregate(blocks, start(F.lit(""), F.lit(0)), block, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    return F.when(F.size(parts) > 0, folded).when(parts.isNotNull(), none)
 
 
 def chunked(text: Column, target: int = CHUNK_CHARS) -> Column:
-    return chunks(sentences(clean(text)), target)
+    return let(sentences(clean(text)), lambda parts: chunks(parts, target))
+
+
+def normalised_chunks(text: Column, lang: str | Column | None = None, target: int = CHUNK_CHARS) -> Column:
+    """Normalised in the language (the script's where it is null), then cut into chunks."""
+    return let(normalise(text, lang), lambda t: chunked(t, target))
 
 
 def train_prompt(text: Column) -> Column:
-    return F.concat(F.lit("<|task_tts|><|start_content|>"), text, F.lit("<|end_content|><|start_global_token|>"))
+    """What a model is given to read; its loss is masked."""
+    return F.concat(F.lit("<|task_tts|><|start_content|>"), text, F.lit("<|end_content|>"))
+
+
+def train_completion(global_tokens: Column, semantic_tokens: Column) -> Column:
+    """What it learns to say after train_prompt."""
+    return F.concat(F.lit("<|start_global_token|>"), global_tokens, F.lit("<|end_global_token|><|start_semantic_token|>"), semantic_tokens, F.lit("<|end_semantic_token|><|im_end|>"))
+
+
+def inference_prompt(text: Column, global_tokens: Column) -> Column:
+    """A prompt that holds the voice already and is open for semantic tokens."""
+    return F.concat(train_prompt(text), F.lit("<|start_global_token|>"), global_tokens, F.lit("<|end_global_token|><|start_semantic_token|>"))
+
+
+def allowed_scores(scores: Column, ids: list[int]) -> Column:
+    """scores where their place is one of ids, minus infinity elsewhere. ids: few, they are part of the plan."""
+    allowed = F.array(*map(F.lit, sorted(set(ids)))) if ids else F.array().cast("array<int>")
+    return F.transform(scores, lambda x, i: F.when(F.array_contains(allowed, i), x.cast("double")).otherwise(F.lit(float("-inf"))))
+
+
+def language_dir(name: Column) -> Column:
+    """Two to four signs, lower case, with a letter that has case."""
+    return F.length(name).between(2, 4) & (name == F.lower(name)) & (name != F.upper(name))
 
 
 def render_tokens(ids: Column, kind: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from utterlake.functions import text as T
@@ -49,10 +51,28 @@ def balanced(rows: DataFrame, base: list[str], share: float, key: str = "doc_id"
     others = rows.where(~is_base).count()
     if not others:
         return rows
-    most = int(share / (1 - share) * others)
+    return _base_capped(rows, base, int(share / (1 - share) * others), key, seed)
+
+
+def balanced_capped(rows: DataFrame, base: list[str], share: float, k: int | None, key: str = "doc_id", seed: str = "42") -> DataFrame:
+    """Both caps in one pass over the shuffled rows: k a language, then the base languages' together; their cap comes from the counts before either."""
+    others = rows.where(~F.coalesce(F.col("lang").isin(base), F.lit(False))).count() if 0 < share < 1 and base else 0
+    left = rows if k is None else capped(rows, "lang", k, key, seed)
+    return _base_capped(left, base, int(share / (1 - share) * others), key, seed) if others else left
+
+
+def _base_capped(rows: DataFrame, base: list[str], most: int, key: str, seed: str) -> DataFrame:
+    is_base = F.coalesce(F.col("lang").isin(base), F.lit(False))
     return rows.where(~is_base).unionByName(numbered(rows.where(is_base), [], [shuffle_key(F.col(key), seed), key], "_at").where(F.col("_at") < most).drop("_at"))
 
 
+def sampling_mode(available: DataFrame, base: list[str], wanted: str, by: str = "lang") -> str:
+    """wanted, but proportional where languages are there and none of them is a base one."""
+    found = available.select(by).where(F.col(by).isNotNull())
+    none_of_base = found.where(F.col(by).isin(base)).isEmpty() if base else True
+    return "proportional" if none_of_base and not found.isEmpty() else wanted
+
+
 def split_validation(rows: DataFrame, share: float, key: str = "doc_id", seed: str = "7") -> DataFrame:
     """rows with is_val for exactly clamp(round(n * share), 1, n - 1) of them, repeated keys too; none where n < 2 or share <= 0."""
     n = rows.count()
@@ -81,6 +101,62 @@ def references(rows: DataFrame, chance: str = "0.8", key: str = "audio_path", po
     return wanted.join(pool, ["speaker", "at"], "left").select(key, "speaker", F.coalesce("ref", key).alias("ref"))
 
 
+def pool(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
+    """The first k rows of each group in that order; the group limit runs before the shuffle too."""
+    w = Window.partitionBy(by).orderBy(order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def cloning_pairs(rows: DataFrame, key: str, speaker: str, draws: int = 10) -> DataFrame:
+    """(speaker, draw, ref, target): up to draws seeded pairs of two different utterances of each speaker, never more than it has.
+
+    A draw names two numbers, which are joined to the numbered utterances: no pairs within a speaker are made.
+    """
+    p = materialize(numbered(rows.select(F.col(key).alias("_key"), F.col(speaker).alias("speaker")), ["speaker"], ["_key"], "i"), "pool")
+    sizes = p.groupBy("speaker").agg(F.count("*").alias("n")).where("n >= 2")
+    drawn = sizes.select("speaker", "n", F.explode(F.expr(f"sequence(0L, least({draws}L, n * (n - 1) div 2) - 1)")).alias("draw"))
+    a, b = (T.hash32(F.concat_ws(":", F.lit(x), "speaker", "draw")) for x in "ab")
+    placed = drawn.withColumn("a", a % F.col("n")).withColumn("b0", b % (F.col("n") - 1)).withColumn("b", F.when(F.col("b0") >= F.col("a"), F.col("b0") + 1).otherwise(F.col("b0")))
+    x, y = (p.select("speaker", F.col("i").alias(place), F.col("_key").alias(name)) for place, name in (("a", "ref"), ("b", "target")))
+    return placed.join(x, ["speaker", "a"]).join(y, ["speaker", "b"]).select("speaker", "draw", "ref", "target")
+
+
+def within_length(rows: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """Rows of at most that many tokens."""
+    return rows.where(F.size(tokens) <= most)
+
+
+def corpus_lines(docs: DataFrame, text: str = "text", least: int = 5) -> DataFrame:
+    """Cleaned texts longer than least, repeats included; distinct() makes them the corpus."""
+    return docs.select(T.clean(F.col(text)).alias("text")).where(F.length("text") > least)
+
+
+def cached(manifest: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """Rows of manifest joined to the cache's, and an observation with rows and misses once the result has been computed.
+
+    cache: one row a key. The manifest's rows without one are counted and go.
+    """
+    seen = Observation("cached")
+    both = manifest.join(cache.withColumn("_hit", F.lit(True)), key, "left")
+    counted = both.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_hit").isNull()).alias("misses"))
+    return counted.where("_hit").drop("_hit"), seen
+
+
+def refused(prompt: Column, most: int) -> Column:
+    """Why a row of tokens makes no training row; null where it makes one."""
+    none = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    context = F.size(prompt) + F.size("global_ids") + 3
+    return F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty_text").when(none("global_ids"), "no_global_ids").when(none("semantic_ids"), "no_semantic_ids").when(F.lit(most) - context <= 2, "no_room")
+
+
+def tolerant(rows: DataFrame, reason: Column, name: str = "errors") -> tuple[DataFrame, DataFrame, Observation]:
+    """(rows without a reason, rows with one and their reason, an observation of rows and errors for when the first has been computed)."""
+    seen = Observation(name)
+    marked = rows.withColumn("reason", reason)
+    good = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("reason").alias("errors"))
+    return good.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull()), seen
+
+
 def training_rows(tokens: DataFrame, prompt: Column, most: int) -> DataFrame:
     """input_ids, attention_mask, labels with the context masked by -100; rows whose context leaves room for fewer than 3 go."""
     start = F.concat(prompt, F.array(F.lit(START_GLOBAL)), "global_ids", F.array(F.lit(END_GLOBAL), F.lit(START_SEMANTIC)))
@@ -132,6 +208,15 @@ def new_vocabulary(base: DataFrame, pieces: DataFrame) -> DataFrame:
     return new.select("piece", "id", (F.col("_at") + size).cast("bigint").alias("new_id"))
 
 
+def new_embeddings(old: DataFrame, vector: str, n: int, seed: str, noise: float = 0.01) -> DataFrame:
+    """(new_id, pos, value): n new rows, the mean of the old ones and normal noise, which is drawn from seed, row and place alone."""
+    mean = old.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    each = mean.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("new_id"), F.col("pos").cast("bigint").alias("pos"), "mean")
+    name = F.md5(F.concat_ws(":", F.lit(seed), "new_id", "pos"))
+    u, v = ((F.conv(F.substring(name, at, 8), 16, 10).cast("bigint") + 1) / F.lit(4294967297.0) for at in (1, 9))
+    return each.select("new_id", "pos", (F.col("mean") + noise * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(math.pi) * v)).alias("value"))
+
+
 def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """rows with ids, those of its array of tokens in their order by vocabulary(piece, id), and unknown, the tokens without one.
 
@@ -149,6 +234,50 @@ def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     return joined.withColumn("ids", ids).drop("_row", "_ids", "_unknown")
 
 
+def token_ratio(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    """One row: lines, tokens before and after (arrays of tokens), and how many of the former one of the latter stands for."""
+    sums = rows.select(F.size(before).cast("long").alias("b"), F.size(after).cast("long").alias("a")).agg(F.count("*").alias("lines"), F.sum("b").alias("before"), F.sum("a").alias("after"))
+    return sums.withColumn("ratio", F.when(F.col("after") > 0, F.col("before") / F.col("after")))
+
+
+def orphans(wavs: DataFrame, transcripts: DataFrame, group: str, key: str, examples: int = 3) -> DataFrame:
+    """(group, missing_wavs, missing_transcripts, and the first few keys of each) for every group: keys that stand on one side only.
+
+    wavs and transcripts have (group, key). A group's keys are counted and its least ones ranked before the shuffle.
+    """
+    sides = wavs.select(group, key).distinct().withColumn("_wav", F.lit(1)).unionByName(transcripts.select(group, key).distinct().withColumn("_wav", F.lit(0)))
+    alone = sides.groupBy(group, key).agg(F.max("_wav").alias("_wav"), F.count("*").alias("_n")).withColumn("_alone", F.col("_n") == 1)
+    marked = materialize(alone.select(group, key, F.when(F.col("_alone"), F.when(F.col("_wav") == 1, "missing_transcripts").otherwise("missing_wavs")).alias("_what")), "sides")
+    w = Window.partitionBy(group, "_what").orderBy(key)
+    first = marked.where("_what IS NOT NULL").withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= examples)
+    kinds = ("missing_wavs", "missing_transcripts")
+    few = first.groupBy(group).agg(*(F.sort_array(F.collect_list(F.when(F.col("_what") == k, F.col(key)))).alias(f"{k}_examples") for k in kinds))
+    counts = marked.groupBy(group).agg(*(F.count_if(F.col("_what") == k).alias(k) for k in kinds))
+    none = F.array().cast(few.schema[f"{kinds[0]}_examples"].dataType)
+    return counts.join(few, group, "left").withColumns({f"{k}_examples": F.coalesce(f"{k}_examples", none) for k in kinds})
+
+
+# Names of the folders that a corpus comes in.
+_OUTER, _SPICOR, _PREFIX, _SPICOR_PREFIX = "IISc_SYSPIN_Data", "IISc_SPICOR_Data", "IISc_SYSPINProject_", "IISc_SPICORProject_"
+
+
+def move_plan(dirs: DataFrame, path: str = "path") -> DataFrame:
+    """(src, dst, kind, action) for each speaker folder that lies too deep: dirs has all folders as <lang>/..., no file is touched.
+
+    Folders of the inner SYSPIN folder go up one level, those of SPICOR beside them under a new name. action is
+    skip_exists where the target is there already, else move. Counters are counts by (kind, action).
+    """
+    p = F.split(path, "/")
+    lang, outer, inner, name = (F.try_element_at(p, F.lit(i)) for i in (-4, -3, -2, -1))
+    found = dirs.where(T.language_dir(lang) & (outer == inner)).select(F.col(path).alias("src"), F.concat_ws("/", F.slice(p, F.lit(1), F.size(p) - 3)).alias("_root"), outer.alias("_outer"), name.alias("_name"))
+    new = F.when((F.col("_outer") == _OUTER) & F.startswith("_name", F.lit(_PREFIX)), F.struct(F.lit("syspin").alias("kind"), F.col("_name").alias("name"))).when(
+        (F.col("_outer") == _SPICOR) & F.startswith("_name", F.lit(_SPICOR_PREFIX)), F.struct(F.lit("spicor").alias("kind"), F.concat(F.lit(f"{_PREFIX}SPICOR_"), F.substring("_name", F.lit(len(_SPICOR_PREFIX) + 1), F.length("_name"))).alias("name"))
+    )
+    planned = found.withColumn("_new", new).where("_new IS NOT NULL").select("src", F.concat_ws("/", "_root", F.lit(_OUTER), "_new.name").alias("dst"), "_new.kind")
+    there = dirs.select(F.col(path).alias("dst")).distinct().withColumn("_there", F.lit(True))
+    return planned.join(there, "dst", "left").select("src", "dst", "kind", F.when(F.col("_there"), "skip_exists").otherwise("move").alias("action"))
+
+
 def latest_checkpoints(paths: DataFrame, path: str = "path") -> DataFrame:
     """(folder, step, path) of the highest numbered checkpoint-<step> in each folder; other paths go."""
     step = F.regexp_extract(path, r"/checkpoint-(\d+)$", 1)

@@ -11,12 +11,11 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.functions import text as T
 from utterlake.functions import waves as W
-from utterlake.operators.corpus import crossfaded
 from utterlake.sources import wav
 
 BATCH = 64
@@ -97,15 +96,55 @@ def spoken(rows: DataFrame, key: str, order: str, text: str, make: Callable[[],
     return rows.select(key, order, F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInArrow(run, f"{key} {kinds[0]}, {order} {kinds[1]}, wave array<double>, error string")
 
 
-def synthesised(requests: DataFrame, key: str, text: str, lang: str = "en", make: Callable[[], Voice] = tone, rate: int = 16000, overlap_ms: int = 50) -> DataFrame:
+def scored_files(files: DataFrame, key: str = "path", content: str = "content", make: Callable[[], WaveScorer] = quantiser, batch: int = BATCH) -> DataFrame:
+    """(key, seconds, rate, global_ids, semantic_ids, error) of WAV files, such as wav.wav_files lists: decoded, then scored in batches.
+
+    A file that cannot be read, or that the scorer fails on, is a row with an error. Samples pass from one to the other in
+    one task, they are not shuffled.
+    """
+    read = wav.decoded(files, key, content)
+    kept = F.struct(key, "seconds", "rate", F.col("error").alias("unread"))
+    got = scored(read.select(kept.alias("_file"), "wave"), "_file", "wave", make, batch)
+    return got.select(f"_file.{key}", "_file.seconds", "_file.rate", "global_ids", "semantic_ids", F.coalesce("_file.unread", "error").alias("error"))
+
+
+def joined_waves(chunks: DataFrame, key: str, order: str, wave: str, overlap: int) -> DataFrame:
+    """(key, wave): what crossfaded gives, as one array for each key, which fits into a task as it must into a row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by(order)
+        waves = [w for w in (x.values.to_numpy(zero_copy_only=False) for x in rows.column(wave).combine_chunks() if x.is_valid) if len(w)]
+        return pa.table({key: rows.column(key)[:1], wave: pa.array([crossfade(waves, overlap)], pa.list_(pa.float64()))})
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.where(F.size(wave) > 0).select(key, order, wave).groupBy(key).applyInArrow(run, f"{key} {kind}, {wave} array<double>")
+
+
+def crossfade(waves: list[np.ndarray], overlap: int) -> np.ndarray:
+    """Waves added up with linear ramps over the overlap; positions stay at 0 or more."""
+    ramp, starts, at = float(max(1, overlap - 1)), [], 0
+    for i, w in enumerate(waves):
+        starts.append(max(0, at))
+        at += len(w) - (overlap if i + 1 < len(waves) else 0)
+    out = np.zeros(max(s + len(w) for s, w in zip(starts, waves, strict=True)))
+    for i, (start, w) in enumerate(zip(starts, waves, strict=True)):
+        place, weight = np.arange(len(w)), np.ones(len(w))
+        if i:
+            weight = np.where(place < overlap, weight * (place / ramp), weight)
+        if i + 1 < len(waves):
+            weight = np.where(place >= len(w) - overlap, weight * ((len(w) - 1 - place) / ramp), weight)
+        out[start : start + len(w)] += w * weight
+    return out
+
+
+def synthesised(requests: DataFrame, key: str, text: str, lang: str | Column | None = "en", make: Callable[[], Voice] = tone, rate: int = 16000, overlap_ms: int = 50) -> DataFrame:
     """(key, content): a WAV file for each request's text, normalised once. Long texts are spoken in chunks that are crossfaded.
 
-    Requests without any sound (empty or null texts, a voice that fails) have null content. key must be unique.
+    lang may be a column; a null one is told by the script. Requests without any sound (empty or null texts, a voice that fails) have null content. key must be unique.
     """
     normal = T.normalise(F.col(text), lang)
     pieces = F.when(F.length(normal) > T.LONG_TEXT, T.chunked(normal)).otherwise(F.array(normal))
     chunks = requests.select(key, F.posexplode(pieces).alias("_no", "_piece")).where("_piece != ''")
-    samples = crossfaded(spoken(chunks, key, "_no", "_piece", make), key, "_no", "wave", overlap_ms * rate // 1000)
-    whole = samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sample"))), lambda s: s["sample"]).alias("wave"))
+    whole = joined_waves(spoken(chunks, key, "_no", "_piece", make), key, "_no", "wave", overlap_ms * rate // 1000)
     files = wav.encoded(whole.select(key, W.prepare(F.col("wave"), rate).alias("wave")), key, "wave", rate)
     return requests.select(key).join(files, key, "left")

@@ -60,6 +60,30 @@ def release(spark: SparkSession, *paths: str) -> None:
         _live.pop(path, None)
 
 
+def _status(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path) is not None
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    found = _status(spark, path)
+    return found is not None and found.isFile()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none where there is no such folder."""
+    if not exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(x.getPath().getName() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 @atexit.register
 def _release_all() -> None:
     for path, spark in list(_live.items()):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.operators.corpus import first_wins
+from utterlake.runtime import children, exists, materialize, numbered
+
 
 def save_new(df: DataFrame, path: str) -> None:
     """Parquet at path; an error where something stands there already."""
@@ -19,9 +24,36 @@ def save_manifest(df: DataFrame, path: str, sample_limit: int | None = None) ->
     return True
 
 
-def append_shard(df: DataFrame, path: str) -> None:
-    """One more set of shards beside those at path; Spark names them apart."""
-    df.write.mode("append").parquet(path)
+SHARD_ROWS = 4096
+
+
+def next_shard(spark: SparkSession, path: str) -> int:
+    """One above the highest shard number at path, 0 where there is none."""
+    found = [re.fullmatch(r"shard=(\d+)", name) for name in children(spark, path)]
+    return max((int(m[1]) + 1 for m in found if m), default=0)
+
+
+def append_shards(df: DataFrame, path: str, order: list[str], rows: int = SHARD_ROWS) -> int:
+    """Shards of that many rows, by ascending order, behind those at path, as folders shard=<number>. Returns the next number.
+
+    Rows get their places by a range sort, so many tasks write at once; a shard is written whole by one of them.
+    """
+    first = next_shard(df.sparkSession, path)
+    placed = numbered(df, [], order, "_at").withColumn("shard", (F.lit(first) + F.floor(F.col("_at") / rows)).cast("long")).drop("_at")
+    placed.repartition("shard").sortWithinPartitions("shard", *order).write.mode("append").partitionBy("shard").parquet(path)
+    return next_shard(df.sparkSession, path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All shards at path, with their number as the column shard."""
+    return spark.read.option("basePath", path).parquet(path).withColumn("shard", F.col("shard").cast("long"))
+
+
+def save_flat_cache(new: DataFrame, path: str, key: str) -> None:
+    """Rewrites the flat cache at path with the rows that it has and the new ones; of rows with one key the cached one stays."""
+    spark = new.sparkSession
+    old = [spark.read.parquet(path)] if exists(spark, path) else []
+    materialize(first_wins([*old, new], key), "flat").write.mode("overwrite").parquet(path)
 
 
 def save_corpus(df: DataFrame, text: str, path: str, files: int | None = None) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterlake.runtime import scratch_path
+from utterlake.runtime import exists, is_file, scratch_path
 
 
 def missing(manifest: DataFrame, cache: DataFrame, key: str) -> DataFrame:
@@ -15,18 +15,23 @@ def missing(manifest: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 
 def run_available(spark: SparkSession, source: str, work: Callable[[DataFrame], DataFrame], key: str, out: str | None = None, state: str | None = None) -> DataFrame:
-    """Stream the files at source through work into Parquet at out, each file once however often this is called with one state.
+    """Stream the files at source (a file, or a folder at any depth) through work into Parquet at out, each file once however often this is called with one state.
 
-    Keys already in out are skipped, so a batch that is repeated after a failure adds nothing.
+    Of rows with one key one is taken, and keys already in out are skipped: a batch that is repeated after a failure, the
+    first one too, adds nothing.
     """
     out, state = out or scratch_path(spark, "stream"), state or scratch_path(spark, "stream-state")
     schema = spark.read.option("recursiveFileLookup", True).parquet(source).schema
-    folder, name = source.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{name}*")
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    if is_file(spark, source):  # a stream reads folders: this one's, and of it that file alone
+        folder, name = source.rsplit("/", 1)
+        stream = reader.option("pathGlobFilter", name).option("recursiveFileLookup", False).parquet(folder)
+    else:
+        stream = reader.option("pathGlobFilter", "*.parquet").parquet(source)
 
     def append(batch: DataFrame, number: int) -> None:
-        done = work(batch)
-        if number:
+        done = work(batch).dropDuplicates([key])
+        if exists(spark, out):
             done = missing(done, spark.read.schema(done.schema).parquet(out), key)
         done.write.mode("append").parquet(out)
 
