@@ -1,12 +1,15 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from utterlake.functions import spoken
 from utterlake.functions import text as T
 from utterlake.functions import waves as W
 from utterlake.operators import corpus as C
+from utterlake.operators import scoring
 from utterlake.runtime import numbered
 
 
@@ -139,3 +142,102 @@ def test_script_and_blanks_match_plain_versions(spark):
     texts += ["".join(rng.choices("a  b\t\n\x0b\x1c\x1f\x85\xa0      　​᠎", k=rng.randint(0, 8))) for _ in range(600)]
     got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.script(F.col("x")).alias("lang"), T.clean(F.col("x")).alias("clean")).collect()
     assert [(r.lang, r.clean) for r in got] == [(plain(r.x), " ".join(r.x.split())) for r in got]
+
+
+def test_prompts_end_where_the_answer_begins(spark):
+    df = spark.createDataFrame([("hi", "G", "S")], "t string, g string, s string")
+    t, g, s = (F.col(c) for c in "tgs")
+    got = df.select(T.train_prompt(t), T.train_completion(g, s), T.inference_prompt(t, g)).first()
+    assert tuple(got) == (
+        "<|task_tts|><|start_content|>hi<|end_content|>", "<|start_global_token|>G<|end_global_token|><|start_semantic_token|>S<|end_semantic_token|><|im_end|>",
+        "<|task_tts|><|start_content|>hi<|end_content|><|start_global_token|>G<|end_global_token|><|start_semantic_token|>",
+    )
+
+
+def test_each_row_has_its_own_language(spark):
+    rows = [(1, "5% ₹2", "hi"), (2, "5% ₹2", "en"), (3, "नमस्ते दुनिया 5%", None), (4, "5% ₹2", None), (5, "5%", "kn"), (6, None, "hi")]
+    df = spark.createDataFrame(rows, "id int, t string, lang string")
+    got = {r.id: r.n for r in df.select("id", T.normalise(F.col("t"), F.col("lang")).alias("n")).collect()}
+    assert got == {1: "5 pratishat 2 rupaye", 2: "5 percent 2 rupees", 3: "नमस्ते दुनिया 5 pratishat", 4: "5 percent 2 rupees", 5: "5 percent", 6: None}
+    said = {r.id: r.n for r in df.select("id", spoken.processed(F.col("t"), F.col("lang"), {"en": spoken.english_number}).alias("n")).collect()}
+    assert said[2] == "five percent two rupees" and said[1] == got[1]
+    chunks = df.select("id", T.normalised_chunks(F.col("t"), None).alias("c")).where("id = 3").first().c
+    assert chunks == ["नमस्ते दुनिया 5 pratishat"]
+
+
+def test_words_in_another_script(spark):
+    assert [spoken.itrans(w, "hi") for w in ("namaste", "bhaarat", "kSha", "raam", "auShadh")] == ["नमस्ते", "भारत्", "क्ष", "राम्", "औषध्"]
+    assert spoken.itrans("namaste", "kn") == "ನಮಸ್ತೇ" and spoken.itrans("bhaasha", "bn") == "ভাশ"
+    df = spark.createDataFrame([("ek namaste 7 A", "kn"), ("namaste", None)], "t string, lang string")
+    assert [r[0] for r in df.select(spoken.processed(F.col("t"), F.col("lang"), mapper=spoken.itrans)).collect()] == ["ಏಕ್ ನಮಸ್ತೇ 7 A", "नमस्ते"]
+
+
+def test_chunks_of_very_many_sentences(spark):
+    """Against a plain fold, over block edges; time grows about in proportion."""
+    def plain(parts):
+        done, cur, n = [], [], 0
+        for x in parts:
+            if cur and n + len(x) > 360:
+                done, cur, n = [*done, " ".join(cur)], [], 0
+            cur, n = [*cur, x], n + len(x)
+        return done + [" ".join(cur)] * bool(cur)
+
+    rng = random.Random(3)
+    for n in (0, 1, 255, 256, 257, 1000):
+        parts = ["w" * rng.choice((1, 20, 200, 361)) + "." for _ in range(n)]
+        assert one(spark, " ".join(parts), T.chunked) == plain(parts), n
+    began = time.time()
+    assert spark.createDataFrame([("Ein Satz von mir. " * 160_000,)], "t string").select(F.size(T.chunked(F.col("t")))).first()[0] > 7000
+    assert time.time() - began < 40
+    assert one(spark, None, T.chunked) is None
+
+
+def test_both_caps_count_before_either(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["en", "en", "en", "de", "hi", "kn", None])) for i in range(400)]
+    for k, share in ((60, 0.4), (None, 0.2), (10, 0.9), (50, 0.0)):
+        order = sorted(rows, key=lambda r: (hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0]))
+        others = sum(lang not in ("en", "de") for _, lang in rows)
+        most = int(share / (1 - share) * others) if 0 < share < 1 else None
+        kept, per, base = [], {}, 0
+        for i, lang in order:
+            if k is not None and per.get(lang, 0) >= k or (most is not None and lang in ("en", "de") and base >= most):
+                continue
+            base += lang in ("en", "de")
+            per[lang] = per.get(lang, 0) + 1
+            kept.append(i)
+        got = C.balanced_capped(spark.createDataFrame(rows, "doc_id long, lang string"), ["en", "de"], share, k)
+        assert sorted(r.doc_id for r in got.collect()) == sorted(kept), (k, share)
+
+
+def test_rows_that_fail_are_told_and_counted(spark):
+    none, some = [], [1, 2]
+    rows = [(1, "a", some, some), (2, " ", some, some), (3, "a", none, some), (4, "a", some, None), (5, "a", [0] * 20, some), (6, None, some, some)]
+    df = spark.createDataFrame(rows, "vec_id int, text string, global_ids array<int>, semantic_ids array<int>")
+    prompt = F.array(F.lit(7))
+    good, bad, seen = C.tolerant(df, C.refused(prompt, 20))
+    assert [r.vec_id for r in good.collect()] == [1] and seen.get == {"rows": 6, "errors": 5}
+    assert {r.vec_id: r.reason for r in bad.collect()} == {2: "empty_text", 3: "no_global_ids", 4: "no_semantic_ids", 5: "no_room", 6: "empty_text"}
+    assert [r.vec_id for r in C.training_rows(df.where("text = 'a'"), prompt, 20).collect()] == [1]
+
+
+def test_shorter_chunks_than_the_overlap_join_like_rows(spark):
+    rng = random.Random(7)
+    rows = [(g, i, [rng.uniform(-1, 1) for _ in range(rng.choice((0, 1, 2, 3, 9, 30)))]) for g in range(12) for i in range(5)]
+    df = spark.createDataFrame(rows, "g int, i int, w array<double>")
+    want = {}
+    for r in C.crossfaded(df, "g", "i", "w", 4).collect():
+        want.setdefault(r.g, {})[r.pos] = r.sample
+    got = {r.g: r.w for r in scoring.joined_waves(df, "g", "i", "w", 4).collect()}
+    assert got.keys() == want.keys()
+    for g, w in got.items():
+        assert w == pytest.approx([want[g].get(p, 0.0) for p in range(len(w))]) and max(want[g]) == len(w) - 1
+
+
+def test_move_plan_and_orphans(spark):
+    inner, spicor = "hi/IISc_SYSPIN_Data/IISc_SYSPIN_Data", "hi/IISc_SPICOR_Data/IISc_SPICOR_Data"
+    dirs = [f"root/{x}" for x in (f"{inner}/IISc_SYSPINProject_a", f"{inner}/other", "hi/IISc_SYSPIN_Data/IISc_SYSPINProject_a", f"{spicor}/IISc_SPICORProject_b", "HINDI/IISc_SPICOR_Data/IISc_SPICOR_Data/IISc_SPICORProject_c")]
+    got = {(r.src, r.dst, r.kind, r.action) for r in C.move_plan(spark.createDataFrame([(x,) for x in dirs], "path string")).collect()}
+    assert got == {(dirs[0], dirs[2], "syspin", "skip_exists"), (dirs[3], "root/hi/IISc_SYSPIN_Data/IISc_SYSPINProject_SPICOR_b", "spicor", "move")}
+    wavs, texts = (spark.createDataFrame(x, "s string, k string") for x in ([("a", "1"), ("a", "2"), ("b", "1")], [("a", "2"), ("a", "3"), ("a", "4"), ("c", "9")]))
+    assert {tuple(map(str, r)) for r in C.orphans(wavs, texts, "s", "k").collect()} == {("a", "2", "1", "['3', '4']", "['1']"), ("b", "0", "1", "[]", "['1']"), ("c", "1", "0", "['9']", "[]")}

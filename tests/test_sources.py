@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from utterlake import api
 from utterlake.functions import spoken
 from utterlake.operators import scoring
 from utterlake.sources import sinks, transcripts, wav
@@ -65,14 +66,41 @@ def test_transcripts(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df, at = spark.createDataFrame([("b",), ("a",), ("é",)], "t string"), f"file://{tmp_path}/"
     assert not sinks.save_manifest(df, at + "m", 5) and not (tmp_path / "m").exists() and sinks.save_manifest(df, at + "m")
-    sinks.append_shard(df, at + "m")
-    assert spark.read.parquet(at + "m").count() == 6
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.save_new(df, at + "m")
     sinks.save_corpus(df, "t", at + "c", 1)
     assert next((tmp_path / "c").glob("part-*")).read_text() == "a\nb\né\n"
 
 
+def test_shards_and_flat_cache(spark, tmp_path):
+    at = f"file://{tmp_path}/shards"
+    assert sinks.next_shard(spark, at) == 0
+    assert sinks.append_shards(spark.range(10), at, ["id"], 4) == 3 and sinks.append_shards(spark.range(20, 25), at, ["id"], 4) == 5
+    (tmp_path / "shards" / "shard=000011").mkdir()
+    assert sinks.next_shard(spark, at) == 12
+    got = {}
+    for r in sinks.read_shards(spark, at).collect():
+        got.setdefault(r.shard, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9], 3: [20, 21, 22, 23], 4: [24]}
+    flat = f"file://{tmp_path}/flat"
+    for rows in ([("a", 1), ("b", 2)], [("b", 9), ("c", 3)]):
+        sinks.save_flat_cache(spark.createDataFrame(rows, "k string, v int"), flat, "k")
+    assert {(r.k, r.v) for r in spark.read.parquet(flat).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def test_train_and_clone(spark, tmp_path):
+    files = wav.encoded(spark.createDataFrame([("a", [0.25] * 40), ("b", [0.5] * 40)], "audio_path string, w array<double>"), "audio_path", "w", 16000).union(spark.createDataFrame([("bad", b"RIFF")], "audio_path string, content binary"))
+    manifest = spark.createDataFrame([("a", "one"), ("b", "two"), ("bad", "three"), ("gone", "four")], "audio_path string, text string")
+    got = {r.audio_path: r for r in api.train(manifest, files).collect()}
+    assert got["a"].prompt == "<|task_tts|><|start_content|>one<|end_content|>" and got["a"].completion.startswith("<|start_global_token|><|bicodec_global_25") and got["a"].error is None
+    assert got["bad"].completion is None and got["bad"].error and got["gone"].error == "no file"
+    assert {r.audio_path for r in api.train(manifest, files, cache=manifest.where("audio_path = 'a'"), limit=2).collect()} == {"b"}
+    asked = spark.createDataFrame([(1, "a", "hello  you"), (2, "bad", "x")], "id int, voice string, text string")
+    prompts = {r.id: r.prompt for r in api.clone(asked, files.withColumnRenamed("audio_path", "voice"), "id", "voice").collect()}
+    assert prompts[2] is None and prompts[1].startswith("<|task_tts|><|start_content|>hello you<|end_content|><|start_global_token|><|bicodec_global_") and prompts[1].endswith("<|start_semantic_token|>")
+    assert api.infer(spark.createDataFrame([(1, "hi")], "id int, text string"), "id").first().content[:4] == b"RIFF"
+
+
 @pytest.mark.parametrize(("number", "words"), [
     ("0", "zero"), ("-7", "minus seven"), ("19", "nineteen"), ("100", "one hundred"), ("999", "nine hundred ninety nine"), ("1000", "one thousand"), ("20030", "twenty thousand thirty"),
     ("1000000001", "one billion one"), ("3.05", "three point zero five"), ("007", "seven"), ("1" * 16, "1" * 16), ("५", "५"),

@@ -101,6 +101,10 @@ def transliterated(text: Column, lang: str | Column, mapper: Callable[[str, str]
     return run(text, F.lit(lang) if isinstance(lang, str) else lang)
 
 
+def _said(words: Callable[[Column], Column], where: Column | None) -> Callable[[Column], Column]:
+    return lambda t: verbalised(t, words) if where is None else F.when(where, verbalised(t, words)).otherwise(t)
+
+
 def processed(text: Column, lang: str | Column | None = "en", words: dict[str, Callable[[Column], Column]] | Callable[[Column], Column] | None = None, mapper: Callable[[str, str], str] | None = None) -> Column:
     """Normalised text, then numbers and words by the plug-ins, then cleaning.
 
@@ -110,6 +114,5 @@ def processed(text: Column, lang: str | Column | None = "en", words: dict[str, C
     own = F.lit(lang) if isinstance(lang, str) else script(text) if lang is None else F.coalesce(lang, script(text))
     out = normalise(text, lang)
     for x, say in (words if isinstance(words, dict) else {None: words} if words else {}).items():
-        said = lambda t, say=say: verbalised(t, say)
-        out = let(out, said) if x is None else let(out, lambda t, x=x, said=said: F.when(own == x, said(t)).otherwise(t))
+        out = let(out, _said(say, None if x is None else own == x))
     return clean(transliterated(out, own, mapper)) if mapper else clean(out)
