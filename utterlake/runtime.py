@@ -7,12 +7,14 @@ import os
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parent.parent)
 _live: dict[str, SparkSession] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +103,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Free what materialize wrote for these, as a loop does with the tables of its former round. They must not be read again."""
+    for table_ in tables:
+        if path := _paths.pop(table_, None):
+            release(table_.sparkSession, path)
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name: str) -> DataFrame:
