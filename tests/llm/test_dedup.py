@@ -147,3 +147,26 @@ def test_wide_groups_are_chosen_where_fingerprints_are_many():
         return costs.mean()
 
     assert [min((2, 3, 4), key=lambda p: cost(p, n)) for n in (1_000, 1_000_000, 10**9)] == [4, 3, 2]
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_the_rows_that_stay_are_those_of_the_groups(spark, tasks):
+    """One hot text over many partitions, runs at their edges, repeated rows, nulls and columns of the operator's own names."""
+    rng = random.Random(8)
+    texts = ["Hot text here", "hot TEXT here", None, "", "b", "B", *(f"text {i % 40}" for i in range(200))]
+    rows = [(rng.choice([None, *range(300)]), rng.choice(texts[:2]) if rng.random() < 0.4 else rng.choice(texts), i) for i in range(900)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, n int").withColumns({c: F.lit("clash") for c in ("_digest", "_edge", "_stays", "edge", "norm", "chain")})
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        kept = exact_dedup.drop_exact_copies(docs).collect()
+        told = exact_dedup.exact_groups(docs).where("kept").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    name = lambda r: (r.doc_id, (r.text or "").translate(LOWER))
+    best = {}
+    for d, t, _ in rows:
+        key = (t or "").translate(LOWER)
+        best[key] = max(best.get(key, -1), -1 if d is None else d)
+    assert sorted((t, -1 if d is None else d) for d, t in map(name, kept)) == sorted(best.items()) and len(told) == len(best)
+    assert kept[0].asDict().keys() == set(docs.columns)
+    assert exact_dedup.drop_exact_copies(none(spark)).collect() == []

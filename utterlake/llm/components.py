@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterlake.runtime import materialize
+from utterlake.runtime import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,20 +18,23 @@ def components(edges: DataFrame) -> DataFrame:
     left, labels = materialize(_ordered(edges, "a", "b"), "edges"), None
     while True:
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
-        root = materialize(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "roots")
+        held = root = materialize(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "roots")
         while True:
             above = root.select(F.col("node").alias("at"), F.col("root").alias("top"))
             step = materialize(root.join(above, F.col("root") == F.col("at")).select("node", F.col("root").alias("old"), F.col("top").alias("root")), "roots")
-            root = step.select("node", "root")
+            discard(held)
+            held, root = step, step.select("node", "root")
             if step.where("root <> old").isEmpty():
                 break
         if labels is None:
-            labels = root.select("node", F.col("root").alias("component"))
+            labels = materialize(root.select("node", F.col("root").alias("component")), "labels")
         else:
             newer = root.select(F.col("node").alias("at"), "root")
-            labels = materialize(labels.join(newer, F.col("component") == F.col("at"), "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            older, labels = labels, materialize(labels.join(newer, F.col("component") == F.col("at"), "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            discard(older)
         a, b = (root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
-        left = materialize(_ordered(left.join(a, "a").join(b, "b"), "root_a", "root_b"), "edges")
+        edges_before, left = left, materialize(_ordered(left.join(a, "a").join(b, "b"), "root_a", "root_b"), "edges")
+        discard(held, edges_before)
         if left.isEmpty():
             return labels
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from utterlake.runtime import materialize, table
+from utterlake.runtime import discard, materialize, table
 
 ROUNDS = 8
 #: Draws in a format before it grows by a sign.
@@ -360,10 +360,12 @@ def attempts(entities: DataFrame, key: bytes, level: int = 0) -> DataFrame:
         ranked = drawn.withColumn("_as", _together("kind")).withColumn("_turn", F.row_number().over(Window.partitionBy("_as", "new").orderBy("attempt", "entity", "kind")))
         judged = ranked.join(taken, ["_as", "new"], "left").select("kind", "entity", "attempt", "new", ((F.col("real").isNotNull() | (F.col("_turn") > 1)) & ~((F.col("kind") == "ip") & (F.col("attempt") >= 8 * TIGHT))).alias("bad"))
         judged = materialize(judged, "judged")
+        discard(drawn)
         if judged.where("bad").isEmpty():
             return judged.where("attempt > 0").select("kind", "entity", "attempt")
         again = judged.where("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).repartition(tasks).mapInArrow(draw, schema)
         drawn = materialize(judged.where("NOT bad").select("kind", "entity", "attempt", "new").union(again), "surrogates")
+        discard(judged)
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
