@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 
+from tests.llm.cases import none
 from tests.llm.test_dedup import near_rows, plain_components, plain_exact
 from tests.llm.test_plain_versions import plain_rake
 from utterlake.llm import mixing, quality
@@ -59,3 +60,13 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     library.no_padding()
     want = {d: hashlib.sha256(np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for d, (t, *_) in kept.items()}
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, at).collect()} == want
+
+
+def test_stages_and_run_take_empty_tables(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    none(spark).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    assert corpus_pipeline.run(spark, at).collect() == []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, none(spark), at)
+        assert got.collect() == [] and got.columns == none(spark).columns
