@@ -78,6 +78,18 @@ def test_round_trip(spark, library):
     assert len(tf._filesystem(folder)[0].open_input_stream(tf._filesystem(folder)[1] + "/dictionary.zstd").read()) > 100
 
 
+def test_files_of_other_attempts_do_not_count(spark, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    files = tf.write_token_files(docs, folder)
+    before = sorted(map(tuple, tf.read_token_files(spark, folder).collect()))
+    first = tmp_path / "ids" / files[0][0]
+    first.with_name("part-000000-999999.ids").write_bytes(first.read_bytes())
+    first.with_name("part-000001-999999.ids.part").write_bytes(b"half")
+    assert tf.listed_files(folder) == files and sum(n for _, n, _ in files) == 40
+    assert sorted(map(tuple, tf.read_token_files(spark, folder).collect())) == before and len(before) == 40
+
+
 def test_odd_rows(spark):
     got = tf.token_file_round_trip(spark, odd(spark)).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((r[0] for r in ODD), key=lambda x: -1 if x is None else x)

@@ -2,7 +2,8 @@
 
 A file: MAGIC, SHA-256 of the dictionary, bytes of an id; the documents' zstandard frames; the index, one row a
 document (doc_id, offset, bytes, ids); its offset, number of rows and CRC-32, and MAGIC again. The dictionary stands beside
-the files. A reader finds a document by its index row and decompresses that frame only.
+the files. A reader finds a document by its index row and decompresses that frame only. Every attempt of a task writes a file
+of its own name; LISTED, written last, names those that count, so a task that is run again, or twice, harms nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from utterlake.llm.bpe import byte_letters
 from utterlake.runtime import scratch_path, table
 
-MAGIC, LEVEL, END_ID = b"UTLKIDS1", 3, 2
+MAGIC, LEVEL, END_ID, LISTED = b"UTLKIDS1", 3, 2, "files.json"
 #: The dictionary is trained on about this many documents, picked by a hash of id and text over all rows; of each at most
 #: SAMPLE_BLOCKS blocks of its ids, from places spread over the whole document.
 DICTIONARY_DOCS, DICTIONARY_BYTES, SAMPLE_BLOCKS, BLOCK_BYTES = 1500, 64 << 10, 8, 8 << 10
@@ -135,11 +136,11 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class Writer:
-    """Writes one file. It takes its name when it is complete, so a task that is run again leaves no half file."""
+    """Writes one file. It takes its name when it is complete, so no half file has it."""
 
-    def __init__(self, uri: str, dictionary: bytes, width: int, attempt: int = 0):
+    def __init__(self, uri: str, dictionary: bytes, width: int):
         self.fs, self.path = _filesystem(uri)
-        self.part, self.width, self.rows = f"{self.path}.{attempt}", width, []
+        self.part, self.width, self.rows = f"{self.path}.part", width, []
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_options(dictionary))
         self.out = self.fs.open_output_stream(self.part)
         self.at = self.out.write(MAGIC + hashlib.sha256(dictionary).digest() + bytes([width]))
@@ -182,10 +183,11 @@ class Reader:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> list[tuple[str, int, int]]:
-    """Encode every whole text, append end_id, and write files in ascending doc_id order, the dictionary first.
+    """Encode every whole text, append end_id, and write files in ascending doc_id order, the dictionary first, the list of files last.
 
-    Returns (file, documents, ids) in that order: one row a file, not a document. Null texts are empty and null ids come
-    first; rows with one doc_id are ordered by their text. Other columns are ignored; an empty table writes no file.
+    Returns (file, documents, ids) in that order, as LISTED holds them: one row a file, not a document. Null texts are empty
+    and null ids come first; rows with one doc_id are ordered by their text. Other columns are ignored; an empty table
+    writes no file of ids.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     width = 2 if max(byte_bpe(tokenizer).size - 1, end_id) < 1 << 16 else 4
@@ -201,8 +203,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for b in batches:
             for doc_id, own in zip(b.column("doc_id").to_pylist(), byte_bpe(tokenizer).encode(b.column("text").to_pylist()), strict=True):
                 if out is None:
-                    name = f"part-{task.partitionId():06d}.ids"
-                    out = Writer(f"{folder}/{name}", dictionary, width, task.taskAttemptId())
+                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
+                    out = Writer(f"{folder}/{name}", dictionary, width)
                 out.add(doc_id, own + end_id.to_bytes(4, "little"))
                 ids += len(own) // 4 + 1
         if out is not None:
@@ -210,16 +212,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             yield pa.RecordBatch.from_pylist([{"name": name, "docs": len(out.rows), "ids": ids}])
 
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return sorted((r.name, r.docs, r.ids) for r in dealt.mapInArrow(write, "name string, docs long, ids long").collect())
+    files = sorted((r.name, r.docs, r.ids) for r in dealt.mapInArrow(write, "name string, docs long, ids long").collect())
+    with fs.open_output_stream(f"{path}/{LISTED}") as f:
+        f.write(json.dumps(files).encode())
+    return files
 
 
-def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for every document in the files; start counts the ids of all documents before it."""
+def listed_files(folder: str) -> list[tuple[str, int, int]]:
+    """(file, documents, ids) of the files that count, in their order."""
+    fs, path = _filesystem(folder)
+    with fs.open_input_stream(f"{path}/{LISTED}") as f:
+        return [tuple(x) for x in json.loads(f.read())]
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) for every document in the listed files; start counts the ids of all documents before it."""
     fs, path = _filesystem(folder)
     with fs.open_input_stream(f"{path}/dictionary.zstd") as f:
         dictionary = f.read()
     parts, before = [], 0
-    for name, _, ids in files:
+    for name, _, ids in listed_files(folder):
         parts.append((name, before))
         before += ids
 
@@ -242,7 +254,8 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
 
 def token_file_round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "token-ids")
-    return read_token_files(spark, folder, write_token_files(docs, folder))
+    write_token_files(docs, folder)
+    return read_token_files(spark, folder)
 
 
 QUERIES = {"op9_token_files": lambda spark, sf_dir: token_file_round_trip(spark, table(spark, sf_dir, "documents"))}
