@@ -103,11 +103,14 @@ def test_places_in_groups_over_many_tasks(spark):
     assert numbered(rows.limit(0), ["g"], ["id"], "at").collect() == []
 
 
-def test_token_ids_keep_their_order(spark):
+@pytest.mark.parametrize("shipped", [C.SHIPPED_PIECES, 1])
+def test_token_ids_keep_their_order(spark, monkeypatch, shipped):
+    monkeypatch.setattr(C, "SHIPPED_PIECES", shipped)
     vocabulary = spark.createDataFrame([("a", 0), ("b", 1)], "piece string, id long")
-    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (1, ["b", "a", "b"]), (2, ["a", "z", "z"]), (3, []), (4, None)], "k int, t array<string>")
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (1, ["b", "a", "b"]), (2, ["a", "z", "z"]), (3, []), (4, None), (5, ["y", None, "a", "x"]), (6, [None, "b"])], "k int, t array<string>")
     got = sorted((r.k, r.ids, r.unknown) for r in C.token_ids(rows, "t", vocabulary).collect())
-    assert got == [(1, [1, 0, 1], []), (1, [1, 0, 1], []), (2, None, ["z"]), (3, [], []), (4, [], [])]
+    assert got == [(1, [1, 0, 1], []), (1, [1, 0, 1], []), (2, None, ["z"]), (3, [], []), (4, [], []), (5, None, ["x", "y"]), (6, [None, 1], [])]
+    assert C.token_ids(rows.limit(0), "t", vocabulary).collect() == [] and C.token_ids(rows.where("k = 1"), "t", vocabulary.limit(0)).first().ids is None
 
 
 def test_where_to_resume(spark):

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from utterlake.functions import text as T
 from utterlake.runtime import materialize, numbered
 
 LEAST_SECONDS, MOST_SECONDS = 0.05, 30.0
+#: A vocabulary of up to so many pieces and bytes goes to the workers; a larger one is joined.
+SHIPPED_PIECES, SHIPPED_BYTES = 250_000, 32 << 20
 START_GLOBAL, END_GLOBAL, START_SEMANTIC, END_SEMANTIC, IM_END = 900001, 900002, 900003, 900004, 900005
 
 
@@ -220,10 +227,39 @@ def new_embeddings(old: DataFrame, vector: str, n: int, seed: str, noise: float
 def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """rows with ids, those of its array of tokens in their order by vocabulary(piece, id), and unknown, the tokens without one.
 
-    A row with an unknown token has null ids, so a caller can count and skip it. Rows are numbered, so equal rows stay apart.
+    A row with an unknown token has null ids, so a caller can count and skip it. A null token's id is null, and it is not
+    among the unknown. vocabulary: one row a piece; its size decides whether tokens are looked up where they are or joined.
     """
+    known = vocabulary.where("piece IS NOT NULL").select("piece", "id")
+    few = known.limit(SHIPPED_PIECES + 1).toArrow()
+    return _ids_looked_up(rows, tokens, known, few) if few.num_rows <= SHIPPED_PIECES and few.nbytes <= SHIPPED_BYTES else _ids_joined(rows, tokens, known)
+
+
+def _ids_looked_up(rows: DataFrame, tokens: str, vocabulary: DataFrame, known: pa.Table) -> DataFrame:
+    """token_ids without a shuffle."""
+    pieces, numbers = known["piece"].combine_chunks(), known["id"].combine_chunks()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(tokens)
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=pieces.cast(flat.type))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            unknown: list[set[str]] = [set() for _ in range(b.num_rows)]
+            missing = np.flatnonzero(pc.and_(pc.is_null(at), pc.is_valid(flat)).to_numpy(zero_copy_only=False))
+            for row, piece in zip(np.repeat(np.arange(b.num_rows), sizes)[missing].tolist(), flat.take(pa.array(missing)).to_pylist(), strict=True):
+                unknown[row].add(piece)
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            ids = pa.ListArray.from_arrays(ends, numbers.take(at), mask=pa.array([bool(x) for x in unknown], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sorted(x) for x in unknown], pa.list_(pa.string())), ids], names=[*b.schema.names, "unknown", "ids"])
+
+    return rows.mapInArrow(look_up, StructType([*rows.schema.fields, StructField("unknown", ArrayType(StringType())), StructField("ids", ArrayType(vocabulary.schema["id"].dataType))]))
+
+
+def _ids_joined(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
+    """token_ids by a join of each token. Rows are numbered, so equal rows stay apart."""
     given = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
-    each = given.select("_row", F.posexplode(tokens).alias("_at", "piece")).join(vocabulary.select("piece", "id"), "piece", "left")
+    each = given.select("_row", F.posexplode(tokens).alias("_at", "piece")).join(vocabulary, "piece", "left")
     found = each.groupBy("_row").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("_ids"),
         F.array_sort(F.collect_set(F.when(F.col("id").isNull(), F.col("piece")))).alias("_unknown"),
