@@ -10,6 +10,7 @@ from utterlake.functions import text as T
 from utterlake.functions import waves as W
 from utterlake.operators import corpus as C
 from utterlake.operators import scoring
+from utterlake import runtime
 from utterlake.runtime import numbered
 
 
@@ -103,6 +104,27 @@ def test_places_in_groups_over_many_tasks(spark):
     assert numbered(rows.limit(0), ["g"], ["id"], "at").collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 255])
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 40])
+def test_ranges_hold_what_lies_between_their_cuts(spark, monkeypatch, most, n):
+    monkeypatch.setattr(runtime, "TREE_CUTS", most)
+    cuts = sorted(random.Random(n).sample(range(-50, 50), n))
+    keys = [None, *range(-55, 55)]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", runtime.bucket_of(F.col("k"), cuts).alias("b")).collect()
+    assert {r.k: r.b for r in got} == {k: 0 if k is None else sum(c < k for c in cuts) for k in keys}
+
+
+def test_large_files_are_sorted_in_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) AS text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).where("id >= 0")
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert runtime.tasks_for(df) == session and runtime.tasks_for(spark.createDataFrame([(1,)], "x long")) == session
+    monkeypatch.setattr(runtime, "TASK_BYTES", 10_000)
+    assert runtime.tasks_for(df) > 50
+    dealt = runtime.dealt_by_range(df, "id")
+    assert dealt.rdd.getNumPartitions() == runtime.tasks_for(df) and dealt.count() == 20_000
+
+
 @pytest.mark.parametrize("shipped", [C.SHIPPED_PIECES, 1])
 def test_token_ids_keep_their_order(spark, monkeypatch, shipped):
     monkeypatch.setattr(C, "SHIPPED_PIECES", shipped)

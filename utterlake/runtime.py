@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of input files for a task of a sort, and cuts up to which bucket_of is one expression in generated code.
+TASK_BYTES, TREE_CUTS = 1 << 30, 255
 _live: dict[str, SparkSession] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -115,6 +117,24 @@ def discard(*tables: DataFrame) -> None:
             release(table_.sparkSession, path)
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks with about TASK_BYTES of the files that df reads, but not fewer than the session's shuffle partitions.
+
+    Plans tell the size of files without reading them. Tables that have none (rows from the driver) count as empty.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(s for s in sizes if s < unknown) // TASK_BYTES)
+
+
+def dealt_by_range(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """df range-partitioned by keys: over the session's shuffle partitions, which AQE may merge, or over more where df is too large for them."""
+    n = tasks_for(df)
+    return df.repartitionByRange(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartitionByRange(*keys)
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name: str) -> DataFrame:
     """df with each row's 0-based place within its group, by ascending values of order; nulls form a group.
 
@@ -124,7 +144,7 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name:
     """
     keys = {f"_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
     by = [*groups, *keys] or [F.lit(0)]
-    dealt = df.withColumns(keys).repartitionByRange(*by).sortWithinPartitions(*by).drop(*keys)
+    dealt = dealt_by_range(df.withColumns(keys), *by).sortWithinPartitions(*by).drop(*keys)
     rows = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
     own = rows.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -149,10 +169,24 @@ def splitters(df: DataFrame, key: str, n: int) -> list:
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
-    """0-based number of the range (cuts[i-1], cuts[i]] that holds key, by a balanced tree of comparisons; nulls go to 0."""
+    """0-based number of the range (cuts[i-1], cuts[i]] that holds key; nulls go to 0.
+
+    A balanced tree of comparisons, or, where the tree would be too large to compile, a binary search in an array.
+    """
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(key > F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-    return tree(0, len(cuts))
+
+    if len(cuts) <= TREE_CUTS:
+        return tree(0, len(cuts))
+    values = F.array(*map(F.lit, cuts))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        above = (s["lo"] < s["hi"]) & F.coalesce(key > F.get(values, mid), F.lit(False))
+        return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), whole, halved, lambda s: s["lo"])
