@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,21 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text or "") if s.strip()]
 
 
+class Kept(dict):
+    """What of(word) gives, kept for words seen; trim() forgets all where they are too many."""
+
+    def __init__(self, of: Callable[[str], object]):
+        self.of = of
+
+    def __missing__(self, word: str) -> object:
+        got = self[word] = self.of(word)
+        return got
+
+    def trim(self) -> None:
+        if len(self) > KEPT:
+            self.clear()
+
+
 def features(word: str) -> list[str]:
     """A word in lower case and its beginnings of 3 to 9 letters."""
     return ["=" + word, *(word[:k] for k in range(3, min(9, len(word)) + 1))]
@@ -38,12 +54,12 @@ def features(word: str) -> list[str]:
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    kept = Kept(features)
     for b in batches:
         for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-            own: set[str] = {""}
-            for word in set(_WORD.findall((text.as_py() or "").lower())):
-                own.update(features(word))
-            found[toxic].update(own)
+            words = set(_WORD.findall((text.as_py() or "").lower()))
+            found[toxic].update({""}.union(*map(kept.__getitem__, words)))
+            kept.trim()
     for toxic, counts in found.items():
         items = list(counts.items())
         for at in range(0, len(items), 1 << 15):
@@ -69,47 +85,40 @@ class Model:
     """Weights of the chosen features, and the bias of a sentence."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.words = weights, bias, {}
-
-    def _word(self, word: str) -> float:
-        if (got := self.words.get(word)) is None:
-            if len(self.words) > KEPT:
-                self.words.clear()
-            got = self.words[word] = sum(self.weights.get(f, 0.0) for f in features(word))
-        return got
+        self.weights, self.bias = weights, bias
+        self.words = Kept(lambda word: sum(weights.get(f, 0.0) for f in features(word)))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """The document's score, and (number, score) of its offending sentences."""
-        total, offending = 0.0, []
+        total, offending, word = 0.0, [], self.words.__getitem__
         for i, sentence in enumerate(sentences((text or "").lower())):
-            z = self.bias + sum(map(self._word, _WORD.findall(sentence)))
-            total += float(np.logaddexp(0.0, z)) if z > -30 else 0.0
+            z = self.bias + sum(map(word, _WORD.findall(sentence)))
+            total += max(z, 0.0) + log1p(exp(-abs(z))) if z > -30 else 0.0
             if z > -0.85:  # a score of 0.3
-                offending.append((i, 1 / (1 + float(np.exp(-z)))))
-        return 1 - float(np.exp(-total)), offending
+                offending.append((i, 1 / (1 + exp(-z))))
+        self.words.trim()
+        return 1 - exp(-total), offending
 
 
 class Bags:
-    """Documents as bags of sentences in flat arrays: (toxic, weight, sentences, [(sentence, feature number, times)])."""
+    """Documents as bags of sentences in flat arrays: (toxic, weight, sentences, rows of (sentence, feature number, times))."""
 
-    def __init__(self, docs: list[tuple[int, float, int, list[tuple[int, int, int]]]], width: int):
+    def __init__(self, docs: list[tuple[int, float, int, np.ndarray | list]], width: int):
         self.width, self.size = width, len(docs)
         self.toxic = np.array([d[0] for d in docs], float)
         weight = np.array([d[1] for d in docs], float)
         self.weight = weight / max(weight.sum(), 1e-9)
         self.bare = np.array([d[2] for d in docs], float)  # sentences without any feature
-        doc_of, sent_of, feat_of, times = [], [], [], []
+        doc_of, sent_of, flat, at = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, 3), np.int32)], 0
         for i, (_, _, _, hits) in enumerate(docs):
-            names: dict[int, int] = {}
-            for s, f, n in hits:
-                if s not in names:
-                    names[s] = len(doc_of)
-                    doc_of.append(i)
-                sent_of.append(names[s])
-                feat_of.append(f)
-                times.append(n)
+            flat.append(np.asarray(hits, np.int32).reshape(-1, 3))
+            names, own = np.unique(flat[-1][:, 0], return_inverse=True)
+            doc_of.append(np.full(len(names), i))
+            sent_of.append(own + at)
+            at += len(names)
             self.bare[i] -= len(names)
-        self.doc_of, self.sent_of, self.feat_of, self.times = np.array(doc_of, int), np.array(sent_of, int), np.array(feat_of, int), np.array(times, float)
+        hits = np.concatenate(flat)
+        self.doc_of, self.sent_of, self.feat_of, self.times = np.concatenate(doc_of), np.concatenate(sent_of), hits[:, 1], hits[:, 2].astype(float)
 
     def gradient(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         """The weighted log-likelihood of the labels under the noisy-or, and its gradient. The bias is w's last value."""
@@ -123,7 +132,7 @@ class Bags:
         return value, np.append(np.bincount(self.feat_of, by_sentence[self.sent_of] * self.times, self.width), by_sentence.sum() + (pull * self.bare).sum() * base)
 
 
-def fit(docs: list[tuple[int, float, int, list[tuple[int, int, int]]]], chosen: list[str]) -> Model:
+def fit(docs: list[tuple[int, float, int, np.ndarray | list]], chosen: list[str]) -> Model:
     """Adam on the noisy-or likelihood of Bags, with a ridge on the weights."""
     bags = Bags(docs, len(chosen))
     w = np.zeros(len(chosen) + 1)  # the bias is last
@@ -145,18 +154,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         share = (sizes[1] + 1e-3) / (sizes[0] + sizes[1] + 1.0)
         return Model({}, float(np.log(share / (1 - share))))
     picked = bounded(marked.where("toxic = 1"), TRAIN_TOXIC).union(bounded(marked.where("toxic = 0"), TRAIN_OTHER))
-    sample = materialize(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "labelled")  # ids: 4 * TRAIN rows at most
+    tasks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")  # ids: 4 * TRAIN rows at most
+    sample = materialize(found.repartition(tasks), "labelled")
     chosen = choose_features(sample)
     number = {f: i for i, f in enumerate(chosen)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Kept(lambda word: tuple(number[f] for f in features(word) if f in number))
         for b in batches:
             counts, hits = [], []
             for text in b.column("text"):
                 own = sentences((text.as_py() or "").lower())
                 counts.append(len(own))
-                summed = Counter((i, number[f]) for i, s in enumerate(own) for word in _WORD.findall(s) for f in features(word) if f in number)
+                summed = Counter((i, f) for i, s in enumerate(own) for fs in map(numbers.__getitem__, _WORD.findall(s)) for f in fs)
                 hits.append([x for (i, f), n in summed.items() for x in (i, f, n)])
+                numbers.trim()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(counts, pa.int32()), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "toxic", "sentences", "hits"])
 
     found = materialize(sample.mapInArrow(bags, "doc_id long, toxic int, sentences int, hits array<int>"), "bags")
@@ -164,10 +177,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = min(1.0, 3 * TRAIN_HITS / max(total, 1))
     if share < 1:
         found = found.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = found.limit(4 * (TRAIN_TOXIC + TRAIN_OTHER)).toArrow()
-    rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "toxic", "sentences", "hits")), strict=True))
+    got = found.limit(4 * (TRAIN_TOXIC + TRAIN_OTHER)).toArrow().combine_chunks()
+    lists = pa.concat_arrays(got["hits"].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    rows = [(*r, flat[a:b].reshape(-1, 3)) for *r, a, b in zip(*(got[c].to_pylist() for c in ("doc_id", "toxic", "sentences")), ends[:-1], ends[1:], strict=True)]
+    rows.sort(key=lambda r: (*r[:3], r[3].tobytes()))
     drawn = Counter(r[1] for r in rows)
-    return fit([(toxic, sizes[toxic] / drawn[toxic], n, list(zip(hits[::3], hits[1::3], hits[2::3], strict=True))) for _, toxic, n, hits in rows], chosen)
+    return fit([(toxic, sizes[toxic] / drawn[toxic], n, hits) for _, toxic, n, hits in rows], chosen)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
