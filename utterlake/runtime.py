@@ -124,8 +124,8 @@ def tasks_for(df: DataFrame) -> int:
     """
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes"))
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    unknown = 1 << 60  # what Spark takes for the size of such rows is beyond this
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(s for s in sizes if s < unknown) // TASK_BYTES)
 
 
