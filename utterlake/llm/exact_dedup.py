@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from utterlake.llm.frames import free_name
-from utterlake.runtime import materialize, table
+from utterlake.runtime import dealt_by_range, materialize, table
 
 PREFIX_CHARS = 32
 _TYPES = {"id": pa.int64(), "keep_id": pa.int64(), "group_size": pa.int64(), "last": pa.bool_(), "digest": pa.string(), "edge": pa.int64(), "edge_text": pa.string()}
@@ -122,7 +122,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     norm = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
     keyed = norm.select("id", "norm", F.sha2("norm", 256).alias("digest"), F.substring("norm", 1, PREFIX_CHARS).alias("prefix"))
-    dealt = keyed.repartitionByRange("prefix", "digest", "id").sortWithinPartitions("prefix", "digest", "norm", "id")
+    dealt = dealt_by_range(keyed, "prefix", "digest", "id").sortWithinPartitions("prefix", "digest", "norm", "id")
     runs = materialize(dealt.select("id", "norm", "digest").mapInArrow(_runs, _RUNS), "exact-runs")
     linked = _linked(runs.where("edge_text IS NOT NULL").select("edge", F.col("edge_text").alias("norm")))
     same = Window.partitionBy("chain")
@@ -148,7 +148,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     digest, prefix, edge = (free_name(docs, x) for x in ("_digest", "_prefix", "_edge"))
     norm = normalised("text")
     keyed = docs.withColumns({digest: F.sha2(norm, 256), prefix: F.substring(norm, 1, PREFIX_CHARS)})
-    dealt = keyed.repartitionByRange(prefix, digest, "doc_id").sortWithinPartitions(prefix, digest, norm, "doc_id").drop(prefix)
+    dealt = dealt_by_range(keyed, prefix, digest, "doc_id").sortWithinPartitions(prefix, digest, norm, "doc_id").drop(prefix)
     schema = StructType([*docs.schema.fields, StructField(edge, LongType())])
     last = materialize(dealt.mapInArrow(lambda batches: _last_rows(batches, "text", digest, edge), schema), "exact-last")
     linked = _linked(last.where(F.col(edge).isNotNull()).select(F.col(edge).alias("edge"), norm.alias("norm")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from utterlake.runtime import bucket_of, let, splitters, table
+from utterlake.runtime import bucket_of, let, splitters, table, tasks_for
 
 WORDS = 5
 
@@ -82,7 +82,7 @@ def followed(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> tuple
     row the lowest range, so one exchange serves and no window spans more than a range. Drop the visitors (_visit = 1)
     after the window. Null keys come last, equal keys by a hash of their text.
     """
-    n = 4 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = 4 * max(2, tasks_for(docs))
     cuts = splitters(docs, key, n)
     top = docs.agg(F.max(key)).first()[0]
     bucket, k = bucket_of(F.col(key), cuts), F.col(key)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm.bpe import byte_letters
-from utterlake.runtime import scratch_path, table
+from utterlake.runtime import dealt_by_range, scratch_path, table
 
 MAGIC, LEVEL, END_ID, LISTED = b"UTLKIDS1", 3, 2, "files.json"
 #: The dictionary is trained on about this many documents, picked by a hash of id and text over all rows; of each at most
@@ -186,7 +186,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Encode every whole text, append end_id, and write files in ascending doc_id order, the dictionary first, the list of files last.
 
     Returns (file, documents, ids) in that order, as LISTED holds them: one row a file, not a document. Null texts are empty
-    and null ids come first; rows with one doc_id are ordered by their text. Other columns are ignored; an empty table
+    and null ids come first; rows with one doc_id are ordered by a hash of their text. Other columns are ignored; an empty table
     writes no file of ids.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
@@ -211,7 +211,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             out.close()
             yield pa.RecordBatch.from_pylist([{"name": name, "docs": len(out.rows), "ids": ids}])
 
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = dealt_by_range(rows, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = sorted((r.name, r.docs, r.ids) for r in dealt.mapInArrow(write, "name string, docs long, ids long").collect())
     with fs.open_output_stream(f"{path}/{LISTED}") as f:
         f.write(json.dumps(files).encode())
