@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parent.parent)
 #: Bytes of input files for a task of a sort, and cuts up to which bucket_of is one expression in generated code.
-TASK_BYTES, TREE_CUTS = 1 << 30, 255
+TASK_BYTES, TREE_CUTS = 1 << 30, 1023
 _live: dict[str, SparkSession] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
