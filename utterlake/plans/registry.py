@@ -11,12 +11,11 @@ from utterlake.functions import text as T
 from utterlake.functions import waves as W
 from utterlake.operators import corpus as C
 from utterlake.operators import scoring
+from utterlake.plans.catalogue import query
 from utterlake.runtime import numbered, scratch_path, table
 from utterlake.sources import sinks, transcripts, wav
 from utterlake.streaming import incremental
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 #: Python's white space, for DuckDB.
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -25,16 +24,6 @@ def _clean(text: str) -> str:
     return f"trim(regexp_replace({text}, '{_WS}', ' ', 'g'))"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 

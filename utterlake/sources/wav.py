@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.runtime import materialize
+
 HEADER_BYTES = 44
 _PCM, _FLOAT, _EXTENSIBLE = 1, 3, 0xFFFE
 DECODED = "seconds double, rate int, wave array<float>, error string"
@@ -29,29 +33,38 @@ class Format(NamedTuple):
         return self.size // (self.channels * self.bits // 8)
 
 
-def header(raw: bytes) -> Format:
-    """The format and where the samples lie; ValueError where the bytes are no WAV file. A cut-off data chunk counts as far as it goes."""
-    if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+def header_at(read: Callable[[int, int], bytes], length: int) -> Format:
+    """The format and where the samples lie; ValueError where this is no WAV file. A cut-off data chunk counts as far as it goes.
+
+    read(at, n) gives n bytes of the file, which has that length; samples are not asked for.
+    """
+    head = read(0, min(12, length))
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE header")
     at, found = 12, None
-    while at + 8 <= len(raw):
-        name, size = struct.unpack_from("<4sI", raw, at)
+    while at + 8 <= length:
+        name, size = struct.unpack("<4sI", read(at, 8))
         at += 8
-        if name == b"fmt " and size >= 16 and at + 16 <= len(raw):
-            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, at)
-            if tag == _EXTENSIBLE and size >= 26 and at + 26 <= len(raw):
-                tag = struct.unpack_from("<H", raw, at + 24)[0]
+        if name == b"fmt " and size >= 16 and at + 16 <= length:
+            tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", read(at, 16))
+            if tag == _EXTENSIBLE and size >= 26 and at + 26 <= length:
+                tag = struct.unpack("<H", read(at + 24, 2))[0]
             if not channels or not rate or bits not in (8, 16, 24, 32, 64):
                 raise ValueError("odd format")
             found = (tag, channels, rate, bits)
         elif name == b"data":
             if not found:
                 raise ValueError("samples before their format")
-            return Format(*found, at, min(size, len(raw) - at))
+            return Format(*found, at, min(size, length - at))
         at += size + size % 2
     raise ValueError("no samples")
 
 
+def header(raw: bytes) -> Format:
+    """header_at of bytes."""
+    return header_at(lambda at, n: raw[at : at + n], len(raw))
+
+
 def decode(raw: bytes) -> tuple[np.ndarray, int]:
     """Mono float32 samples in -1 to 1 (the mean over the channels) and their rate."""
     f = header(raw)
@@ -92,6 +105,28 @@ def encoded(rows: DataFrame, key: str, wave: str, rate: int) -> DataFrame:
     return rows.select(key, F.col(wave).cast("array<double>")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")
 
 
+def save_files(files: DataFrame, folder: str, name: Column, content: str = "content") -> DataFrame:
+    """(path, length) of a file in folder for each row, named by name and .wav; rows with null content or name have none.
+
+    A file takes its name when it is complete, and a task that runs again writes the same ones. Rows of one name leave one of their files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        own = f"{TaskContext.get().taskAttemptId()}.part"
+        for b in batches:
+            names = b.column(0).to_pylist()
+            for n, raw in zip(names, b.column(1), strict=True):
+                with fs.open_output_stream(f"{root}/{n}.{own}") as out:
+                    out.write(raw.as_buffer())
+                fs.move(f"{root}/{n}.{own}", f"{root}/{n}.wav")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{n}.wav" for n in names], pa.string()), pa.array([x.as_buffer().size for x in b.column(1)], pa.int64())], names=["path", "length"])
+
+    rows = files.select(name.cast("string").alias("name"), content).where(F.col("name").isNotNull() & F.col(content).isNotNull())
+    return materialize(rows.mapInArrow(run, "path string, length long"), "wav-list")
+
+
 def decoded(files: DataFrame, key: str, content: str = "content", samples: bool = True) -> DataFrame:
     """(key, seconds, rate, wave, error): bytes that cannot be read have an error and nulls else, they fail no task.
 
