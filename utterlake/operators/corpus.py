@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from utterlake.functions import text as T
+from utterlake.operators.overlap import overlapped
 from utterlake.runtime import materialize, numbered
 
 LEAST_SECONDS, MOST_SECONDS = 0.05, 30.0
@@ -184,18 +185,9 @@ def legacy_training_rows(tokens: DataFrame, prompt: Column, most: int) -> DataFr
 
 
 def crossfaded(chunks: DataFrame, group: str, order: str, wave: str, overlap: int) -> DataFrame:
-    """(group, pos, sample): chunks added up with linear ramps over the overlap; empty chunks go, positions stay at 0 or more."""
-    w = Window.partitionBy(group).orderBy(order)
-    rows = chunks.where(F.size(wave) > 0).select(group, order, F.col(wave).alias("_w"), F.size(wave).alias("_len"))
-    placed = rows.withColumn("_no", F.row_number().over(w)).withColumn("_last", F.lead(order).over(w).isNull())
-    step = F.col("_len") - F.when(F.col("_last"), 0).otherwise(overlap)
-    placed = placed.withColumn("_at", F.greatest(F.lit(0), F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    parts = placed.select(group, "_at", "_no", "_last", "_len", F.posexplode("_w").alias("_i", "_x"))
-    ramp = float(max(1, overlap - 1))
-    weight = F.when((F.col("_no") > 1) & (F.col("_i") < overlap), F.col("_i") / F.lit(ramp)).otherwise(1.0) * F.when(
-        ~F.col("_last") & (F.col("_i") >= F.col("_len") - overlap), (F.col("_len") - 1 - F.col("_i")) / F.lit(ramp)
-    ).otherwise(1.0)
-    return parts.groupBy(group, (F.col("_at") + F.col("_i")).alias("pos")).agg(F.sum(F.col("_x") * weight).alias("sample"))
+    """(group, pos, sample): chunks added up with linear ramps over the overlap, see overlap.overlapped, one row a sample at the very end."""
+    pieces = overlapped(chunks, group, order, wave, overlap)
+    return pieces.select(group, "at", F.posexplode("wave").alias("_i", "sample")).select(group, (F.col("at") + F.col("_i")).alias("pos"), "sample")
 
 
 def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
