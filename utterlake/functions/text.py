@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,10 +161,31 @@ def inference_prompt(text: Column, global_tokens: Column) -> Column:
     return F.concat(train_prompt(text), F.lit("<|start_global_token|>"), global_tokens, F.lit("<|end_global_token|><|start_semantic_token|>"))
 
 
-def allowed_scores(scores: Column, ids: list[int]) -> Column:
-    """scores where their place is one of ids, minus infinity elsewhere. ids: few, they are part of the plan."""
-    allowed = F.array(*map(F.lit, sorted(set(ids)))) if ids else F.array().cast("array<int>")
-    return F.transform(scores, lambda x, i: F.when(F.array_contains(allowed, i), x.cast("double")).otherwise(F.lit(float("-inf"))))
+def bitmap(words: list[int]) -> Column:
+    """Packed bits, 64 a word, as a constant of the plan."""
+    return F.expr(f"array({', '.join(f'{w}L' if w > -(1 << 63) else 'bigint(-9223372036854775808)' for w in words)})") if words else F.array().cast("array<bigint>")
+
+
+def packed(ids: Iterable[int]) -> list[int]:
+    """The words of a bitmap in which the bits of ids are set."""
+    words: dict[int, int] = {}
+    for i in ids:
+        words[i >> 6] = words.get(i >> 6, 0) | 1 << (i & 63)
+    return [w - (1 << 64) if w >> 63 else w for w in (words.get(k, 0) for k in range(max(words, default=-1) + 1))]
+
+
+def allowed_scores(scores: Column, allowed: Column | Iterable[int]) -> Column:
+    """scores where the bit of their place is set in allowed, minus infinity elsewhere: one bit test a score however many ids are allowed.
+
+    allowed: a bitmap (bitmap, corpus.allowed_ids), or ids. Places beyond the bitmap are not allowed; null scores stay null where they are.
+    """
+    bits = allowed if isinstance(allowed, Column) else bitmap(packed(allowed))
+
+    def masked(x: Column, i: Column) -> Column:
+        word = F.get(bits, F.shiftright(i, 6))
+        return F.when(word.isNotNull() & (F.getbit(F.coalesce(word, F.lit(0).cast("bigint")), i.bitwiseAND(F.lit(63))) == 1), x.cast("double")).otherwise(F.lit(float("-inf")))
+
+    return F.transform(scores, masked)
 
 
 def language_dir(name: Column) -> Column:

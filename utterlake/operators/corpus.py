@@ -19,6 +19,8 @@ from utterlake.runtime import materialize, numbered
 LEAST_SECONDS, MOST_SECONDS = 0.05, 30.0
 #: A vocabulary of up to so many pieces and bytes goes to the workers; a larger one is joined.
 SHIPPED_PIECES, SHIPPED_BYTES = 250_000, 32 << 20
+#: Ids below this can be in a mask: 64 k words, half a megabyte of the plan.
+MOST_IDS = 1 << 22
 START_GLOBAL, END_GLOBAL, START_SEMANTIC, END_SEMANTIC, IM_END = 900001, 900002, 900003, 900004, 900005
 
 
@@ -216,6 +218,22 @@ def new_embeddings(old: DataFrame, vector: str, n: int, seed: str, noise: float
     return each.select("new_id", "pos", (F.col("mean") + noise * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(math.pi) * v)).alias("value"))
 
 
+def allowed_ids(vocabulary: DataFrame, allowed: Column) -> list[int]:
+    """The words of a bitmap over the ids of vocabulary(piece, id) for which allowed holds; negative and null ids have no place in it.
+
+    Bits are put together in the tasks, so a word for each 64 ids comes to the driver, which the largest id bounds.
+    """
+    ids = vocabulary.where(allowed & (F.col("id") >= 0)).select(F.col("id").cast("long").alias("i"))
+    top = ids.agg(F.max("i")).first()[0]
+    if top is None:
+        return []
+    if top >= MOST_IDS:
+        raise ValueError(f"id {top}: a mask holds ids below {MOST_IDS}")
+    words = ids.groupBy(F.shiftright("i", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("w"))
+    found = dict(map(tuple, words.collect()))
+    return [found.get(k, 0) for k in range((top >> 6) + 1)]
+
+
 def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """rows with ids, those of its array of tokens in their order by vocabulary(piece, id), and unknown, the tokens without one.
 
