@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from utterlake.functions import text as T
 from utterlake.operators import corpus as C
+from utterlake.operators import cutting
 from utterlake.plans.catalogue import query
 from utterlake.plans.registry import _pieces, _WORDS
 from utterlake.runtime import numbered, table
@@ -26,3 +27,39 @@ def codec_mask(spark, d):
     masked = scores.select("vec_id", T.allowed_scores(F.col("scores"), bits).alias("m")).withColumn("best", F.array_max("m"))
     allowed = F.size(F.filter("m", lambda x: x > float("-inf"))).cast("bigint")
     return masked.select("vec_id", allowed.alias("allowed"), (F.array_position("m", F.col("best")) - 1).alias("best_id"), F.round("best", 6).alias("best_score"))
+
+
+def _cut_sql(vocabulary: str, name: str) -> str:
+    """Pieces of each different word of the documents, cut by the longest piece of a vocabulary."""
+    return f"""{name}_m AS MATERIALIZED (SELECT w, pos, max(k) AS k FROM (SELECT w, pos, unnest(range(1, 5)) AS k FROM (SELECT w, unnest(range(1, length(w) + 1)) AS pos FROM ws)) JOIN {vocabulary} ON piece = substr(w, pos, k) AND pos + k <= length(w) + 1 GROUP BY 1, 2),
+ {name}_c AS (SELECT w, CAST(1 AS BIGINT) AS pos, 0 AS n FROM ws UNION ALL SELECT c.w, c.pos + coalesce(m.k, 1), c.n + 1 FROM {name}_c c LEFT JOIN {name}_m m ON m.w = c.w AND m.pos = c.pos WHERE c.pos <= length(c.w)),
+ {name} AS (SELECT w, max(n) AS n FROM {name}_c GROUP BY 1)"""
+
+
+#: A vocabulary of letters and the syllables that two tables begin their words with, so that texts need several pieces a word.
+def _heads(spark, d, name: str):
+    words = table(spark, d, name).select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where("w <> ''")
+    heads = F.array(*(F.substring("w", 1, k) for k in (1, 2, 3, 4)))
+    return words.select(F.explode(heads).alias("piece")).distinct()
+
+
+def _heads_sql(name: str) -> str:
+    return f"SELECT DISTINCT w[1:k] AS piece FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM {name}), (SELECT unnest([1, 2, 3, 4]) AS k) WHERE w <> ''"
+
+
+_BLANKS = r"[ \t\n\x{0B}\f\r]+"
+
+
+@query(f"""WITH RECURSIVE b AS MATERIALIZED ({_heads_sql('benchmark')}), a AS MATERIALIZED (SELECT piece FROM b UNION SELECT * FROM ({_heads_sql('conversations')})),
+ e AS (SELECT unnest(regexp_split_to_array(text, '{_BLANKS}')) AS w FROM documents), u AS (SELECT w, count(*) AS k FROM e WHERE w <> '' GROUP BY 1), ws AS MATERIALIZED (SELECT w FROM u),
+ {_cut_sql('b', 'before_')}, {_cut_sql('a', 'after_')}
+SELECT (SELECT count(*) FROM documents) AS lines, CAST(sum(k * x.n) AS BIGINT) AS before, CAST(sum(k * y.n) AS BIGINT) AS after, round(sum(k * x.n) / sum(k * y.n), 6) AS ratio FROM u JOIN before_ x USING (w) JOIN after_ y USING (w)""")
+def extension_ratio(spark, d):
+    """Pieces that all documents are cut into before and after a vocabulary is extended by the new pieces of another table."""
+    base = numbered(_heads(spark, d, "benchmark"), [], ["piece"], "id")
+    more = numbered(_heads(spark, d, "conversations"), [], ["piece"], "id")
+    new = C.new_vocabulary(base, more).select("piece", F.col("new_id").alias("id"))
+    docs = table(spark, d, "documents").select("text")
+    before = cutting.cut_texts(docs, "text", base).withColumnRenamed("pieces", "before").drop("ids")
+    both = cutting.cut_texts(before, "text", base.unionByName(new))
+    return C.token_ratio(both, F.col("before"), F.col("pieces")).withColumn("ratio", F.round("ratio", 6))
