@@ -104,10 +104,8 @@ def test_places_in_groups_over_many_tasks(spark):
     assert numbered(rows.limit(0), ["g"], ["id"], "at").collect() == []
 
 
-@pytest.mark.parametrize("most", [0, 255])
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 40])
-def test_ranges_hold_what_lies_between_their_cuts(spark, monkeypatch, most, n):
-    monkeypatch.setattr(runtime, "TREE_CUTS", most)
+def test_ranges_hold_what_lies_between_their_cuts(spark, n):
     cuts = sorted(random.Random(n).sample(range(-50, 50), n))
     keys = [None, *range(-55, 55)]
     got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", runtime.bucket_of(F.col("k"), cuts).alias("b")).collect()

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parent.parent)
-#: Bytes of input files for a task of a sort, and cuts up to which bucket_of is one expression in generated code.
-TASK_BYTES, TREE_CUTS = 1 << 30, 1023
+#: Bytes of input files for a task of a sort.
+TASK_BYTES = 1 << 30
 _live: dict[str, SparkSession] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -169,18 +169,9 @@ def splitters(df: DataFrame, key: str, n: int) -> list:
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
-    """0-based number of the range (cuts[i-1], cuts[i]] that holds key; nulls go to 0.
-
-    A balanced tree of comparisons, or, where the tree would be too large to compile, a binary search in an array.
-    """
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    if len(cuts) <= TREE_CUTS:
-        return tree(0, len(cuts))
+    """0-based number of the range (cuts[i-1], cuts[i]] that holds key; nulls go to 0. A binary search in an array, for any number of cuts."""
+    if not cuts:
+        return F.lit(0)
     values = F.array(*map(F.lit, cuts))
 
     def halved(s: Column, _: Column) -> Column:
