@@ -12,16 +12,29 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from utterlake.functions.text import SCHEMES, _replace_each, clean, normalise, script
+from utterlake.functions.text import INDIC_DIGITS, SCHEMES, _replace_each, clean, normalise, script
 from utterlake.runtime import let
 
 NUMBER = r"(?U)-?\d+(?:\.\d+)?"
+LATIN = r"(?U)\b[a-zA-Z]+\b"
 _PLAIN = r"^-?[0-9]{1,15}(\.[0-9]+)?$"
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = ("trillion", "billion", "million", "thousand", "")
 
 
+# Hindi number words of 0 to 99, and the names of hundreds and of pairs of digits above them.
+HINDI_BELOW_HUNDRED = (
+    "शून्य एक दो तीन चार पाँच छह सात आठ नौ दस ग्यारह बारह तेरह चौदह पंद्रह सोलह सत्रह अठारह उन्नीस "
+    "बीस इक्कीस बाईस तेईस चौबीस पच्चीस छब्बीस सत्ताईस अट्ठाईस उनतीस तीस इकतीस बत्तीस तैंतीस चौंतीस पैंतीस छत्तीस सैंतीस अड़तीस उनतालीस "
+    "चालीस इकतालीस बयालीस तैंतालीस चवालीस पैंतालीस छियालीस सैंतालीस अड़तालीस उनचास पचास इक्यावन बावन तिरपन चौवन पचपन छप्पन सत्तावन अट्ठावन उनसठ "
+    "साठ इकसठ बासठ तिरसठ चौंसठ पैंसठ छियासठ सड़सठ अड़सठ उनहत्तर सत्तर इकहत्तर बहत्तर तिहत्तर चौहत्तर पचहत्तर छिहत्तर सतहत्तर अठहत्तर उन्यासी "
+    "अस्सी इक्यासी बयासी तिरासी चौरासी पचासी छियासी सत्तासी अट्ठासी नवासी नब्बे इक्यानवे बानवे तिरानवे चौरानवे पचानवे छियानवे सत्तानवे अट्ठानवे निन्यानवे"
+).split()
+HINDI_GROUPS = (("नील", 2), ("खरब", 2), ("अरब", 2), ("करोड़", 2), ("लाख", 2), ("हज़ार", 2), ("सौ", 1), ("", 2))
+HINDI_MINUS, HINDI_POINT = "ऋण", "दशमलव"
+
+
 def below_hundred() -> list[str]:
     """English words of 0 to 99."""
     return _ONES + [t + ("" if i == 0 else f" {_ONES[i]}") for t in _TENS for i in range(10)]
@@ -53,6 +66,31 @@ def english_number(number: Column) -> Column:
     return F.when(F.regexp_like(number, F.lit(_PLAIN)), words).otherwise(number)
 
 
+def hindi_number(number: Column) -> Column:
+    """Hindi words of a number in ASCII or Indic digits, by hundreds, thousands, lakhs, crores and so on; one of more than 15 whole digits stays as it is."""
+    table = F.array(*map(F.lit, HINDI_BELOW_HUNDRED))
+
+    def whole(digits: Column) -> Column:
+        padded, at, parts = F.lpad(digits, 15, "0"), 1, []
+        for name, size in HINDI_GROUPS:
+            n = F.substring(padded, at, size).cast("int")
+            parts.append(F.when(n > 0, F.concat(F.get(table, n), F.lit(f" {name}" if name else ""))))
+            at += size
+        return let(F.concat_ws(" ", *parts), lambda w: F.when(w == "", F.get(table, F.lit(0))).otherwise(w))
+
+    def said(n: Column) -> Column:
+        fraction = F.regexp_extract(n, r"\.([0-9]+)$", 1)
+        spelled = F.array_join(F.transform(F.split(fraction, ""), lambda d: F.get(table, d.try_cast("int"))), " ")
+        words = F.concat_ws(" ", F.when(F.startswith(n, F.lit("-")), F.lit(HINDI_MINUS)), whole(F.regexp_extract(n, r"^-?([0-9]+)", 1)), F.when(fraction != "", F.concat(F.lit(f"{HINDI_POINT} "), spelled)))
+        return F.when(F.regexp_like(n, F.lit(_PLAIN)), words).otherwise(number)
+
+    return let(F.translate(number, INDIC_DIGITS, "0123456789" * 5), said)
+
+
+#: The verbalisers at hand, by language.
+NUMBER_WORDS: dict[str, Callable[[Column], Column]] = {"en": english_number, "hi": hindi_number}
+
+
 def verbalised(text: Column, words: Callable[[Column], Column] = english_number) -> Column:
     """Each number replaced by its words; words may be any Column function, a pandas UDF too."""
     return _replace_each(text, NUMBER, words)
@@ -83,36 +121,56 @@ def itrans(word: str, lang: str) -> str:
     return "".join(chr(ord(c) + shift) if 0x0900 <= ord(c) < 0x0980 else c for c in "".join(out) + "्" * open_)
 
 
+def _mapped(mapper: Callable[[str, str], str], word: str, lang: str) -> str:
+    """A Latin word of two letters or more as the mapper gives it, lower-cased; one that it fails on stays."""
+    try:
+        return mapper(word.lower(), lang) or word if len(word) > 1 else word
+    except Exception:  # a word the plug-in cannot map is kept, as is one without a plug-in
+        return word
+
+
 def transliterated(text: Column, lang: str | Column, mapper: Callable[[str, str], str] | None = None) -> Column:
     """Latin words of two letters or more, lower-cased, as mapper(word, lang) gives them; a word that it fails on stays. No mapper: unchanged."""
-    if mapper is None:
-        return text
+    return replaced(text, F.lit(lang) if isinstance(lang, str) else lang, {}, mapper)
 
-    def one(m: re.Match, own: str) -> str:
-        try:
-            return mapper(m[0].lower(), own) or m[0] if len(m[0]) > 1 else m[0]
-        except Exception:  # a word the plug-in cannot map is kept, as is one without a plug-in
-            return m[0]
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else re.sub(r"\b[a-zA-Z]+\b", lambda m, x=x: one(m, x), t) for t, x in zip(texts, langs, strict=True)], dtype=object)
+def replaced(text: Column, own: Column, words: dict[str | None, Callable[[Column], Column]], mapper: Callable[[str, str], str] | None) -> Column:
+    """Numbers by the verbaliser of the row's language (or that of None), Latin words by the mapper: each match of the text once.
 
-    return run(text, F.lit(lang) if isinstance(lang, str) else lang)
+    What a verbaliser says is not read again, so its words are not transliterated.
+    """
+    patterns = [NUMBER] * bool(words) + [LATIN] * (mapper is not None)
+    if not patterns:
+        return text
+    pattern = "|".join(patterns)
+
+    def said(m: Column) -> Column:
+        out = m
+        for x, say in words.items():
+            out = F.when(F.lit(True) if x is None else own == x, say(m)).otherwise(out)
+        return out
+
+    if mapper is None:
+        return _replace_each(text, pattern, said)
 
+    @F.pandas_udf("array<string>")
+    def mapped(found: pd.Series, langs: pd.Series) -> pd.Series:
+        one = lambda m, x: _mapped(mapper, m, x) if m[0].isascii() and m[0].isalpha() else None
+        return pd.Series([None if ms is None else [one(m, x) for m in ms] for ms, x in zip(found, langs, strict=True)], dtype=object)
 
-def _said(words: Callable[[Column], Column], where: Column | None) -> Callable[[Column], Column]:
-    return lambda t: verbalised(t, words) if where is None else F.when(where, verbalised(t, words)).otherwise(t)
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    new = F.zip_with(found, mapped(found, own), lambda m, word: F.coalesce(word, said(m)))
+    pieces = F.zip_with(between, new, lambda b, m: F.concat(b, F.coalesce(m, F.lit(""))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(pieces, "")).otherwise(text)
 
 
 def processed(text: Column, lang: str | Column | None = "en", words: dict[str, Callable[[Column], Column]] | Callable[[Column], Column] | None = None, mapper: Callable[[str, str], str] | None = None) -> Column:
-    """Normalised text, then numbers and words by the plug-ins, then cleaning.
+    """Normalised text, then numbers and Latin words by the plug-ins in one pass, then cleaning.
 
     lang: one language, or each row's own; null rows (None: all) are of the language of their script. words: one verbaliser
     for all, or one for each language; numbers in other languages stay digits.
     """
     own = F.lit(lang) if isinstance(lang, str) else script(text) if lang is None else F.coalesce(lang, script(text))
-    out = normalise(text, lang)
-    for x, say in (words if isinstance(words, dict) else {None: words} if words else {}).items():
-        out = let(out, _said(say, None if x is None else own == x))
-    return clean(transliterated(out, own, mapper)) if mapper else clean(out)
+    says = words if isinstance(words, dict) else {None: words} if words else {}
+    normal = normalise(text, lang)
+    return clean(let(normal, lambda t: replaced(t, own, says, None)) if mapper is None else replaced(normal, own, says, mapper))

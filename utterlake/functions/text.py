@@ -21,7 +21,7 @@ SENTENCE_ENDS = "।॥?!."
 CHUNK_CHARS, CHUNK_SLACK, LONG_TEXT = 300, 1.2, 300
 CHUNK_BLOCK = 256
 
-_INDIC_DIGITS = "".join(chr(start + d) for start in (0x0966, 0x09E6, 0x0AE6, 0x0C66, 0x0CE6) for d in range(10))
+INDIC_DIGITS = "".join(chr(start + d) for start in (0x0966, 0x09E6, 0x0AE6, 0x0C66, 0x0CE6) for d in range(10))
 _ACRONYM, _CURRENCY = r"(?U)\b[A-Z][A-Z0-9&]+\b", r"(?U)[$£€₹]\s?\d+(?:\.\d+)?"
 
 
@@ -71,7 +71,7 @@ def expand_currency(text: Column, lang: str = "en") -> Column:
     def words(m: Column) -> Column:
         amount = F.regexp_extract(m, r"(?U)\d+(?:\.\d+)?", 0)
         name = F.coalesce(*(F.when(F.startswith(m, F.lit(s)), F.lit(names[own])) for s, names in CURRENCIES.items()))
-        plural = F.translate(amount, _INDIC_DIGITS, "0123456789" * 5).try_cast("double") > 1
+        plural = F.translate(amount, INDIC_DIGITS, "0123456789" * 5).try_cast("double") > 1
         return F.concat(amount, F.lit(" "), name, F.when(plural & F.lit(own == "en"), F.lit("s")).otherwise(F.lit("")))
 
     return _replace_each(text, _CURRENCY, words)

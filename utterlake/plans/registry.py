@@ -580,18 +580,23 @@ def token_ratio(spark, d):
     return C.token_ratio(_tokens(spark, d), F.col("semantic_ids"), F.col("global_ids")).withColumn("ratio", F.round("ratio", 6))
 
 
-def _number_sql() -> str:
+def english_sql(m: str) -> str:
+    """The English words of a number in ASCII digits, other ones as they are."""
     words = "[" + ", ".join(f"'{w}'" for w in spoken.below_hundred()) + "]"
     two = lambda n: f"CASE WHEN {n} > 0 THEN {words}[{n} + 1] END"
     parts = []
     for i, scale in enumerate(spoken.SCALES):
-        n = f"CAST(substr(lpad(regexp_extract(m, '[0-9]+'), 15, '0'), {1 + 3 * i}, 3) AS INTEGER)"
+        n = f"CAST(substr(lpad(regexp_extract({m}, '[0-9]+'), 15, '0'), {1 + 3 * i}, 3) AS INTEGER)"
         own = f"concat_ws(' ', {two(f'({n} // 100)')} || ' hundred', {two(f'({n} % 100)')})"
         parts.append(f"nullif(concat_ws(' ', nullif({own}, ''), '{scale}'), '{scale}')" if scale else f"nullif({own}, '')")
-    point = f"'point ' || array_to_string(list_transform(regexp_extract_all(regexp_extract(m, '[.]([0-9]+)', 1), '[0-9]'), lambda x: {words}[CAST(x AS INTEGER) + 1]), ' ')"
-    whole = f"concat_ws(' ', CASE WHEN m[1] = '-' THEN 'minus' END, coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), 'zero'), CASE WHEN contains(m, '.') THEN {point} END)"
+    point = f"'point ' || array_to_string(list_transform(regexp_extract_all(regexp_extract({m}, '[.]([0-9]+)', 1), '[0-9]'), lambda x: {words}[CAST(x AS INTEGER) + 1]), ' ')"
+    whole = f"concat_ws(' ', CASE WHEN {m}[1] = '-' THEN 'minus' END, coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), 'zero'), CASE WHEN contains({m}, '.') THEN {point} END)"
+    return f"CASE WHEN regexp_full_match({m}, '-?[0-9]{{1,15}}([.][0-9]+)?') THEN {whole} ELSE {m} END"
+
+
+def _number_sql() -> str:
     pattern = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
-    spoken_list = f"list_transform(regexp_extract_all(text, '{pattern}'), lambda m: CASE WHEN regexp_full_match(m, '-?[0-9]{{1,15}}([.][0-9]+)?') THEN {whole} ELSE m END)"
+    spoken_list = f"list_transform(regexp_extract_all(text, '{pattern}'), lambda m: {english_sql('m')})"
     return f"SELECT doc_id, array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{pattern}'), {spoken_list}), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') AS words FROM documents"
 
 

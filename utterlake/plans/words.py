@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from utterlake.functions import spoken
 from utterlake.functions import text as T
 from utterlake.operators import corpus as C
 from utterlake.operators import cutting
 from utterlake.plans.catalogue import query
-from utterlake.plans.registry import _pieces, _WORDS
+from utterlake.plans.registry import _clean, _MIXED, _OWN_LANG, _pieces, _WORDS, english_sql
 from utterlake.runtime import numbered, table
 
 _CODES = 8192
@@ -63,3 +64,46 @@ def extension_ratio(spark, d):
     before = cutting.cut_texts(docs, "text", base).withColumnRenamed("pieces", "before").drop("ids")
     both = cutting.cut_texts(before, "text", base.unionByName(new))
     return C.token_ratio(both, F.col("before"), F.col("pieces")).withColumn("ratio", F.round("ratio", 6))
+
+
+_NUMBER = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
+
+
+def hindi_sql(m: str) -> str:
+    """The Hindi words of a number in ASCII digits, other ones as they are."""
+    words = "[" + ", ".join(f"'{w}'" for w in spoken.HINDI_BELOW_HUNDRED) + "]"
+    padded, at, parts = f"lpad(regexp_extract({m}, '[0-9]+'), 15, '0')", 1, []
+    for name, size in spoken.HINDI_GROUPS:
+        n = f"CAST(substr({padded}, {at}, {size}) AS INTEGER)"
+        parts.append(f"CASE WHEN {n} > 0 THEN {words}[{n} + 1] || '{f' {name}' if name else ''}' END")
+        at += size
+    point = f"'{spoken.HINDI_POINT} ' || array_to_string(list_transform(regexp_extract_all(regexp_extract({m}, '[.]([0-9]+)', 1), '[0-9]'), lambda x: {words}[CAST(x AS INTEGER) + 1]), ' ')"
+    whole = f"concat_ws(' ', CASE WHEN {m}[1] = '-' THEN '{spoken.HINDI_MINUS}' END, coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), {words}[1]), CASE WHEN contains({m}, '.') THEN {point} END)"
+    return f"CASE WHEN regexp_full_match({m}, '-?[0-9]{{1,15}}([.][0-9]+)?') THEN {whole} ELSE {m} END"
+
+
+def itrans_sql(word: str) -> str:
+    """A word of Latin letters in Devanagari."""
+    consonants = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in spoken._CONSONANTS.items() if k.isalpha()) + "}"
+    vowels, signs = ("MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}" for table in (spoken._VOWELS, spoken._SIGNS))
+    pattern = "|".join(sorted({k for k in (*spoken._VOWELS, *spoken._CONSONANTS) if k.isalpha()}, key=len, reverse=True)) + "|."
+    one = f"CASE WHEN {consonants}[p] IS NOT NULL THEN CASE WHEN {consonants}[ps[i - 1]] IS NOT NULL THEN '्' ELSE '' END || {consonants}[p] WHEN {consonants}[ps[i - 1]] IS NOT NULL AND {signs}[p] IS NOT NULL THEN {signs}[p] ELSE CASE WHEN {consonants}[ps[i - 1]] IS NOT NULL THEN '्' ELSE '' END || coalesce({vowels}[p], p) END"
+    return f"list_transform([regexp_extract_all(lower({word}), '{pattern}')], lambda ps: array_to_string(list_transform(ps, lambda p, i: {one}), '') || CASE WHEN {consonants}[ps[-1]] IS NOT NULL THEN '्' ELSE '' END)[1]"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{_NUMBER}'), list_transform(regexp_extract_all(text, '{_NUMBER}'), lambda m: {hindi_sql('m')})), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') AS words FROM documents")
+def verbalize_hindi(spark, d):
+    return table(spark, d, "documents").select("doc_id", spoken.verbalised(F.col("text"), spoken.hindi_number).alias("words"))
+
+
+#: Numbers, runs of letters and single other signs. A run of Latin letters is a word where no digit touches it.
+_RUNS = r"-?\p{Nd}+(?:\.\p{Nd}+)?|[\p{L}\p{M}_]+|[^\p{L}\p{M}\p{Nd}_]"
+_BOTH = f"""CASE WHEN regexp_matches(m, '[0-9]$') THEN CASE own WHEN 'hi' THEN {hindi_sql('m')} WHEN 'en' THEN {english_sql('m')} ELSE m END
+ WHEN regexp_full_match(m, '[a-zA-Z]{{2,}}') AND NOT regexp_matches(coalesce(ms[i - 1], ''), '\\p{{Nd}}$') AND NOT regexp_matches(coalesce(ms[i + 1], ''), '^\\p{{Nd}}') THEN {itrans_sql('m')} ELSE m END"""
+
+
+@query(f"WITH {_MIXED}, r AS (SELECT doc_id, own, regexp_extract_all(normal, '{_RUNS}') AS ms FROM mixed JOIN t USING (doc_id)) SELECT doc_id, {_clean(f'array_to_string(list_transform(ms, lambda m, i: {_BOTH}), {chr(39) * 2})')} AS spoken FROM r")
+def normalize_spoken(spark, d):
+    """Normalised in each row's language, numbers as words of it, Latin words in Devanagari, in one pass."""
+    said = spoken.processed(F.col("text"), F.expr(_OWN_LANG), spoken.NUMBER_WORDS, spoken.itrans)
+    return table(spark, d, "documents").select("doc_id", said.alias("spoken"))
