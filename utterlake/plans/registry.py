@@ -14,7 +14,6 @@ from utterlake.operators import scoring
 from utterlake.plans.catalogue import query
 from utterlake.runtime import numbered, scratch_path, table
 from utterlake.sources import sinks, transcripts, wav
-from utterlake.streaming import incremental
 
 #: Python's white space, for DuckDB.
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -441,11 +440,6 @@ def fingerprint(spark, d):
     return _docs(spark, d).select("doc_id", T.fingerprint(F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("fingerprint"))
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents")
-def incremental_tokenize(spark, d):
-    return incremental.run_available(spark, f"{d}/documents.parquet", lambda df: df.select("doc_id", F.length("text").cast("bigint").alias("n")), "doc_id")
-
-
 def _pieces(spark, d, name: str, key: str) -> DataFrame:
     words = table(spark, d, name).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z<>]+"))).alias("piece"), F.col(key).alias("k"))
     return words.where("piece <> ''").groupBy("piece").agg(F.min("k").alias("k"))
