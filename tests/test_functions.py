@@ -80,6 +80,14 @@ def test_references(spark):
     assert got == {"a": "a", "b": "c", "c": "b", "d": "d"}
 
 
+def test_references_keep_every_row(spark):
+    rows = spark.createDataFrame([("a", "s"), ("a", "s"), ("b", "s"), (None, "s"), ("a", "s"), ("x", ""), ("x", "")], "audio_path string, speaker string")
+    got = sorted(((r.audio_path, r.speaker, r.ref) for r in C.references(rows, chance="1.1").collect()), key=str)
+    assert [g[:2] for g in got] == sorted([(r.audio_path, r.speaker) for r in rows.collect()], key=str)
+    assert {g[2] for g in got if g[0] == "a"} <= {"a", "b"} and [g for g in got if g[0] == "x"] == [("x", "", "x")] * 2
+    assert C.references(rows, chance="1.1", pool_limit=1).count() == 7 and C.references(rows.limit(0)).collect() == []
+
+
 def test_crossfade(spark):
     rows = spark.createDataFrame([(0, 0, [1.0] * 4), (0, 1, []), (0, 2, [1.0] * 4), (1, 0, [0.5])], "g int, o int, w array<double>")
     got = {(r.g, r.pos): r["sample"] for r in C.crossfaded(rows, "g", "o", "w", 2).collect()}

@@ -93,22 +93,26 @@ def split_validation(rows: DataFrame, share: float, key: str = "doc_id", seed: s
 
 
 def references(rows: DataFrame, chance: str = "0.8", key: str = "audio_path", pool_limit: int | None = None) -> DataFrame:
-    """(key, speaker, ref): a reference of the same speaker, by hashes of the key; itself with probability 1 - chance, or alone.
+    """(key, speaker, ref) for each row: a reference of the same speaker, by hashes of the key; itself with probability 1 - chance, or alone.
 
-    A count per speaker and a numbered pool joined on (speaker, number): no pairs within a speaker are made, and a speaker
-    of any size spreads over many tasks.
+    A speaker's pool is its rows by key, repeated ones too, or the first pool_limit of them. Where the row that a hash names
+    has the row's own key, the one after it in the pool is taken. Rows without a speaker or a key keep their own key. A
+    count per speaker and a numbered pool joined on (speaker, number): no pairs within a speaker are made, and a speaker of
+    any size spreads over many tasks.
     """
-    named = rows.where(F.coalesce("speaker", F.lit("")) != "").select("speaker", F.col(key).alias("ref"))
-    pool = materialize(numbered(named, ["speaker"], ["ref"], "at"), "pool")
+    given = rows.select(F.col(key).alias("k"), F.col("speaker").alias("s"))
+    pool = materialize(numbered(given.where((F.coalesce("s", F.lit("")) != "") & F.col("k").isNotNull()), ["s"], ["k"], "at"), "pool")
     if pool_limit:
         pool = pool.where(F.col("at") < pool_limit)
-    sizes = pool.groupBy("speaker").agg(F.count("*").alias("n"))
-    u = T.hash32(F.concat(F.lit("refsel:"), key)) / F.lit(4294967295.0).cast("double")
-    placed = rows.select(key, "speaker").join(pool.select("speaker", F.col("ref").alias(key), F.col("at").alias("own")), ["speaker", key], "left").join(sizes, "speaker", "left")
-    first = T.hash32(F.concat(F.lit("refidx:"), key)) % F.col("n")
-    at = F.when((u < float(chance)) & (F.col("n") > 1), F.when(first == F.col("own"), (first + 1) % F.col("n")).otherwise(first))
-    wanted = placed.withColumn("at", at)
-    return wanted.join(pool, ["speaker", "at"], "left").select(key, "speaker", F.coalesce("ref", key).alias("ref"))
+    sizes = pool.groupBy("s").agg(F.count("*").alias("n"))
+    after = pool.join(sizes, "s").select("s", F.pmod(F.col("at") - 1, F.col("n")).alias("at"), F.col("k").alias("after"))
+    refs = pool.withColumnRenamed("k", "ref").join(after, ["s", "at"])
+    u = T.hash32(F.concat(F.lit("refsel:"), "k")) / F.lit(4294967295.0).cast("double")
+    itself = -1 - F.pmod(F.xxhash64("k"), F.lit(4096))  # no place of the pool; many, so these rows do not meet in one task
+    at = F.when((u < float(chance)) & (F.col("n") > 1), T.hash32(F.concat(F.lit("refidx:"), "k")) % F.col("n")).otherwise(itself)
+    placed = given.join(sizes, "s", "left").withColumn("at", at)
+    chosen = F.when(F.col("ref") == F.col("k"), F.col("after")).otherwise(F.coalesce("ref", "k"))
+    return placed.join(refs, ["s", "at"], "left").select(F.col("k").alias(key), F.col("s").alias("speaker"), chosen.alias("ref"))
 
 
 def pool(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:

@@ -229,6 +229,19 @@ def ref_select(spark, d):
     return C.references(_manifest(spark, d).select("audio_path", "speaker"))
 
 
+_REPEATED = "SELECT audio_path, speaker FROM u UNION ALL SELECT audio_path, speaker FROM u JOIN labels USING (doc_id) WHERE toxic = 1"
+
+
+@query(f"""WITH {_U}, r AS ({_REPEATED}), p AS (SELECT audio_path, speaker, row_number() OVER (PARTITION BY speaker ORDER BY audio_path) - 1 AS own, count(*) OVER (PARTITION BY speaker) AS n FROM r),
+q AS (SELECT *, {_HASH.format("'refidx:' || audio_path")} % n AS f, {_HASH.format("'refsel:' || audio_path")} / CAST(4294967295 AS DOUBLE) AS x FROM p)
+SELECT q.audio_path, q.speaker, CASE WHEN x < 0.8 AND q.n > 1 THEN CASE WHEN a.audio_path = q.audio_path THEN b.audio_path ELSE a.audio_path END ELSE q.audio_path END AS ref
+FROM q JOIN p a ON a.speaker = q.speaker AND a.own = f JOIN p b ON b.speaker = q.speaker AND b.own = (f + 1) % q.n""")
+def ref_repeats(spark, d):
+    """References where some utterances come twice: a row for each row."""
+    u, marked = _manifest(spark, d), table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return C.references(u.unionByName(u.join(marked, "doc_id")).select("audio_path", "speaker"))
+
+
 @query(f"""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
 s AS (SELECT source, max(n) AS n FROM p GROUP BY 1 HAVING max(n) >= 2), k AS (SELECT source, n, unnest(range(0, least(10, n * (n - 1) // 2))) AS draw FROM s),
 h AS (SELECT source, draw, n, {_HASH.format("'a:' || source || ':' || draw")} % n AS a, {_HASH.format("'b:' || source || ':' || draw")} % (n - 1) AS b0 FROM k)
