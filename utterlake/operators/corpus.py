@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from utterlake.functions import text as T
 from utterlake.operators.overlap import overlapped
-from utterlake.runtime import materialize, numbered
+from utterlake.runtime import free_names, materialize, numbered
 
 LEAST_SECONDS, MOST_SECONDS = 0.05, 30.0
 #: A vocabulary of up to so many pieces and bytes goes to the workers; a larger one is joined.
@@ -34,13 +34,14 @@ def utterances(docs: DataFrame) -> DataFrame:
 
 def classified(manifest: DataFrame, transcripts: DataFrame, key: str = "doc_id") -> DataFrame:
     """manifest with status: the first that holds of no_transcript, empty_text, duration_filtered, else ok."""
-    known = transcripts.select(key).distinct().withColumn("_known", F.lit(True))
+    (mark,) = free_names(manifest, "_known")
+    known = transcripts.select(key).distinct().withColumn(mark, F.lit(True))
     d = F.col("duration")
     status = (
-        F.when(F.col("_known").isNull(), "no_transcript").when(F.coalesce(T.clean(F.col("text")), F.lit("")) == "", "empty_text")
+        F.when(F.col(mark).isNull(), "no_transcript").when(F.coalesce(T.clean(F.col("text")), F.lit("")) == "", "empty_text")
         .when(d.isNull() | ~d.between(LEAST_SECONDS, MOST_SECONDS), "duration_filtered").otherwise("ok")
     )
-    return manifest.join(known, key, "left").withColumn("status", status).drop("_known")
+    return manifest.join(known, key, "left").withColumn("status", status).drop(mark)
 
 
 def shuffle_key(key: Column, seed: str = "42") -> Column:
@@ -49,8 +50,12 @@ def shuffle_key(key: Column, seed: str = "42") -> Column:
 
 def capped(rows: DataFrame, by: str, k: int, key: str = "doc_id", seed: str = "42") -> DataFrame:
     """The first k rows of each group in shuffled order; the group limit runs before the shuffle too."""
-    w = Window.partitionBy(F.coalesce(by, F.lit(""))).orderBy(shuffle_key(F.col(key), seed), key)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    return _first_rows(rows, Window.partitionBy(F.coalesce(by, F.lit(""))).orderBy(shuffle_key(F.col(key), seed), key), k)
+
+
+def _first_rows(rows: DataFrame, w, k: int) -> DataFrame:
+    (n,) = free_names(rows, "_n")
+    return rows.withColumn(n, F.row_number().over(w)).where(F.col(n) <= k).drop(n)
 
 
 def balanced(rows: DataFrame, base: list[str], share: float, key: str = "doc_id", seed: str = "42") -> DataFrame:
@@ -73,7 +78,8 @@ def balanced_capped(rows: DataFrame, base: list[str], share: float, k: int | Non
 
 def _base_capped(rows: DataFrame, base: list[str], most: int, key: str, seed: str) -> DataFrame:
     is_base = F.coalesce(F.col("lang").isin(base), F.lit(False))
-    return rows.where(~is_base).unionByName(numbered(rows.where(is_base), [], [shuffle_key(F.col(key), seed), key], "_at").where(F.col("_at") < most).drop("_at"))
+    (at,) = free_names(rows, "_at")
+    return rows.where(~is_base).unionByName(numbered(rows.where(is_base), [], [shuffle_key(F.col(key), seed), key], at).where(F.col(at) < most).drop(at))
 
 
 def sampling_mode(available: DataFrame, base: list[str], wanted: str, by: str = "lang") -> str:
@@ -89,7 +95,8 @@ def split_validation(rows: DataFrame, share: float, key: str = "doc_id", seed: s
     take = 0 if n < 2 or share <= 0 else max(1, min(n - 1, round(n * share)))
     if not take:
         return rows.withColumn("is_val", F.lit(False))
-    return numbered(rows, [], [shuffle_key(F.col(key), seed), key], "_at").withColumn("is_val", F.col("_at") < take).drop("_at")
+    (at,) = free_names(rows, "_at")
+    return numbered(rows, [], [shuffle_key(F.col(key), seed), key], at).withColumn("is_val", F.col(at) < take).drop(at)
 
 
 def references(rows: DataFrame, chance: str = "0.8", key: str = "audio_path", pool_limit: int | None = None) -> DataFrame:
@@ -117,8 +124,7 @@ def references(rows: DataFrame, chance: str = "0.8", key: str = "audio_path", po
 
 def pool(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """The first k rows of each group in that order; the group limit runs before the shuffle too."""
-    w = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    return _first_rows(rows, Window.partitionBy(by).orderBy(order), k)
 
 
 def cloning_pairs(rows: DataFrame, key: str, speaker: str, draws: int = 10) -> DataFrame:
@@ -151,9 +157,10 @@ def cached(manifest: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame,
     cache: one row a key. The manifest's rows without one are counted and go.
     """
     seen = Observation("cached")
-    both = manifest.join(cache.withColumn("_hit", F.lit(True)), key, "left")
-    counted = both.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_hit").isNull()).alias("misses"))
-    return counted.where("_hit").drop("_hit"), seen
+    hit = max(free_names(manifest, "_hit") + free_names(cache, "_hit"), key=len)
+    both = manifest.join(cache.withColumn(hit, F.lit(True)), key, "left")
+    counted = both.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(hit).isNull()).alias("misses"))
+    return counted.where(F.col(hit)).drop(hit), seen
 
 
 def refused(prompt: Column, most: int) -> Column:
@@ -164,11 +171,15 @@ def refused(prompt: Column, most: int) -> Column:
 
 
 def tolerant(rows: DataFrame, reason: Column, name: str = "errors") -> tuple[DataFrame, DataFrame, Observation]:
-    """(rows without a reason, rows with one and their reason, an observation of rows and errors for when the first has been computed)."""
+    """(rows without a reason, rows with one and their reason, an observation of rows and errors for when the first has been computed).
+
+    The reason is the column reason, replacing one of that name among the refused rows; good rows keep all of theirs.
+    """
     seen = Observation(name)
-    marked = rows.withColumn("reason", reason)
-    good = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("reason").alias("errors"))
-    return good.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull()), seen
+    (mark,) = free_names(rows, "_reason")
+    marked = rows.withColumn(mark, reason)
+    good = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(mark).alias("errors"))
+    return good.where(F.col(mark).isNull()).drop(mark), marked.where(F.col(mark).isNotNull()).drop("reason").withColumnRenamed(mark, "reason"), seen
 
 
 def training_rows(tokens: DataFrame, prompt: Column, most: int) -> DataFrame:
@@ -242,18 +253,22 @@ def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """rows with ids, those of its array of tokens in their order by vocabulary(piece, id), and unknown, the tokens without one.
 
     A row with an unknown token has null ids, so a caller can count and skip it. A null token's id is null, and it is not
-    among the unknown. vocabulary: one row a piece; its size decides whether tokens are looked up where they are or joined.
+    among the unknown. Of a piece with several ids the least counts. Columns named ids and unknown are replaced. The
+    vocabulary's size decides whether tokens are looked up where they are or joined; the result is the same.
     """
-    known = vocabulary.where("piece IS NOT NULL").select("piece", "id")
-    few = known.limit(SHIPPED_PIECES + 1).toArrow()
-    return _ids_looked_up(rows, tokens, known, few) if few.num_rows <= SHIPPED_PIECES and few.nbytes <= SHIPPED_BYTES else _ids_joined(rows, tokens, known)
+    known = vocabulary.where("piece IS NOT NULL").groupBy("piece").agg(F.min("id").alias("id"))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("piece") + 8), F.lit(0)).alias("bytes")).first()
+    given = rows.drop("ids", "unknown") if {"ids", "unknown"} & set(rows.columns) else rows
+    return _ids_looked_up(given, tokens, known) if size.n <= SHIPPED_PIECES and size.bytes <= SHIPPED_BYTES else _ids_joined(given, tokens, known)
 
 
-def _ids_looked_up(rows: DataFrame, tokens: str, vocabulary: DataFrame, known: pa.Table) -> DataFrame:
+def _ids_looked_up(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """token_ids without a shuffle."""
-    pieces, numbers = known["piece"].combine_chunks(), known["id"].combine_chunks()
+    known = vocabulary.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((known["piece"].combine_chunks(), known["id"].combine_chunks()))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, numbers = shared.value
         for b in batches:
             lists = b.column(tokens)
             flat = lists.flatten()
@@ -272,16 +287,17 @@ def _ids_looked_up(rows: DataFrame, tokens: str, vocabulary: DataFrame, known: p
 
 def _ids_joined(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """token_ids by a join of each token. Rows are numbered, so equal rows stay apart."""
-    given = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
-    each = given.select("_row", F.posexplode(tokens).alias("_at", "piece")).join(vocabulary, "piece", "left")
-    found = each.groupBy("_row").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("_ids"),
-        F.array_sort(F.collect_set(F.when(F.col("id").isNull(), F.col("piece")))).alias("_unknown"),
+    row, at, mine, unseen = free_names(rows, "_row", "_at", "_ids", "_unknown")
+    given = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "token-rows")
+    each = given.select(row, F.posexplode(tokens).alias(at, "piece")).join(vocabulary, "piece", "left")
+    found = each.groupBy(row).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(at, "id"))), lambda x: x["id"]).alias(mine),
+        F.array_sort(F.collect_set(F.when(F.col("id").isNull(), F.col("piece")))).alias(unseen),
     )
     none = F.array().cast("array<string>")
-    joined = given.join(found, "_row", "left").withColumn("unknown", F.coalesce("_unknown", none))
-    ids = F.when(F.size("unknown") == 0, F.coalesce("_ids", F.array().cast(found.schema["_ids"].dataType)))
-    return joined.withColumn("ids", ids).drop("_row", "_ids", "_unknown")
+    joined = given.join(found, row, "left").withColumn("unknown", F.coalesce(unseen, none))
+    ids = F.when(F.size("unknown") == 0, F.coalesce(mine, F.array().cast(found.schema[mine].dataType)))
+    return joined.withColumn("ids", ids).drop(row, mine, unseen)
 
 
 def token_ratio(rows: DataFrame, before: Column, after: Column) -> DataFrame:

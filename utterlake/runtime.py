@@ -135,6 +135,16 @@ def dealt_by_range(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.repartitionByRange(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartitionByRange(*keys)
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """bases, each with underscores put before it until no column of df has that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for base in bases:
+        while base.lower() in taken:
+            base = "_" + base
+        out.append(base)
+    return out
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name: str) -> DataFrame:
     """df with each row's 0-based place within its group, by ascending values of order; nulls form a group.
 
@@ -142,17 +152,19 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name:
     place is its place in its partition plus what its group has in the partitions before. The starts that are joined are
     one row for each pair of group and partition that occurs, at most groups plus partitions.
     """
-    keys = {f"_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    part, row, n, first, of, shift = free_names(df, "_part", "_row", "_n", "_first", "_of", "_shift")
+    keys = dict(zip(free_names(df, *(f"_k{i}" for i in range(len(order)))), (F.col(c) if isinstance(c, str) else c for c in order), strict=True))
+    of_group = free_names(df, *(f"_g{i}" for i in range(len(groups))))
     by = [*groups, *keys] or [F.lit(0)]
     dealt = dealt_by_range(df.withColumns(keys), *by).sortWithinPartitions(*by).drop(*keys)
-    rows = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
-    own = rows.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = own.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_part").alias("_of"), (before - F.col("_first")).alias("_shift"))
-    same = F.col("_part") == F.col("_of")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return rows.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_shift")).alias(name))
+    rows = materialize(dealt.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}), "numbered")
+    own = rows.groupBy(*groups, part).agg(F.count("*").alias(n), F.min(row).alias(first))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = own.select(*(F.col(g).alias(x) for g, x in zip(groups, of_group, strict=True)), F.col(part).alias(of), (before - F.col(first)).alias(shift))
+    same = F.col(part) == F.col(of)
+    for g, x in zip(groups, of_group, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(x))
+    return rows.join(starts, same).select(*(c for c in df.columns if c != name), (F.col(row) + F.col(shift)).alias(name))
 
 
 def let(value: Column, body) -> Column:
