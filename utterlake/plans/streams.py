@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from utterlake.operators import cutting
+from utterlake import sql
+from utterlake.operators import cutting, rates
+from utterlake.plans import catalogue, registry
 from utterlake.plans.catalogue import query
+from utterlake.plans.registry import _clean
 from utterlake.plans.words import _BLANKS, _heads, _heads_sql
-from utterlake.runtime import numbered
+from utterlake.runtime import numbered, scratch_path, table
 from utterlake.streaming import incremental
 
 
@@ -32,3 +35,34 @@ def event_windows(spark, d):
     totals = {"n": F.count(F.lit(1)), "total": F.sum("value"), "newest": F.max("event_id")}
     got = incremental.windows(spark, f"{d}/events.parquet", "ts", "6 hours", ["event_type"], totals)
     return got.select("window_start", "event_type", "n", F.round("total", 4).alias("total"), "newest")
+
+
+@query("SELECT kind, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (text IS NULL OR length(text) < 40) AS BIGINT) AS errors, true AS timed FROM documents, (SELECT unnest(['batch', 'stream']) AS kind) GROUP BY 1")
+def run_rates(spark, d):
+    """Rows, errors and rates of a batch and of a stream over the documents, as listeners tell them."""
+    short = F.when(F.coalesce(F.length("text"), F.lit(0)) < 40, "short")
+    with rates.Rates(spark) as seen:
+        rates.watched(table(spark, d, "documents").select("text"), "documents", short).write.format("noop").mode("overwrite").save()
+        stream = rates.watched(incremental.files_of(spark, f"{d}/documents.parquet").select("text"), "documents", short)
+        stream.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "rates")).trigger(availableNow=True).start().awaitTermination()
+        found = seen.table().where("name = 'documents'")
+    return found.groupBy("kind").agg(F.sum("rows").alias("rows"), F.sum("errors").alias("errors"), (F.max("rows_per_second") > 0).alias("timed"))
+
+
+@query(catalogue.ORACLES["text_chunks"])
+def sql_chunks(spark, d):
+    """The chunks of all documents in plain SQL."""
+    sql.register(spark, "ul_")
+    return spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM {docs} d, LATERAL ul_chunks(d.text) c", docs=table(spark, d, "documents"))
+
+
+@query(f"""SELECT doc_id, {registry._SCRIPT_CASE} AS script, md5({_clean('text')}) AS clean_md5, len({registry._SENT.format(_clean('text'))}) AS sentences, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS hash,
+ split_part('datasets/' || lang || '/x', '/', 2) AS lang, '<|bicodec_global_' || doc_id || '|>' AS token FROM documents""")
+def sql_functions(spark, d):
+    """Text functions in plain SQL."""
+    sql.register(spark, "ul_")
+    return spark.sql(
+        """SELECT doc_id, ul_script(text) AS script, md5(ul_clean(text)) AS clean_md5, cast(size(ul_split_sentences(ul_clean(text))) AS BIGINT) AS sentences, ul_hash32(text) AS hash,
+        ul_lang_of_path(concat('datasets/', lang, '/x'), 'datasets') AS lang, ul_render_tokens(ul_parse_tokens(ul_render_tokens(array(cast(doc_id AS INT)), 'global'), 'global'), 'global') AS token FROM {docs}""",
+        docs=table(spark, d, "documents"),
+    )
