@@ -1,6 +1,6 @@
 """PII: keyed, type-consistent surrogates.
 
-Names are found after a title, and then wherever the same word stands in the document; each word of a name has a surrogate
+Names are found after a title or several, and then wherever the same word stands in the document; each word of a name has a surrogate
 of its own, so "Mr. John Smith", "Mr. Smith" and "Smith" stay one person. It is made of syllables of its script: a given name
 of the title's gender (else of its ending's), or a family name. Names in scripts without a table of syllables, and all other
 entities, are permuted in their format: signs within their own alphabet, by a keyed permutation of all strings of that
@@ -15,6 +15,7 @@ and house numbers are too few to keep from being some other person's.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import secrets
 import sys
@@ -41,8 +42,21 @@ _TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m"
 #: Signs that go with the letter before, as vowels do in many scripts.
 _SIGNS_OF_LETTERS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))
 _LETTER = rf"(?:[^\W\d_]|[{_SIGNS_OF_LETTERS}])"
-_WORD = rf"[^\W\d_a-z]{_LETTER}*(?:[-'’]{_LETTER}+)*"
+_WORD = rf"[^\W\d_a-z]{_LETTER}*(?:[-'’](?![sS]\b){_LETTER}+)*"
 _STREETS = r"Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square"
+_ROADS = r"straße|strasse|gasse|allee|platz|weg|str\."
+_BEFORE_STREETS = r"(?:rue|avenue|boulevard|place|calle|avenida|plaza|via) (?:(?:de|la|le|les|du|des|del|los|las) |d['’]|l['’])*"
+#: A title as listed, in capitals, or, with its dot, in small letters; degrees and more titles may follow it.
+_TITLE = "|".join([*_TITLES, *(t.upper() for t in _TITLES), *(rf"{t}(?=\.)" for t in ("mr", "mrs", "ms", "dr", "prof"))])
+_DEGREES = r"med|phil|jur|rer|nat|pol|oec|habil|Ing|Dipl|h\. ?c"
+#: Months by language.
+_MONTHS = {
+    "en": "January February March April May June July August September October November December".split(), "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(), "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_MONTH = "|".join(sorted({m for of in _MONTHS.values() for m in of}, key=len, reverse=True))
+_BORN = r"(?:\b(?=[BbDdGgNn])(?:[Bb]orn(?: on)?|DOB|[Dd]ate of birth|[Gg]eboren(?: am)?|[Nn]ée? le|[Nn]acid[oa] el):? )"
 _ENTITY = re.compile(
     r"(?P<email>[\w+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
@@ -51,19 +65,27 @@ _ENTITY = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<secret>\b(?=[\w-]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b|\b(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{16,}\b)"
-    r"|(?:\b(?:[Bb]orn(?: on)?|DOB|[Dd]ate of birth|geboren am|née? le|nacid[oa] el):? )(?P<birth>\d{4}[./-]\d{1,2}[./-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!\w)"
+    rf"|{_BORN}(?:(?:the )?(?P<born>\d{{1,2}}(?:st|nd|rd|th|er|\.)? (?:of |de )?(?:{_MONTH})\.?,? (?:de |del )?\d{{4}}|(?:{_MONTH})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})(?!\w)"
+    r"|(?P<birth>\d{4}[./-]\d{1,2}[./-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!\w))"
     r"|(?:\b(?:[Pp]assport|Reisepass|[Pp]asseport|[Pp]asaporte)(?: (?:no|number|nr|numéro|número))?[.:#]? ?)(?P<passport>[A-Z]{0,2}\d{6,9})(?!\w)"
-    rf"|(?P<house>(?<![\w.-])\d{{1,5}}) (?P<street>{_WORD}(?: {_WORD})?)(?= (?:{_STREETS})\b)"
-    rf"|(?:\b(?P<title>{'|'.join(_TITLES)})\.? (?:[^\W\d_]\. ?)*)(?P<name>{_WORD}(?: {_WORD}){{0,2}})"
+    r"|(?:\b(?=[TtPpFfMmCc])(?:[Tt]el|[Pp]hone|[Tt]elefon|[Tt]éléphone|[Tt]eléfono|[Ff]ax|[Mm]obile?|[Cc]all)\.?:? )(?P<national>\(?0\d{1,5}\)?(?:[ ./-]?\d{2,5}){1,4})(?![\w-])"
+    rf"|(?P<house>(?<![\w.-])\d{{1,5}}),? (?P<street>{_WORD}(?: {_WORD})?)(?= (?:{_STREETS})\b)"
+    rf"|(?P<number>(?<![\w.-])\d{{1,5}}),? {_BEFORE_STREETS}(?P<rue>{_WORD}(?: {_WORD})?)"
+    rf"|(?:\b(?=[DFHMPSdmp])(?P<title>(?:{_TITLE})(?:\.? (?:{_TITLE}|{_DEGREES})\b)*)\.? (?:[^\W\d_]\. ?)*)(?P<name>{_WORD}(?: {_WORD}){{0,2}})"
 )
 #: Every entity but these holds a digit or an @: names follow a title, and some secrets start like this.
-_SIGNS, _TITLED = re.compile(r"[@\d]"), tuple(f"{t}{end}" for t in _TITLES for end in (" ", "."))
+_SIGNS, _TITLED = re.compile(r"[@\d]"), tuple(f"{t}{end}" for x in _TITLES for t in (x, x.upper(), *([x.lower()] if x in ("Mr", "Mrs", "Ms", "Dr", "Prof") else [])) for end in (" ", "."))
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+_ROAD = re.compile(rf"(?P<road>[^\W\d_a-z]{_LETTER}{{2,}}?)(?:{_ROADS}) (?P<plate>\d{{1,4}})(?!\w)")
+_ROAD_ENDS = tuple(_ROADS.replace("\\", "").split("|"))
+#: Names that are plain words too: at the start of a sentence, alone, they are taken for the word.
+_PLAIN_WORDS = frozenset("will may mark bill read rose grant hope grace art frank rich young long white brown black green june april august rob sue pat drew chase faith joy dawn summer king price".split())
 _LETTERS_ONLY = ("sk", "pk", "ghp", "AKIA")
-_DIGITS_AND_MARKS = ("phone", "ssn", "card", "iban")
+_DIGITS_AND_MARKS = ("phone", "national", "ssn", "card", "iban")
 _NAMES = ("given_f", "given_m", "given", "family")
 #: What kinds are shown as, and those that are kept apart together: a name's surrogate is no other name's, of any kind.
-_SHOWN = dict.fromkeys(_NAMES, "name") | {"house": "address"}
-_UNCHECKED = ("birth", "house")
+_SHOWN = dict.fromkeys(_NAMES, "name") | {"house": "address", "born": "birth", "national": "phone", "ip6": "ip"}
+_UNCHECKED = ("birth", "born", "house")
 #: Scripts written without blanks between words.
 _UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN")
 #: Alphabets that a sign is shifted within; letters and digits of none of them have those of _others().
@@ -92,6 +114,26 @@ _SYLLABLES = {
         "जि ति नि मि या रा रि ला वि शि सु".split(),
         {"given_f": "ता ना नी या ली मा".split(), "given_m": "न श त ज र व".split(), "family": "कर दास नाथ पाल राव वाल सेन".split()},
     ),
+    "CJK": (
+        "王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林 何 郭 马 罗".split(),
+        "文 志 建 国 明 春 玉 海 永 新 家 子 天 光 金".split(),
+        {"given_f": "芳 娜 敏 静 丽 燕 梅 兰".split(), "given_m": "伟 强 军 勇 杰 涛 平 刚".split(), "family": "山 田 村 川 华 生 林 成".split()},
+    ),
+    "HANGUL": (
+        "김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황".split(),
+        "민 서 지 현 수 준 예 도 하 은 태 성".split(),
+        {"given_f": "희 영 미 숙 아 연 진".split(), "given_m": "호 철 우 혁 훈 석 환".split(), "family": "민 석 준 현 원 규 빈".split()},
+    ),
+    "ARABIC": (
+        "أحـ سعـ كر جا فا سل خا را ها نو يا عما".replace("ـ", "").split(),
+        "ري سي لا نا با دا ما وا".split(),
+        {"given_f": "مة رة لى نة ية دة".split(), "given_m": "مد يد يم بر دي مان لد شد".split(), "family": "اوي اني وري يني اسي ادي".split()},
+    ),
+    "HEBREW": (
+        "אב דו יו נת שמ אל גב מי רא טל נו עמ".split(),
+        "רי לי נא דו מי שא בי".split(),
+        {"given_f": "לה נה ית רה יה".split(), "given_m": "אל ון יד ור רם".split(), "family": "וביץ ברג שטין מן זון סקי".split()},
+    ),
 }
 
 
@@ -133,7 +175,28 @@ def canonical(kind: str, value: str) -> str:
         return "".join(c for c in _lower(value) if c.isalnum())
     if kind in ("ip", "birth"):
         return re.sub(r"\d+", lambda m: str(int(m[0])), value)
-    return _lower(value)
+    if kind == "born":
+        day, year = sorted(map(int, re.findall(r"\d+", value)))
+        return f"{year}-{_month(value)[1] + 1}-{day}"
+    return ipaddress.IPv6Address(value).exploded if kind == "ip6" else _lower(value)
+
+
+def _month(value: str) -> tuple[str, int, str]:
+    """(language, place, name as it is written) of the month in a date in words."""
+    name = re.search(_MONTH, value)[0]
+    return next((of, names.index(name), name) for of, names in _MONTHS.items() if name in names)
+
+
+def iban_digits(entity: str) -> str:
+    """The two check digits of a lower-case IBAN, whatever stands in their place."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in entity[4:] + entity[:2] + '00')) % 97:02}"
+
+
+def _address6(key: bytes, entity: str, attempt: int) -> str:
+    """The first group says what the address is for, and stays."""
+    digits = list(entity.replace(":", "")[4:])
+    new = entity[:4] + "".join(_shifted(key, ("ip6", attempt), digits, [_HEX] * len(digits)))
+    return ":".join(new[i : i + 4] for i in range(0, 32, 4))
 
 
 @lru_cache(100_000)
@@ -210,8 +273,8 @@ def name_level(names: int) -> int:
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, level: int = 0) -> str:
     """entity: canonical. The result is canonical too, and attempt // TIGHT signs (or syllables) longer, but for dates and network addresses."""
-    if kind in ("ip", "birth", "house"):
-        made = {"ip": _address, "birth": _date, "house": lambda k, e, a: _kept(k, kind, e, a, ())}[kind](key, entity, attempt)
+    if kind in ("ip", "ip6", "birth", "born", "house"):
+        made = {"ip": _address, "ip6": _address6, "birth": _date, "born": _date, "house": lambda k, e, a: _kept(k, kind, e, a, ())}[kind](key, entity, attempt)
         return surrogate(key, kind, entity, attempt + 1) if made == entity and attempt < TIGHT else made
     if _table(kind, entity):
         return _named(key, kind, entity, attempt, level)
@@ -224,8 +287,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, level: int =
         fixed = {0, len(entity) - 1}
     elif kind == "phone":  # the country's code, and the exchange 555 that stands for no line
         fixed = {*range(max(0, len(entity) - 10)), *(range(len(entity) - 7, len(entity) - 4) if entity[-7:-4] == "555" else ())}
-    elif kind == "iban":
-        fixed = {0, 1}
+    elif kind == "national":
+        fixed = {0}
+    elif kind == "iban":  # the country stays, the check digits follow from the account
+        out = _kept(key, kind, entity, attempt, {0, 1, 2, 3})
+        return out[:2] + iban_digits(out) + out[4:]
     elif kind == "secret":  # what says whose key it is
         fixed = set(range(next((len(p) for p in map(str.lower, _LETTERS_ONLY) if entity.startswith(p)), 0)))
     out = _kept(key, kind, entity, attempt, fixed)
@@ -251,6 +317,16 @@ def _laid_out(kind: str, value: str, new: str) -> str:
         parts = iter([(x if x else "") for x in re.findall(r"\d+", new)])
         padded = (next(parts).zfill(len(x) if x[0] == zero(x) else 1).translate({48 + d: ord(zero(x)) + d for d in range(10)}) for x in found)
         return re.sub(r"\d+", lambda m: next(padded), value)
+    if kind == "born":
+        year, month, day = new.split("-")
+        own, _, name = _month(value)
+        named = _MONTHS[own][int(month) - 1]
+        old_day, old_year = sorted(re.findall(r"\d+", value), key=int)
+        return re.sub(rf"\d+|{_MONTH}", lambda m: {old_year: year, old_day: day.zfill(len(old_day)) if old_day[0] == "0" else day}.get(m[0], named if m[0] == name else m[0]), value)
+    if kind == "ip6":
+        made = ipaddress.IPv6Address(new)
+        text = str(made) if "::" in value else ":".join(f"{int(x, 16):x}" for x in made.exploded.split(":"))
+        return text.upper() if value.isupper() else text
     cased = lambda c, n: n.upper() if c.isupper() and len(n.upper()) == 1 else n
     if _table(kind, canonical(kind, value)):
         capital = "".join(x.upper() if len(x.upper()) == 1 else x for x in new)
@@ -272,6 +348,21 @@ def _mentions(words: dict[str, str]) -> re.Pattern:
     return re.compile("|".join(edge(f, 0, r"(?<![\w-])") + re.escape(f) + edge(f, -1, rf"(?![\w{_SIGNS_OF_LETTERS}])") for f in forms))
 
 
+def _plain(text: str, m: re.Match) -> bool:
+    """Whether a mention is rather the plain word that it also is: it begins a sentence, with no name after it."""
+    if _lower(m[0]) not in _PLAIN_WORDS or m[0].isupper():
+        return False
+    before, after = text[max(0, m.start() - 3) : m.start()].rstrip(), text[m.end() : m.end() + 2]
+    return (not before or before[-1] in ".!?:\"“”\n") and not (after[:1] == " " and after[1:].isupper())
+
+
+def _is_address(value: str) -> bool:
+    try:
+        return any(c.isdigit() for c in value) and ipaddress.IPv6Address(value) is not None
+    except ValueError:
+        return False
+
+
 def _words(m: re.Match, group: str) -> Iterator[tuple[str, int, int]]:
     start = m.start(group)
     for word in re.finditer(r"\S+", m[group]):
@@ -282,20 +373,28 @@ def _words(m: re.Match, group: str) -> Iterator[tuple[str, int, int]]:
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each entity, in order; a name is one for each of its words."""
-    if not text or not (_SIGNS.search(text) or any(t in text for t in _TITLED) or any(x in text for x in _LETTERS_ONLY)):
+    if not text or not (_SIGNS.search(text) or any(t in text for t in _TITLED) or any(x in text for x in _LETTERS_ONLY) or "::" in text):
         return []
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = [(*m.span(), "ip6") for m in _IP6.finditer(text) if _is_address(m[0])] if text.count(":") > 1 else []
     names: dict[str, str] = {}
+    if any(x in text for x in _ROAD_ENDS):
+        for m in _ROAD.finditer(text):
+            found += [(*m.span("road"), "family"), (*m.span("plate"), "house")]
+    wide = list(found)
     for m in _ENTITY.finditer(text):
         kind = m.lastgroup
+        if any(a < m.end() and m.start() < b for a, b, _ in wide):
+            continue
         if kind == "name":
             words = list(_words(m, "name"))
+            gender = next((g for t in re.findall(r"\w+", m["title"]) if (g := _TITLES.get(t.capitalize()))), "")
             for i, (word, start, end) in enumerate(words):
-                own = "family" if i == len(words) - 1 else f"given_{gender}" if (gender := _TITLES[m["title"]]) else "given"
+                own = "family" if i == len(words) - 1 else f"given_{gender}" if gender else "given"
                 found.append((start, end, names.setdefault(_lower(word), own)))
-        elif kind == "street":
-            found.append((*m.span("house"), "house"))
-            found += [(start, end, "family") for _, start, end in _words(m, "street")]
+        elif kind in ("street", "rue"):
+            number, street = {"street": ("house", "street"), "rue": ("number", "rue")}[kind]
+            found.append((*m.span(number), "house"))
+            found += [(start, end, "family") for _, start, end in _words(m, street)]
         elif not (kind == "ip" and any(int(x) > 255 for x in m[0].split("."))) and not (kind == "card" and not luhn(canonical("card", m[0]))):
             found.append((*m.span(kind), kind))
     if names:
@@ -304,7 +403,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         for m in _mentions(dict.fromkeys(text[s:e] for s, e, k in taken if k in _NAMES and _lower(text[s:e]) in names)).finditer(text):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            if at == len(taken) or taken[at][0] >= m.end():
+            if (at == len(taken) or taken[at][0] >= m.end()) and not _plain(text, m):
                 spans.append((*m.span(), names[_lower(m[0])]))
         found += spans
     return [(kind, start, end) for start, end, kind in sorted(found)]
