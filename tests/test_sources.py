@@ -85,7 +85,54 @@ def test_shards_and_flat_cache(spark, tmp_path):
     flat = f"file://{tmp_path}/flat"
     for rows in ([("a", 1), ("b", 2)], [("b", 9), ("c", 3)]):
         sinks.save_flat_cache(spark.createDataFrame(rows, "k string, v int"), flat, "k")
-    assert {(r.k, r.v) for r in spark.read.parquet(flat).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    assert {(r.k, r.v) for r in sinks.read_swapped(spark, flat).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def _broken(*args):
+    raise OSError("the driver is lost")
+
+
+def test_a_lost_driver_leaves_the_former_table(spark, tmp_path, monkeypatch):
+    flat, rows = f"file://{tmp_path}/flat", lambda *x: spark.createDataFrame(x, "k string, v int")
+    got = lambda: {(r.k, r.v) for r in sinks.read_swapped(spark, flat).collect()}
+    assert sinks.read_swapped(spark, flat) is None
+    sinks.save_flat_cache(rows(("a", 1)), flat, "k")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_text", _broken)  # the new version is written, the pointer to it is not
+        with pytest.raises(OSError):
+            sinks.save_flat_cache(rows(("b", 2)), flat, "k")
+    assert got() == {("a", 1)}
+    sinks.save_flat_cache(rows(("b", 2)), flat, "k")
+    assert got() == {("a", 1), ("b", 2)}
+    sinks.save_manifest(rows(("c", 3)), flat)
+    assert got() == {("c", 3)} and len([x for x in (tmp_path / "flat").iterdir() if x.name.startswith("version=")]) == 2
+    spark.createDataFrame([("old", 1)], "k string, v int").write.parquet(f"file://{tmp_path}/plain")
+    sinks.save_flat_cache(rows(("new", 2)), f"file://{tmp_path}/plain", "k")
+    assert sinks.read_swapped(spark, f"file://{tmp_path}/plain").count() == 2
+
+
+def test_an_append_that_is_repeated_adds_nothing(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/shards"
+    ids = lambda: sorted((r.shard, r.id) for r in sinks.read_shards(spark, at).collect())
+    sinks.append_shards(spark.range(5), at, ["id"], 2, token="one")
+    assert sinks.append_shards(spark.range(5), at, ["id"], 2, token="one") == 3 and len(ids()) == 5
+    moves, rename = [], sinks.rename
+
+    def two_moves(*args):
+        if len(moves) == 2:
+            _broken()
+        moves.append(args)
+        rename(*args)
+
+    for broken in ("write_text", "rename"):  # lost before a shard is moved in, and between two of them
+        with monkeypatch.context() as m:
+            m.setattr(sinks, broken, _broken if broken == "write_text" else two_moves)
+            with pytest.raises(OSError):
+                sinks.append_shards(spark.range(10, 18), at, ["id"], 2, token="two")
+        assert len(ids()) == 5 + 2 * len(moves)
+    assert sinks.append_shards(spark.range(10, 18), at, ["id"], 2, token="two") == 7
+    assert ids() == [(i // 2, i) for i in range(5)] + [(3 + i // 2, 10 + i) for i in range(8)]
+    assert sinks.append_shards(spark.range(20, 21), at, ["id"], 2) == 8
 
 
 def test_train_and_clone(spark, tmp_path):

@@ -88,6 +88,40 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a file or folder; an error where new exists."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    fs = a.getFileSystem(conf)
+    if fs.exists(b) or not fs.rename(a, b):
+        raise FileExistsError(f"{old} cannot become {new}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that replaces the one at path in one step: readers see the old text or the new one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, final = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    out = final.getFileSystem(conf).create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(new, final, options)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What a small text file holds; None where there is none."""
+    if not exists(spark, path):
+        return None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 @atexit.register
 def _release_all() -> None:
     for path, spark in list(_live.items()):
