@@ -142,12 +142,22 @@ def _oracle() -> str:
     for by in BY:
         parts.append(f"t_{by} AS (SELECT {by}, pow(own, {TEMPER}) / sum(pow(own, {TEMPER})) OVER () * sum(own) OVER () AS to_{by} FROM (SELECT {by}, CAST(sum(tokens) AS DOUBLE) AS own FROM c GROUP BY 1))")
     parts.append("w0 AS (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    step = 0
-    for _ in range(SWEEPS):
-        for by in BY:
-            step += 1
-            parts.append(f"w{step} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {by}) > 0 THEN weight * to_{by} / sum(weight) OVER (PARTITION BY {by}) ELSE 0 END AS weight FROM w{step - 1})")
-    parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS rate FROM w{step})")
+    step, last = 0, "true"
+    taken = []
+    for check in range(CHECKS):
+        for _ in range(SWEEPS):
+            for by in BY:
+                step += 1
+                parts.append(f"w{step} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {by}) > 0 THEN weight * to_{by} / sum(weight) OVER (PARTITION BY {by}) ELSE 0 END AS weight FROM w{step - 1} WHERE {last})")
+        last = "true"
+        if check + 1 < CHECKS:  # sweeps go on where a marginal is still off
+            gaps = ", ".join(f"(SELECT max(o) / sum(t) FROM (SELECT abs(sum(weight) - max(to_{by})) AS o, max(to_{by}) AS t FROM w{step} GROUP BY {by}))" for by in BY)
+            parts.append(f"g{check} AS MATERIALIZED (SELECT coalesce(greatest({gaps}), 0) <= {TOLERANCE} AS done)")
+            taken.append(f"SELECT * FROM w{step} WHERE (SELECT done FROM g{check})")
+            last = f"NOT (SELECT done FROM g{check})"
+        else:
+            taken.append(f"SELECT * FROM w{step}")
+    parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS rate FROM ({' UNION ALL '.join(taken)}))")
     times = f"{KEEP} * rate"
     return f"""WITH {", ".join(parts)}, m AS (SELECT d.*, rate, CAST(floor({times}) AS BIGINT)
   + CASE WHEN CAST(CAST('0x' || substr(md5('{SEED}:' || name), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < {times} - floor({times}) THEN 1 ELSE 0 END AS copies FROM d JOIN r USING (source, lang, topic))
