@@ -64,9 +64,9 @@ def test_cuts_are_the_longest_pieces():
     vocabulary = {p: i for i, p in enumerate(sorted(pieces))}
     trie = cutting.Trie(list(vocabulary), list(vocabulary.values()))
     words = ["".join(rng.choices("abcé漢😀x", k=rng.randint(0, 12))) for _ in range(500)]
-    assert trie.cut(words) == [plain_cut(w, vocabulary) for w in words]
-    assert cutting.Trie([], []).cut(["ab", ""]) == [[("a", None), ("b", None)], []]
-    assert cutting.Trie(["a", "a", ""], [5, 3, 1]).cut(["a"]) == [[("a", 3)]]
+    assert [list(zip(p, i, strict=True)) for p, i in trie.cut(words)] == [plain_cut(w, vocabulary) for w in words]
+    assert cutting.Trie([], []).cut(["ab", ""]) == [(["a", "b"], [None, None]), ([], [])]
+    assert cutting.Trie(["a", "a", ""], [5, 3, 1]).cut(["a"]) == [(["a"], [3])]
 
 
 def test_texts_are_cut_within_words(spark):

@@ -16,7 +16,8 @@ from utterlake.functions.text import INDIC_DIGITS, SCHEMES, _replace_each, clean
 from utterlake.runtime import let
 
 NUMBER = r"(?U)-?\d+(?:\.\d+)?"
-LATIN = r"(?U)\b[a-zA-Z]+\b"
+#: Digits as signs that Unicode keeps free of meaning.
+_HIDDEN = {48 + d: 0xFDD0 + d for d in range(10)}
 _PLAIN = r"^-?[0-9]{1,15}(\.[0-9]+)?$"
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -139,29 +140,29 @@ def replaced(text: Column, own: Column, words: dict[str | None, Callable[[Column
 
     What a verbaliser says is not read again, so its words are not transliterated.
     """
-    patterns = [NUMBER] * bool(words) + [LATIN] * (mapper is not None)
-    if not patterns:
-        return text
-    pattern = "|".join(patterns)
-
     def said(m: Column) -> Column:
         out = m
         for x, say in words.items():
             out = F.when(F.lit(True) if x is None else own == x, say(m)).otherwise(out)
         return out
 
+    verbal = lambda t: _replace_each(t, NUMBER, said) if words else t
     if mapper is None:
-        return _replace_each(text, pattern, said)
+        return verbal(text)
+
+    @F.pandas_udf("string")
+    def mapped(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], str] = {}  # words of a batch come often
+
+        def one(word: str, lang: str) -> str:
+            if (word, lang) not in known:
+                known[word, lang] = _mapped(mapper, word, lang).translate(_HIDDEN)
+            return known[word, lang]
 
-    @F.pandas_udf("array<string>")
-    def mapped(found: pd.Series, langs: pd.Series) -> pd.Series:
-        one = lambda m, x: _mapped(mapper, m, x) if m[0].isascii() and m[0].isalpha() else None
-        return pd.Series([None if ms is None else [one(m, x) for m in ms] for ms, x in zip(found, langs, strict=True)], dtype=object)
+        return pd.Series([None if t is None else re.sub(r"\b[a-zA-Z]+\b", lambda m, x=x: one(m[0], x), t) for t, x in zip(texts, langs, strict=True)], dtype=object)
 
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    new = F.zip_with(found, mapped(found, own), lambda m, word: F.coalesce(word, said(m)))
-    pieces = F.zip_with(between, new, lambda b, m: F.concat(b, F.coalesce(m, F.lit(""))))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(pieces, "")).otherwise(text)
+    # a mapper's digits are no numbers of the text: they pass the verbaliser as signs that no text holds
+    return let(mapped(text, own), lambda t: F.translate(verbal(t), "".join(map(chr, _HIDDEN.values())), "0123456789")) if words else F.translate(mapped(text, own), "".join(map(chr, _HIDDEN.values())), "0123456789")
 
 
 def processed(text: Column, lang: str | Column | None = "en", words: dict[str, Callable[[Column], Column]] | Callable[[Column], Column] | None = None, mapper: Callable[[str, str], str] | None = None) -> Column:

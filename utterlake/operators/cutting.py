@@ -6,7 +6,9 @@ The longest piece at every place is found level by level; a walk then takes the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 #: A vocabulary of up to so many bytes goes to the workers.
 SHIPPED_BYTES = 64 << 20
-_SPACE = " \t\n\x0b\x0c\r"
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 class Trie:
@@ -69,19 +71,20 @@ class Trie:
             size[places[ends]], found[places[ends]] = level + 1, self.ids[node[ends]]
         return size, found
 
-    def cut(self, texts: list[str]) -> list[list[tuple[str, int | None]]]:
-        """(piece, id) from the left, always the longest; a letter that begins no piece stands alone and has no id."""
+    def cut(self, texts: list[str]) -> list[tuple[list[str], list[int | None]]]:
+        """(pieces, ids) of each text from the left, always the longest; a letter that begins no piece stands alone and has no id."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
         ends = np.cumsum(sizes)
         size, found = self.longest(code, np.repeat(ends, sizes) - np.arange(len(code)))
         steps, ids, out = np.maximum(size, 1).tolist(), found.tolist(), []
         for text, start, end in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True):
-            at, own = start, []
+            at, pieces, own = start, [], []
             while at < end:
-                own.append((text[at - start : at - start + steps[at]], ids[at] if ids[at] >= 0 else None))
+                pieces.append(text[at - start : at - start + steps[at]])
+                own.append(ids[at] if ids[at] >= 0 else None)
                 at += steps[at]
-            out.append(own)
+            out.append((pieces, own))
         return out
 
 
@@ -102,23 +105,17 @@ def cut_texts(rows: DataFrame, text: str, vocabulary: DataFrame, kept: int = 200
     at = others.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, seen = Trie(*shared.value), {}
+        trie, pieces_of, ids_of = Trie(*shared.value), {}, {}
         for b in batches:
-            words = [None if t is None else [w for w in _words(t) if w] for t in b.column(at).to_pylist()]
-            if len(seen) > kept:
-                seen.clear()
-            new = list(set().union(*(w for w in words if w)).difference(seen))
-            seen.update(zip(new, trie.cut(new), strict=True))
-            both = [None if ws is None else [x for w in ws for x in seen[w]] for ws in words]
-            pieces, ids = ([None if x is None else [p[i] for p in x] for x in both] for i in (0, 1))
+            words = [None if t is None else _WORD.findall(t) for t in b.column(at).to_pylist()]
+            if len(ids_of) > kept:
+                pieces_of.clear()
+                ids_of.clear()
+            new = list(set().union(*(w for w in words if w)).difference(ids_of))
+            for w, (p, i) in zip(new, trie.cut(new), strict=True):
+                pieces_of[w], ids_of[w] = p, i
+            pieces, ids = ([None if ws is None else list(chain.from_iterable(map(of.__getitem__, ws))) for ws in words] for of in (pieces_of, ids_of))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pieces, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.int64()))], names=[*b.schema.names, "pieces", "ids"])
 
     given = rows.select(*others)
     return given.mapInArrow(run, StructType([*given.schema.fields, StructField("pieces", ArrayType(StringType())), StructField("ids", ArrayType(LongType()))]))
-
-
-def _words(text: str) -> list[str]:
-    return text.translate(_TO_BLANK).split(" ")
-
-
-_TO_BLANK = str.maketrans(dict.fromkeys(_SPACE, " "))

@@ -24,7 +24,7 @@ def codec_mask(spark, d):
     n = words.count()
     codes = spark.range(_CODES).select(F.concat(F.lit("<|bicodec_semantic_"), F.col("id"), F.lit("|>")).alias("piece"), (F.col("id") + n).alias("id"))
     bits = T.bitmap(C.allowed_ids(words.unionByName(codes), F.startswith("piece", F.lit("<|bicodec_semantic_"))))
-    scores = table(spark, d, "embeddings").select("vec_id", F.expr(f"transform(sequence(0L, {n + _CODES - 1}L), i -> get(embedding, cast((i * 7 + vec_id) % 64 as int)))").alias("scores"))
+    scores = table(spark, d, "embeddings").repartition("vec_id").select("vec_id", F.expr(f"transform(sequence(0L, {n + _CODES - 1}L), i -> get(embedding, cast((i * 7 + vec_id) % 64 as int)))").alias("scores"))
     masked = scores.select("vec_id", T.allowed_scores(F.col("scores"), bits).alias("m")).withColumn("best", F.array_max("m"))
     allowed = F.size(F.filter("m", lambda x: x > float("-inf"))).cast("bigint")
     return masked.select("vec_id", allowed.alias("allowed"), (F.array_position("m", F.col("best")) - 1).alias("best_id"), F.round("best", 6).alias("best_score"))
