@@ -124,11 +124,9 @@ def chunks(parts: Column, target: int = CHUNK_CHARS) -> Column:
 
     def add(acc: Column, s: Column) -> Column:
         full = (acc["n"] > 0) & (acc["n"] + F.length(s) > most)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
-            F.when(full | (acc["n"] == 0), s).otherwise(F.concat(acc["open"], F.lit(" "), s)).alias("open"),
-            F.when(full, F.length(s)).otherwise(acc["n"] + F.length(s)).alias("n"),
-        )
+        merged = F.when(acc["n"] == 0, s).otherwise(F.concat(acc["open"], F.lit(" "), s))
+        cut = F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), s.alias("open"), F.length(s).alias("n"))
+        return F.when(full, cut).otherwise(F.struct(acc["done"].alias("done"), merged.alias("open"), (acc["n"] + F.length(s)).alias("n")))
 
     # an append copies what is done, so blocks of sentences are folded by themselves and their chunks joined: n * sqrt(n), not n * n
     def block(acc: Column, i: Column) -> Column:
