@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,24 @@ def test_all_places_at_once_agree_with_single_ones():
     code = np.array([ord(c) for c in "abcab"], np.int64)
     size, ids = trie.longest(code, 5 - np.arange(5))
     assert size.tolist() == [3, 2, 0, 2, 0] and ids.tolist() == [2, 3, -1, 1, -1]
+
+
+def test_workers_cut_slices_of_a_batch(spark, monkeypatch):
+    """A batch is cut a slice at a time, whatever it holds, and gives all its rows in order."""
+    texts = ["ab " * 1000, None, "", "abc", "é😀 " * 500, "ab " * 5000, "c"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["n", "text"])
+    monkeypatch.setattr(cutting, "SLICE_BYTES", 4000)
+    parts = list(cutting._slices(batch, 1))
+    assert len(parts) > 6 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows and sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) <= 4000 for p in parts)
+    assert [p.num_rows for p in cutting._slices(batch.slice(0, 0), 1)] in ([], [0])
+    counts = spark.createDataFrame([(2, [1, 2, 3]), (None, None), (4, [])], "b int, a array<int>")
+    assert C.token_ratio(counts, F.col("b"), F.col("a")).first() == (3, 6, 3, 2.0)
+
+
+def test_columns_are_the_cuts():
+    rng = random.Random(2)
+    trie = cutting.Trie(["a", "ab", "é漢", "漢😀b", "abcab"], [7, 1, 2, 3, 4])
+    for words in ([], [""], ["".join(rng.choices("abcé漢😀x", k=rng.randint(0, 12))) for _ in range(500)], ["abcé" * 5000, "x"]):
+        pieces, ids = trie.columns(words)
+        assert list(zip(pieces.to_pylist(), ids.to_pylist(), strict=True)) == trie.cut(words)

@@ -301,8 +301,10 @@ def _ids_joined(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFram
 
 
 def token_ratio(rows: DataFrame, before: Column, after: Column) -> DataFrame:
-    """One row: lines, tokens before and after (arrays of tokens), and how many of the former one of the latter stands for."""
-    sums = rows.select(F.size(before).cast("long").alias("b"), F.size(after).cast("long").alias("a")).agg(F.count("*").alias("lines"), F.sum("b").alias("before"), F.sum("a").alias("after"))
+    """One row: lines, tokens before and after (arrays of tokens, or their counts), and how many of the former one of the latter stands for."""
+    given = rows.select(before.alias("b"), after.alias("a"))
+    counts = {f.name: (F.size(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name)).cast("long") for f in given.schema}
+    sums = given.withColumns(counts).agg(F.count("*").alias("lines"), F.sum("b").alias("before"), F.sum("a").alias("after"))
     return sums.withColumn("ratio", F.when(F.col("after") > 0, F.col("before") / F.col("after")))
 
 

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: A vocabulary of up to so many bytes goes to the workers.
 SHIPPED_BYTES = 64 << 20
+#: Bytes of text that are cut at a time, behind a first text of any length. It bounds what a worker holds.
+SLICE_BYTES = 1 << 20
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
@@ -71,6 +73,29 @@ class Trie:
             size[places[ends]], found[places[ends]] = level + 1, self.ids[node[ends]]
         return size, found
 
+    def columns(self, words: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
+        """(pieces, ids) of each word as cut gives them, as lists in flat buffers: all words take their next step at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = "".join(words)
+        code = np.frombuffer(flat.encode("utf-32-le"), "<u4").astype(np.int64)
+        ends = np.cumsum(sizes)
+        size, found = self.longest(code, np.repeat(ends, sizes) - np.arange(len(code)))
+        steps, starts = np.maximum(size, 1), np.zeros(len(code), bool)
+        on = np.flatnonzero(sizes)
+        places, last = (ends - sizes)[on], ends[on]
+        while len(places):
+            starts[places] = True
+            places = places + steps[places]
+            inside = places < last
+            places, last = places[inside], last[inside]
+        own = np.flatnonzero(starts)
+        bounds = pa.array(np.concatenate([[0], np.searchsorted(own, ends)]).astype(np.int32))
+        octets = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
+        offsets = np.append(octets[own], octets[-1]).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(own), pa.py_buffer(offsets), pa.py_buffer(flat.encode()))
+        ids = pa.array(found[own], pa.int64(), mask=found[own] < 0)
+        return pa.ListArray.from_arrays(bounds, pieces), pa.ListArray.from_arrays(bounds, ids)
+
     def cut(self, texts: list[str]) -> list[tuple[list[str], list[int | None]]]:
         """(pieces, ids) of each text from the left, always the longest; a letter that begins no piece stands alone and has no id."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -88,7 +113,15 @@ class Trie:
         return out
 
 
-def cut_texts(rows: DataFrame, text: str, vocabulary: DataFrame, kept: int = 200_000) -> DataFrame:
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices that end where the texts of column at pass a multiple of SLICE_BYTES."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    starts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(starts, starts[1:]):
+        yield batch.slice(start, end - start)
+
+
+def cut_texts(rows: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """rows with pieces and ids: the words of text (between ASCII white space) cut into the longest pieces of vocabulary(piece, id).
 
     A letter that begins no piece is a piece without an id. Null texts have null pieces, texts without words none. Null
@@ -105,17 +138,18 @@ def cut_texts(rows: DataFrame, text: str, vocabulary: DataFrame, kept: int = 200
     at = others.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, pieces_of, ids_of = Trie(*shared.value), {}, {}
-        for b in batches:
+        trie = Trie(*shared.value)
+        for b in (part for batch in batches for part in _slices(batch, at)):
             words = [None if t is None else _WORD.findall(t) for t in b.column(at).to_pylist()]
-            if len(ids_of) > kept:
-                pieces_of.clear()
-                ids_of.clear()
-            new = list(set().union(*(w for w in words if w)).difference(ids_of))
-            for w, (p, i) in zip(new, trie.cut(new), strict=True):
-                pieces_of[w], ids_of[w] = p, i
-            pieces, ids = ([None if ws is None else list(chain.from_iterable(map(of.__getitem__, ws))) for ws in words] for of in (pieces_of, ids_of))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pieces, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.int64()))], names=[*b.schema.names, "pieces", "ids"])
+            known: dict[str, int] = {}  # different words of the slice are cut once
+            of = np.fromiter((known.setdefault(w, len(known)) for ws in words if ws for w in ws), np.int64)
+            last = np.cumsum([len(ws or ()) for ws in words], dtype=np.int64)
+            none, cuts = np.array([ws is None for ws in words], bool), []
+            for column in trie.columns(list(known)):
+                taken = column.take(pa.array(of))
+                bounds = np.append(0, taken.offsets.to_numpy()[last] - taken.offsets[0].as_py())
+                cuts.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), taken.flatten(), mask=pa.array(none)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *cuts], names=[*b.schema.names, "pieces", "ids"])
 
     given = rows.select(*others)
     return given.mapInArrow(run, StructType([*given.schema.fields, StructField("pieces", ArrayType(StringType())), StructField("ids", ArrayType(LongType()))]))

@@ -61,7 +61,7 @@ def extension_ratio(spark, d):
     more = numbered(_heads(spark, d, "conversations"), [], ["piece"], "id")
     new = C.new_vocabulary(base, more).select("piece", F.col("new_id").alias("id"))
     docs = table(spark, d, "documents").select("text")
-    before = cutting.cut_texts(docs, "text", base).withColumnRenamed("pieces", "before").drop("ids")
+    before = cutting.cut_texts(docs, "text", base).select("text", F.size("pieces").alias("before"))  # counts go through the second cut, not pieces
     both = cutting.cut_texts(before, "text", base.unionByName(new))
     return C.token_ratio(both, F.col("before"), F.col("pieces")).withColumn("ratio", F.round("ratio", 6))
 
