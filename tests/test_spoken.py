@@ -65,3 +65,10 @@ def test_each_row_in_its_own_language(spark):
 @pytest.mark.parametrize("mapper", [None, spoken.itrans])
 def test_without_verbalisers_numbers_stay(spark, mapper):
     assert column(spark, ["7 ok"], lambda t: spoken.processed(t, "hi", None, mapper)) == [f"7 {mapper('ok', 'hi') if mapper else 'ok'}"]
+
+
+def test_words_are_mapped_by_syllables():
+    """One step a syllable, where there were two and more: as the letters one after the other."""
+    assert [spoken.itrans(w, "hi") for w in ("kSha", "RRiShi", "k\nh", "k\na", "aik1u", "~Nxx", "é")] == ["क्ष", "ऋषि", "क्ह्", "क", "ऐक्1उ", "ङ्क्ष्क्ष्", "é"]
+    assert len(spoken._SYLLABLE.findall("namaste")) == 4
+    assert all(spoken._SYLLABLES[c + v] == own + sign for c, own in spoken._CONSONANTS.items() for v, sign in spoken._SIGNS.items())

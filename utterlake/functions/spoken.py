@@ -18,6 +18,7 @@ from utterlake.runtime import let
 NUMBER = r"(?U)-?\d+(?:\.\d+)?"
 #: Digits as signs that Unicode keeps free of meaning.
 _HIDDEN = {48 + d: 0xFDD0 + d for d in range(10)}
+_LATIN = re.compile(r"\b([a-zA-Z]+)\b")
 _PLAIN = r"^-?[0-9]{1,15}(\.[0-9]+)?$"
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -105,21 +106,16 @@ _CONSONANTS = dict(zip(
     "क ख ग घ ङ च छ छ ज झ ञ ट ठ ड ढ ण त थ द ध न प फ ब भ म य र ल व व श ष स ह क्ष क़ ज़ फ़ ळ".split(), strict=True,
 )) | {"c": "च"}
 _BLOCKS = {"devanagari": 0x0900, "bengali": 0x0980, "gujarati": 0x0A80, "telugu": 0x0C00, "kannada": 0x0C80}
-_PIECES = re.compile("|".join(sorted({*_VOWELS, *_CONSONANTS}, key=len, reverse=True)))
+#: What a consonant with and without a vowel after it, and a vowel alone, become. No vowel begins as a consonant does.
+_SYLLABLES = {c + v: own + sign for c, own in _CONSONANTS.items() for v, sign in [("", "्"), *_SIGNS.items()]} | _VOWELS
+_SYLLABLE = re.compile(r"(?:{0})(?:\n*(?:{1}))?|(?:{1})|.".format(*("|".join(sorted(x, key=len, reverse=True)) for x in (_CONSONANTS, _VOWELS))))
 
 
 def itrans(word: str, lang: str) -> str:
     """word as ITRANS in the script of lang; a consonant without a vowel after it has a virama. Letters of no sound stay."""
-    out, open_ = [], False
-    for piece in re.findall(f"{_PIECES.pattern}|.", word):
-        if piece in _CONSONANTS:
-            out += ["्"] * open_ + [_CONSONANTS[piece]]
-            open_ = True
-        else:
-            out.append(_SIGNS[piece] if open_ and piece in _SIGNS else "्" * open_ + _VOWELS.get(piece, piece))
-            open_ = False
+    out = "".join(_SYLLABLES.get(s, s) for s in (x.replace("\n", "") for x in _SYLLABLE.findall(word)))
     shift = _BLOCKS[SCHEMES.get(lang, "devanagari")] - 0x0900
-    return "".join(chr(ord(c) + shift) if 0x0900 <= ord(c) < 0x0980 else c for c in "".join(out) + "्" * open_)
+    return "".join(chr(ord(c) + shift) if 0x0900 <= ord(c) < 0x0980 else c for c in out) if shift else out
 
 
 def _mapped(mapper: Callable[[str, str], str], word: str, lang: str) -> str:
@@ -152,17 +148,21 @@ def replaced(text: Column, own: Column, words: dict[str | None, Callable[[Column
 
     @F.pandas_udf("string")
     def mapped(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], str] = {}  # words of a batch come often
+        known: dict[str, dict[str, str]] = {}  # words of a batch come often
 
-        def one(word: str, lang: str) -> str:
-            if (word, lang) not in known:
-                known[word, lang] = _mapped(mapper, word, lang).translate(_HIDDEN)
-            return known[word, lang]
+        def one(text: str, lang: str) -> str:
+            parts, own = _LATIN.split(text), known.setdefault(lang, {})
+            for word in set(parts[1::2]).difference(own):
+                own[word] = _mapped(mapper, word, lang).translate(_HIDDEN)
+            parts[1::2] = map(own.__getitem__, parts[1::2])
+            return "".join(parts)
 
-        return pd.Series([None if t is None else re.sub(r"\b[a-zA-Z]+\b", lambda m, x=x: one(m[0], x), t) for t, x in zip(texts, langs, strict=True)], dtype=object)
+        return pd.Series([None if t is None else one(t, x) for t, x in zip(texts, langs, strict=True)], dtype=object)
 
     # a mapper's digits are no numbers of the text: they pass the verbaliser as signs that no text holds
-    return let(mapped(text, own), lambda t: F.translate(verbal(t), "".join(map(chr, _HIDDEN.values())), "0123456789")) if words else F.translate(mapped(text, own), "".join(map(chr, _HIDDEN.values())), "0123456789")
+    signs = "".join(map(chr, _HIDDEN.values()))
+    back = lambda t: F.when(F.regexp_like(t, F.lit(f"[{signs}]")), F.translate(t, signs, "0123456789")).otherwise(t)
+    return let(mapped(text, own), lambda t: let(verbal(t), back))
 
 
 def processed(text: Column, lang: str | Column | None = "en", words: dict[str, Callable[[Column], Column]] | Callable[[Column], Column] | None = None, mapper: Callable[[str, str], str] | None = None) -> Column:
